@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
+#: Of the random projections.
 _SEED = 20_011
 
 
@@ -168,8 +169,8 @@ OP8_SQL = """
 with recursive good as (
   select vec_id, label, embedding::double[] as v from embeddings
   where label is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links as (
   select a.vec_id as a, b.vec_id as b from good a join good b
   on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, pii, quality, sharding, simhash
+from . import bpe, embed_dedup, html_text, mixing, pii, quality, sharding, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_sharding": sharding.op2_sharding,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality": quality.op5_quality,
     "op6_pii": pii.op6_pii,
+    "op7_html_text": html_text.op7_html_text,
     "op8_embedding_dedup": embed_dedup.op8_embedding_dedup,
+    "op9_token_files": token_files.op9_token_files,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL = {"op8_embedding_dedup": embed_dedup.OP8_SQL}
+ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL, "op8_embedding_dedup": embed_dedup.OP8_SQL}

@@ -84,19 +84,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     equal bytes, slots gapless from 0 in each shard.
 
     At least `ranges_per_shard` ranges a shard, more where a range would pass `range_bytes`.  Equal
-    texts share a range and so a shard, unless they alone hold more than two ranges' share of all
-    bytes; then records are dealt by id.  Null texts count as empty ones of size 1; rows that repeat
+    texts share a range and so a shard, unless their range holds over an eighth of a shard's share of
+    the bytes or the rows; then its records are dealt by id.  Null texts count as empty ones of size 1; rows that repeat
     an id and a text are told apart by their slot; an empty table gives an empty table.  Other columns
     are ignored here; `with_texts` joins them."""
     spark = docs.sparkSession
     records = materialize(keyed(docs, id_col, text_col), "shard-keys")
-    total = records.agg(F.sum("size")).first()[0] or 0
+    total, rows_in_all = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = max(shards * ranges_per_shard, math.ceil(total / range_bytes))
-    target = max(1, total // ranges)
+    most = [max(1, x // (8 * shards)) for x in (total, rows_in_all)]
     placed = materialize(in_ranges(records, sampled_splitters(records, ranges, total)), "shard-ranges")
-    loads = placed.groupBy("range_id").agg(F.sum("size").alias("bytes")).collect()
-    # every overfull range is cut to pieces of about the target, by record
-    pieces = spark.createDataFrame([(r.range_id, math.ceil(r.bytes / target) if r.bytes > 2 * target else 1) for r in loads], "range_id int, pieces int")
+    loads = placed.groupBy("range_id").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    # an overfull range is cut by record, to pieces of about an ordinary range's share
+    pieces = spark.createDataFrame([(r.range_id, max(1, *(math.ceil(x * ranges / max(1, of)) if x > top else 1 for x, of, top in zip((r.bytes, r.n), (total, rows_in_all), most, strict=True)))) for r in loads], "range_id int, pieces int")
     piece = F.pmod(F.col("salt"), F.col("pieces")).cast("int")
     cut = placed.join(F.broadcast(pieces), "range_id").withColumn("piece", piece).drop("pieces")
     sums = cut.groupBy("range_id", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()

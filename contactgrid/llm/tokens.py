@@ -37,6 +37,7 @@ class UnitEncoder:
     def __init__(self, encode: Callable[[bytes], list[int]], pattern: str, limit: int = 600_000):
         self.encode, self.matches, self.limit = encode, regex.compile(pattern).findall, limit
         self.known: dict[str, bytes] = {}
+        self.size = 1 << 16  # ids are below it
 
     def _pieces(self, unit: str) -> list[str]:
         """The pattern's matches.  Letters, after a space or not and before one common mark or not,
@@ -95,4 +96,5 @@ def library_encoder(path: str) -> UnitEncoder:
             raise ValueError("ids of more than 16 bits")
         model, written = tok.model, byte_alphabet()
         _encoders[path] = UnitEncoder(lambda b: [t.id for t in model.tokenize(b.decode("latin-1").translate(written))], public_tokenizers.PATTERN)
+        _encoders[path].size = tok.get_vocab_size()
     return _encoders[path]
