@@ -143,9 +143,19 @@ def blocks(page: str) -> list[tuple[str, str, Counter, bool]]:
     return out
 
 
-def _score(block: tuple[str, str, Counter, bool], weights: dict[str, float]) -> float:
-    text, place, tags, _ = block
-    return (text.count(" ") + 1) * weights[f"word:{place}"] + sum(n * weights[f"tag:{t}"] for t, n in tags.items())
+def _scores(found: list[tuple[str, str, Counter, bool]], weights: dict[str, float]) -> list[float]:
+    """Two scores a block: of the tags before it and of its words.  In a page that marks its article,
+    tags inside cost nothing, what is left out inside costs nothing, and no stretch reaches outside."""
+    marked = any(b[1] == "in" for b in found)
+    out = []
+    for text, place, tags, inside in found:
+        words = (text.count(" ") + 1) * weights[f"word:{place}"]
+        before = sum(n * weights[f"tag:{t}"] for t, n in tags.items())
+        if marked:
+            out += [0.0 if inside else before, words if place == "in" else 0.0 if inside else -1e9]
+        else:
+            out += [before, words]
+    return out
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:
@@ -163,14 +173,8 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: dict[str, float] = PRIOR) -> str:
     found = blocks(page)
-    if any(b[1] == "in" for b in found):  # the page marks its article: no stretch reaches beyond it
-        scores = [_score(b, weights) if b[1] != "other" and b[1] != "link" else min(-1e6, _score(b, weights)) for b in found]
-        # menus and adverts inside the article don't cut it
-        scores = [0.0 if b[1] == "out" and b[3] else s for b, s in zip(found, scores, strict=True)]
-    else:
-        scores = [_score(b, weights) for b in found]
-    lo, hi = best_stretch(scores)
-    return "\n\n".join(b[0] for b in found[lo:hi] if b[1] != "out")
+    lo, hi = best_stretch(_scores(found, weights))
+    return "\n\n".join(b[0] for k, b in enumerate(found) if lo <= 2 * k + 1 < hi and b[1] != "out")
 
 
 def counts(page: str) -> Counter:
