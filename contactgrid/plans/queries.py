@@ -597,3 +597,46 @@ def validate_corrupt(spark, sf_dir):
     far = px.where("bin1_id % 307 = 3").select("bin1_id", (F.col("bin2_id") + 5000).alias("bin2_id"), "count")
     return validate.issues(chroms, bins, px.unionByName(low).unionByName(far), {"nbins": 7})
 
+
+
+# ---- callers, on block matrices whose domains are known ----
+
+
+def _toy(spark):
+    return contacts.toy_matrix(spark, domains=10, width=20, bin_size=20_000)
+
+
+@query()
+def tads_separation(spark, sf_dir):
+    from ..operators.tads import separation
+
+    _, found = separation.call_boundaries(_toy(spark))
+    return spark.createDataFrame(found[["chrom_id", "start", "end", "score", "delta", "p"]], "chrom_id int, start long, end long, score double, delta double, p double")
+
+
+@query()
+def tads_hierarchy(spark, sf_dir):
+    from ..operators.tads import hierarchy
+
+    return hierarchy.call_hierarchy(_toy(spark), hierarchy.HierarchyParams(max_size=40))
+
+
+@query("""select c::int as chrom_id, k * 20 as start_bin, k * 20 + 19 as end_bin, k * 400000 as start, (k + 1) * 400000 - 1 as "end" from unnest(generate_series(0::bigint, 1)) a(c), unnest(generate_series(0::bigint, 9)) b(k)""")
+def tads_multires(spark, sf_dir):
+    from ..operators.tads import multires
+
+    return multires.call_multires(_toy(spark), multires.MultiresParams(gamma_max=0.5, step=0.25, min_mean_samples=1))[1]
+
+
+@query()
+def tads_blocks(spark, sf_dir):
+    from ..operators.tads import blocks
+
+    return blocks.call_blocks(_toy(spark), blocks.BlockParams(width=80, gap=3, min_block=5))
+
+
+@query()
+def tads_directionality(spark, sf_dir):
+    from ..operators.tads import directionality
+
+    return directionality.call_domains(_toy(spark))[0]
