@@ -2,8 +2,9 @@
 
 A cut between a character that is no white space and white space after it never changes the ids of
 either side: every match of the pre-tokenisers' pattern is either white space alone or starts at
-most one space before its word.  So a text is cut there, each unit's ids are made once by the given
-encoder and kept in a bounded cache of the worker, and a text's ids are its units' ids in order.
+most one space before its word.  So a text is cut there to units, whose concatenation it is; each unit's
+ids are made once by the given encoder and kept in a bounded cache of the worker, and a text's ids are
+its units' ids in order.
 """
 
 from __future__ import annotations
@@ -22,21 +23,17 @@ _UNITS = re.compile(r"\s*\S+|\s+")
 _MARKS = frozenset(".,;:!?")
 
 
-def units(text: str) -> list[str]:
-    """Whose concatenation is the text."""
-    if _RUN.search(text) or text[:1] == " ":
-        return _UNITS.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-
-
 class UnitEncoder:
-    """encode: the bytes of one match of `pattern` -> its ids.  At most `limit` units and matches are
-    kept; then the cache starts anew, so memory stays bounded."""
+    """encode: the bytes of one match of `pattern` -> its ids.  Units and matches are kept in two
+    generations of `limit` at most: when the younger is full it becomes the older one, from which what
+    is still in use comes back, so memory stays bounded and common words are never made twice."""
 
     def __init__(self, encode: Callable[[bytes], list[int]], pattern: str, limit: int = 600_000):
         self.encode, self.matches, self.limit = encode, regex.compile(pattern).findall, limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.older_spaced: dict[str, bytes] = {}
         self.size = 1 << 16  # ids are below it
 
     def _pieces(self, unit: str) -> list[str]:
@@ -50,27 +47,45 @@ class UnitEncoder:
         return self.matches(unit)
 
     def _unit(self, unit: str) -> bytes:
-        known, out = self.known, []
-        for p in self._pieces(unit):
-            ids = known.get(p)
-            if ids is None:
-                ids = known[p] = array("H", self.encode(p.encode())).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        pieces = self._pieces(unit)
+        if len(pieces) == 1:
+            return self._encoded(unit)
+        head, *tail = pieces
+        # the word without its mark is common: it is kept like one that stands alone
+        word = self.spaced.get(head[1:]) or self.older_spaced.get(head[1:]) if head[0] == " " and len(head) > 1 else None
+        if word is None:
+            word = self._encoded(head)
+            if head[0] == " " and len(head) > 1:
+                self.spaced[head[1:]] = word
+        return b"".join([word, *(self._kept(p, self._encoded) for p in tail)])
+
+    def _encoded(self, piece: str) -> bytes:
+        return array("H", self.encode(piece.encode())).tobytes()
+
+    def _kept(self, unit: str, make: Callable[[str], bytes]) -> bytes:
+        ids = self.known.get(unit)
+        if ids is None:
+            if len(self.known) > self.limit // 2:
+                self.older, self.known = self.known, {}
+            ids = self.known[unit] = self.older.get(unit) or make(unit)
+        return ids
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text, as unsigned 16-bit integers."""
-        cut = units(text)
-        known = self.known
-        found = list(map(known.get, cut))
+        if _RUN.search(text) or text[:1] == " ":
+            return np.frombuffer(b"".join([self._kept(u, self._unit) for u in _UNITS.findall(text)]), dtype=np.uint16)
+        # units are the words with the one space before them; a cache of their own has them without it
+        first, *words = text.split(" ")
+        if len(self.spaced) > self.limit:
+            self.older_spaced, self.spaced = self.spaced, {}
+        spaced, older = self.spaced, self.older_spaced
+        found = list(map(spaced.get, words))
         if None in found:
-            if len(known) > self.limit:
-                known.clear()
             for k, ids in enumerate(found):
                 if ids is None:
-                    ids = known.get(cut[k])
-                    found[k] = known[cut[k]] = self._unit(cut[k]) if ids is None else ids
-        return np.frombuffer(b"".join(found), dtype=np.uint16)
+                    w = words[k]
+                    found[k] = spaced[w] = spaced.get(w) or older.get(w) or self._unit(" " + w)
+        return np.frombuffer(b"".join([self._kept(first, self._unit) if first else b"", *found]), dtype=np.uint16)
 
 
 def byte_alphabet() -> dict[int, str]:
