@@ -640,3 +640,11 @@ def tads_directionality(spark, sf_dir):
     from ..operators.tads import directionality
 
     return directionality.call_domains(_toy(spark))[0]
+
+
+@query()
+def objective_weights(spark, sf_dir):
+    from ..operators import objective
+
+    m = contacts.toy_matrix(spark, domains=4, width=10)
+    return objective.normalize(m, objective.ObjectiveParams(window=40, rounds=10, min_nnz=5))
