@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from ...functions.models import HMM, Mixture, Normal
 from ...matrix import ContactMatrix
+from .alignment import groups
 from .band import banded, chromosome_cells, per_chromosome
 
 MIN_BINS = 5
@@ -154,7 +155,7 @@ def refined(track: Track, model: HMM, rounds: int = 5) -> tuple[list[tuple[int,
     domains: list[tuple[int, int]] = []
     for _ in range(rounds):
         new = decoded(model, di, track.resolution)
-        off = 1 - len(set(domains) & set(new)) / len(set(domains)) if domains else 1.0
+        off = changed(domains, new)
         domains = new
         for a, b in domains:
             k = np.arange(b - a)
@@ -165,6 +166,13 @@ def refined(track: Track, model: HMM, rounds: int = 5) -> tuple[list[tuple[int,
     return domains, di
 
 
+def changed(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> float:
+    """The share of old domains that no new one is aligned with, one against one."""
+    if not old:
+        return 1.0
+    return 1 - sum(len(a) == len(b) == 1 for a, b in groups(old, new, MIN_BINS)) / len(old)
+
+
 def noise(track: Track, a: int, b: int) -> float:
     """The share of empty cells of a domain off the diagonals left out."""
     n = b - a

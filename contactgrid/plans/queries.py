@@ -648,3 +648,20 @@ def objective_weights(spark, sf_dir):
 
     m = contacts.toy_matrix(spark, domains=4, width=10)
     return objective.normalize(m, objective.ObjectiveParams(window=40, rounds=10, min_nnz=5))
+
+
+@query()
+def tads_nested(spark, sf_dir):
+    from ..operators.tads import nested
+
+    return nested.call_nested({20_000: _toy(spark)})
+
+
+@query("""select c::int as chrom_id, k * 400000 as start1, (k + 1) * 400000 as end1, 1::int as n1, k * 400000 as start2, (k + 1) * 400000 as end2, 1::int as n2, 'conserved' as kind
+from unnest(generate_series(0::bigint, 1)) a(c), unnest(generate_series(0::bigint, 9)) b(k)""")
+def tads_aligned(spark, sf_dir):
+    from ..operators.tads import alignment
+
+    d = spark.range(20).select((F.col("id") % 2).cast("int").alias("chrom_id"), (F.floor(F.col("id") / 2) * 400_000).alias("start"), F.lit(0).alias("level"))
+    d = d.withColumn("end", F.col("start") + 400_000)
+    return alignment.align(d, d, 20_000)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from contactgrid.functions.models import HMM, Discrete, Mixture, Normal
-from contactgrid.operators.tads import blocks, directionality, hierarchy, multires, separation
+from contactgrid.operators.tads import alignment, blocks, directionality, hierarchy, multires, nested, separation
 from contactgrid.schema import MatrixError
 from contactgrid.sources.contacts import toy_matrix
 
@@ -76,6 +76,39 @@ def test_directionality(toy):
     assert track.count() == 120
 
 
+def test_nested(toy):
+    for share in (False, True):
+        got = nested.call_nested({20_000: toy}, share_scores=share).orderBy("start", "end").collect()
+        near = {((r.start + 20_000) // 400_000, (r.end + 20_000) // 400_000) for r in got}  # ends may move by a bin
+        assert near >= {(k, k + 1) for k in range(1, 4)}
+    with pytest.raises(MatrixError):
+        nested.call_nested({})
+    assert nested.levels([(0, 10), (2, 5), (6, 10), (2, 3)]) == [(0, 10, 0), (2, 3, 2), (2, 5, 1), (6, 10, 1)]
+    assert nested.snapped([(0, 20, 0), (1, 9, 1), (12, 16, 1)]) == [(0, 9), (0, 20), (12, 16)]
+
+
+def test_best_path_is_the_best():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        parts = [(3 * k, 3 * k + 3) for k in range(6)]
+        scores = {(a, b): float(rng.uniform(-1, 1)) for a in range(0, 18, 3) for b in range(a + 3, 19, 3)}
+
+        def best(k):
+            return 0.0 if k == 6 else max(3 * (j - k) * scores[3 * k, 3 * j] + best(j) for j in range(k + 1, 7))
+
+        path = nested.best_path(parts, scores, 99)
+        assert abs(sum(3 * (j - i + 1) * scores[parts[i][0], parts[j][1]] for i, j in path) - best(0)) < 1e-9
+
+
+def test_alignment(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "chrom_id int, start long, end long, level int")
+    a = frame([(0, 0, 400, 0), (0, 400, 800, 0), (0, 400, 600, 1), (1, 0, 900, 0)])
+    b = frame([(0, 0, 400, 0), (0, 400, 800, 0), (1, 0, 450, 0), (1, 450, 900, 0)])
+    got = {(r.chrom_id, r.start1, r.kind) for r in alignment.align(a, b, 10).collect()}
+    assert got == {(0, 0, "conserved"), (0, 400, "inner"), (1, 0, "split")}
+    assert alignment.overlap((0, 10), (5, 20)) == 0.25 and alignment.overlap((0, 1), (1, 2)) == 0
+
+
 def test_model_sums_over_paths():
     rng = np.random.default_rng(1)
     model = HMM([Discrete({"a": 0.7, "b": 0.3}), Discrete({"a": 0.2, "b": 0.8})], [[0.6, 0.3], [0.2, 0.5]], [0.5, 0.5], [0.1, 0.3])
