@@ -665,3 +665,69 @@ def tads_aligned(spark, sf_dir):
     d = spark.range(20).select((F.col("id") % 2).cast("int").alias("chrom_id"), (F.floor(F.col("id") / 2) * 400_000).alias("start"), F.lit(0).alias("level"))
     d = d.withColumn("end", F.col("start") + 400_000)
     return alignment.align(d, d, 20_000)
+
+
+# ---- text outputs and smaller functions ----
+
+
+@query(with_base(f""", {CIS}{_Z}{_SCORE}, rows as (select s.chrom_id, b.start, b."end", score, ((b.start + b."end") // 2)::bigint as "to" from score s join offs o using (chrom_id) join bins b on b.bin_id = o.first_bin + s.cut),
+spans as (select chrom_id, coalesce(lag("to") over (partition by chrom_id order by start), 0)::bigint as "from", "to", score from rows)
+select chrom_id, "from", "to", round(score, 6) as score from spans where "to" > "from\""""))
+def score_bedgraph(spark, sf_dir):
+    from ..operators.tads import outputs
+
+    cells, b = _cis(spark, sf_dir)
+    s = bands.separation_score(bands.pooled_zscore(cells, b, 100, 40), b, [3, 5, 8])
+    first = b.groupBy("chrom_id").agg(F.min("bin_id").alias("first"))
+    rows = s.join(first, "chrom_id").join(b.select("bin_id", "start", "end"), F.col("bin_id") == F.col("first") + F.col("cut"))
+    return outputs.score_bedgraph(rows).select("chrom_id", "from", "to", _r("score"))
+
+
+@query(with_base("""select "check", detail from (select 'pixel_lower' as "check", bin2_id || ',' || bin1_id as detail, row_number() over (order by bin2_id || ',' || bin1_id) as k from pixels where bin1_id % 3 = 1 and bin1_id <> bin2_id) where k <= 20"""))
+def validate_limit(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    low = m.pixels.where("bin1_id % 3 = 1 and bin1_id <> bin2_id").select(F.col("bin2_id").alias("bin1_id"), F.col("bin1_id").alias("bin2_id"), "count")
+    return validate.at_most(validate.issues(m.chroms, m.bins, low), 20)
+
+
+@query(with_base("""select c1.name || chr(9) || b1.start || chr(9) || b1."end" || chr(9) || c2.name || chr(9) || b2.start || chr(9) || b2."end" || chr(9) || count::bigint as value
+from pixels join bins b1 on b1.bin_id = bin1_id join bins b2 on b2.bin_id = bin2_id join chroms c1 on c1.chrom_id = b1.chrom_id join chroms c2 on c2.chrom_id = b2.chrom_id"""))
+def pixel_lines(spark, sf_dir):
+    from ..sources import layout
+
+    return layout.pixel_text(_m(spark, sf_dir), coordinates=True).select("value")
+
+
+@query(with_base("""select i, string_agg(v::bigint::varchar, chr(9) order by j) as value from (select a.i, b.j, coalesce(count, 0) as v
+from unnest(generate_series(0::bigint, 199)) a(i), unnest(generate_series(0::bigint, 199)) b(j) left join pixels on bin1_id = least(i, j) and bin2_id = greatest(i, j)) group by 1"""))
+def dense_lines(spark, sf_dir):
+    from ..sources import layout
+
+    return layout.dense_text(_m(spark, sf_dir), 0)
+
+
+@query(with_base(""", o as (select *, max(n_bins) over () as most from offs), x as (select (b1.chrom_id + 1)::int as a, (b2.chrom_id + 1)::int as b, bin1_id - o1.first_bin as x, bin2_id - o2.first_bin as y, greatest(o1.n_bins, o2.n_bins) // 50 + 1 as cols
+  from pixels join bins b1 on b1.bin_id = bin1_id join bins b2 on b2.bin_id = bin2_id join o o1 on o1.chrom_id = b1.chrom_id join o o2 on o2.chrom_id = b2.chrom_id)
+select a, b, block, count(*)::bigint as n from (select a, b, case when a = b then floor(log2(1 + abs(x - y) / sqrt(2) / 50))::bigint * cols + (x + y) // 100 else (y // 50) * cols + x // 50 end as block from x) group by 1, 2, 3"""))
+def hic_block_number(spark, sf_dir):
+    from ..sources import hic
+
+    m = _m(spark, sf_dir)
+    off = M.chrom_offsets(m.chroms, 100).select("chrom_id", "first_bin", "n_bins")
+    px = M.with_chroms(m.pixels, m.bins)
+    for k in (1, 2):
+        px = px.join(F.broadcast(off.select(F.col("chrom_id").alias(f"chrom_id{k}"), F.col("first_bin").alias(f"o{k}"), F.col("n_bins").alias(f"n{k}"))), f"chrom_id{k}")
+    x, y = F.col("bin1_id") - F.col("o1"), F.col("bin2_id") - F.col("o2")
+    cols = F.floor(F.greatest("n1", "n2") / 50).cast("long") + 1
+    block = hic.block_number(x, y, F.col("chrom_id1") == F.col("chrom_id2"), cols, 50)
+    return px.groupBy((F.col("chrom_id1") + 1).alias("a"), (F.col("chrom_id2") + 1).alias("b"), block.alias("block")).agg(F.count("*").alias("n"))
+
+
+@query(with_base(f""", {CIS}, pos as (select chrom_id, i as pos, row_number() over (partition by chrom_id order by res) as k from (select chrom_id, i, 100 + i % 3 * 100 as res from cis where d = 0 and i < 3)) select chrom_id, pos from pos where k = 1"""))
+def finest_resolution(spark, sf_dir):
+    """The row of the finest resolution in each chromosome."""
+    from pyspark.sql.window import Window
+
+    cells, _ = _cis(spark, sf_dir)
+    rows = cells.where("d = 0 and i < 3").select("chrom_id", F.col("i").alias("pos"), (100 + F.col("i") % 3 * 100).alias("res"))
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("chrom_id").orderBy("res"))).where("k = 1").select("chrom_id", "pos")

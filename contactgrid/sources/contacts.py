@@ -93,3 +93,19 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(parts.alias("p")).where(F.size("p") >= 3)
     rows = rows.select(F.col("p")[0].alias("chrom"), F.col("p")[1].try_cast("long").alias("start"), F.col("p")[2].try_cast("long").alias("end"))
     return rows.where("start is not null and end is not null")
+
+
+def parse_datasets(text: str) -> list[tuple[int, str, str]]:
+    """(resolution, label, path) of lines "res:N", each followed by lines "label:path"."""
+    out, resolution = [], None
+    for line in filter(None, map(str.strip, text.splitlines())):
+        key, _, value = line.partition(":")
+        if key == "res":
+            resolution = int(value)
+        elif resolution is None or not value:
+            raise MatrixError(f"no dataset: {line!r}")
+        else:
+            out.append((resolution, key.strip(), value.strip()))
+    if not out:
+        raise MatrixError("no datasets")
+    return out

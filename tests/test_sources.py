@@ -99,3 +99,16 @@ def test_streamed_contacts_sum_up(spark, tmp_path):
     from contactgrid.sources.contacts import bin_contacts
 
     assert sorted(map(tuple, spark.table("px").collect())) == sorted(map(tuple, bin_contacts(frame, chroms, 100).collect()))
+
+
+def test_datasets_and_pictures():
+    from contactgrid.functions import heatmap
+    from contactgrid.sources.contacts import parse_datasets
+
+    assert parse_datasets("res:10\n a:x/y\nres:20\nb: z:1\n") == [(10, "a", "x/y"), (20, "b", "z:1")]
+    for bad in ("", "a:x", "res:10\nb"):
+        with pytest.raises(MatrixError):
+            parse_datasets(bad)
+    assert heatmap.tsv(["a", "b"], np.eye(2)).splitlines()[1] == "a\t1.0000\t0.0000"
+    picture = heatmap.png(np.array([[1.0, -0.5], [np.nan, 0]]), cell=2)
+    assert picture[:8] == b"\x89PNG\r\n\x1a\n" and picture.endswith(b"IEND\xaeB`\x82")
