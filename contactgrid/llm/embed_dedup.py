@@ -132,6 +132,8 @@ def count_links(members: DataFrame, threshold: float, block: int = 1024) -> Data
                 out.append((node[right], near.T @ copies[left]))
         return pd.DataFrame({"node": np.concatenate([o[0] for o in out]), "links": np.concatenate([o[1] for o in out]).astype(np.int64)})
 
+    # by blocks, lest the join's partitioning by component serve for the groups and a large one be one task
+    rows = rows.repartition("component", "i", "j")
     return rows.groupBy("component", "i", "j").applyInPandas(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
