@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import shared_dir
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,19 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  The session's own setting wins; only where it is unset
-    (tests, one machine) a temporary folder is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = got.get() if got.isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='contactgrid-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
