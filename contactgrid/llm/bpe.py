@@ -175,7 +175,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                ids = [encode(t or "").astype(np.int32) for t in part.column(1).to_pylist()]
+                ids = [x.astype(np.int32) for x in encode.batch(part.column(1))]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], names=["id", "ids"])
 
@@ -207,8 +207,8 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         text = [bpe.bytes_of.get(k, b"") for k in range(size)]
         for b in batches:
             n, written, decoded = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = encode(t or "").tolist()
+            for found in encode.batch(b.column(1)):
+                ids = found.tolist()
                 n.append(len(ids))
                 written.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(text.__getitem__, ids))).hexdigest())

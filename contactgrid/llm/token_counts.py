@@ -42,9 +42,9 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
             kind = b.column(0).type
             yield row(ids=b.column(0).to_pylist())
             named += b.num_rows
-            for k in range(b.num_rows):
-                held += [encode(b.column(1)[k].as_py() or ""), end]
-                n += len(held[-2]) + 1
+            for text_ids in encode.batch(b.column(1)):
+                held += [text_ids, end]
+                n += len(text_ids) + 1
                 if n >= block_ids:
                     flat = np.concatenate(held)
                     for lo in range(0, n - block_ids + 1, block_ids):

@@ -40,24 +40,33 @@ def grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 6, leas
     last[ends[np.diff(np.concatenate([[0], ends])) > 0] - 1] = True
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
+    for turn in range(rounds):
         room = top - first - made
         if len(s) < 2 * least or room <= 0:
             break
         pair = s[:-1].astype(np.uint32) << np.uint32(16) | s[1:]
-        bucket = (pair * _HASH) >> np.uint32(32 - _BUCKETS)
+        # pairs are counted in buckets; a bucket stands for one of its pairs, whose exact count follows.
+        # Another multiplier each round, so that a pair hidden behind another one comes up later.
+        bucket = ((pair * (_HASH + np.uint32(2 * turn))) >> np.uint32(32 - _BUCKETS)).astype(np.intp)
         inner = ~last[:-1]
-        often = np.bincount(bucket, weights=None, minlength=1 << _BUCKETS) >= least
+        often = np.bincount(bucket, minlength=1 << _BUCKETS) >= least
         at = np.flatnonzero(often[bucket] & inner)
-        keys, n = np.unique(pair[at], return_counts=True)
+        own, found = bucket[at], pair[at]
+        stands = np.zeros(1 << _BUCKETS, dtype=np.uint32)
+        stands[own] = found
+        same = stands[own] == found
+        n = np.bincount(own[same], minlength=1 << _BUCKETS)
         good = np.flatnonzero(n >= least)
         # a round takes the most frequent part of its pairs: their uses change the counts of the others
         good = good[np.argsort(-n[good], kind="stable")[: min(room, max(64, len(good) // 2))]]
         if not len(good):
             break
-        chosen = np.sort(keys[good])
-        where = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[where] == pair[at]
+        good = good[np.argsort(stands[good])]
+        chosen = stands[good]
+        rule = np.full(1 << _BUCKETS, -1, dtype=np.int32)
+        rule[good] = np.arange(len(good))
+        where = rule[own]
+        hit = same & (where >= 0)
         at, where = at[hit], where[hit]
         # in a run of overlapping pairs every other one is taken, from the left
         fresh = np.concatenate([[True], np.diff(at) > 1])
@@ -175,9 +184,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
         end = np.array([end_id], dtype=np.uint16)
         for b in batches:
             kind = b.column(0).type
-            for k in range(b.num_rows):
-                ids.append(b.column(0)[k].as_py())
-                held.append(np.concatenate([encode(b.column(1)[k].as_py() or ""), end]))
+            for own, text_ids in zip(b.column(0).to_pylist(), encode.batch(b.column(1)), strict=True):
+                ids.append(own)
+                held.append(np.concatenate([text_ids, end]))
                 n += len(held[-1])
                 if n >= shard_ids:
                     yield flush()

@@ -14,13 +14,17 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: A space after white space: splitting at every space is then not such a cut.
-_RUN = re.compile(r"\s ")
+#: A space after white space (fixed values: those characters): splitting at every space is then no such cut.
+_LOOSE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 _UNITS = re.compile(r"\s*\S+|\s+")
 #: Marks that stand alone at the end of a word under the pattern.
 _MARKS = frozenset(".,;:!?")
+#: Longer units are made each time they come, so that the caches' bytes are bounded with their entries.
+_LONG = 64
 
 
 class UnitEncoder:
@@ -28,7 +32,7 @@ class UnitEncoder:
     generations of `limit` at most: when the younger is full it becomes the older one, from which what
     is still in use comes back, so memory stays bounded and common words are never made twice."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]], pattern: str, limit: int = 600_000):
+    def __init__(self, encode: Callable[[bytes], list[int]], pattern: str, limit: int = 450_000):
         self.encode, self.matches, self.limit = encode, regex.compile(pattern).findall, limit
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -55,7 +59,7 @@ class UnitEncoder:
         word = self.spaced.get(head[1:]) or self.older_spaced.get(head[1:]) if head[0] == " " and len(head) > 1 else None
         if word is None:
             word = self._encoded(head)
-            if head[0] == " " and len(head) > 1:
+            if head[0] == " " and 1 < len(head) <= _LONG:
                 self.spaced[head[1:]] = word
         return b"".join([word, *(self._kept(p, self._encoded) for p in tail)])
 
@@ -67,25 +71,67 @@ class UnitEncoder:
         if ids is None:
             if len(self.known) > self.limit // 2:
                 self.older, self.known = self.known, {}
-            ids = self.known[unit] = self.older.get(unit) or make(unit)
+            ids = self.older.get(unit) or make(unit)
+            if len(unit) <= _LONG:
+                self.known[unit] = ids
         return ids
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text, as unsigned 16-bit integers."""
-        if _RUN.search(text) or text[:1] == " ":
-            return np.frombuffer(b"".join([self._kept(u, self._unit) for u in _UNITS.findall(text)]), dtype=np.uint16)
-        # units are the words with the one space before them; a cache of their own has them without it
-        first, *words = text.split(" ")
+        return self.batch(pa.array([text], pa.string()))[0]
+
+    def batch(self, texts: pa.Array, rows: int = 4096) -> list[np.ndarray]:
+        """The ids of each text; null counts as empty.  At most `rows` texts are in hand at a time: their
+        words are told apart by a hash table of Arrow's, each distinct word's ids come from the cache or
+        are made, and all texts' ids are gathered from those at once."""
+        out: list[np.ndarray] = []
+        for lo in range(0, len(texts), rows):
+            part = texts.slice(lo, rows).fill_null("")
+            loose = pc.or_(pc.match_substring_regex(part, _LOOSE), pc.starts_with(part, " "))
+            some = self._words(part.filter(pc.invert(loose)))
+            if pc.any(loose).as_py():
+                rest, which = iter(part.filter(loose).to_pylist()), loose.to_pylist()
+                some_left = iter(some)
+                some = [self._loose(next(rest)) if x else next(some_left) for x in which]
+            out += some
+        return out
+
+    def _loose(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([self._kept(u, self._unit) for u in _UNITS.findall(text)]), dtype=np.uint16)
+
+    def _words(self, texts: pa.Array) -> list[np.ndarray]:
+        """Of texts whose units are the words with the one space before them, but for the first."""
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy()
+        flat = split.flatten()
+        coded = flat.dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
         if len(self.spaced) > self.limit:
             self.older_spaced, self.spaced = self.spaced, {}
         spaced, older = self.spaced, self.older_spaced
         found = list(map(spaced.get, words))
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    w = words[k]
-                    found[k] = spaced[w] = spaced.get(w) or older.get(w) or self._unit(" " + w)
-        return np.frombuffer(b"".join([self._kept(first, self._unit) if first else b"", *found]), dtype=np.uint16)
+        for k, ids in enumerate(found):
+            if ids is None:
+                w = words[k]
+                found[k] = ids = spaced.get(w) or older.get(w) or self._unit(" " + w)
+                if len(w) <= _LONG:
+                    spaced[w] = ids
+        for w in flat.take(pa.array(starts[:-1])).to_pylist():
+            found.append(self._kept(w, self._unit) if w else b"")
+        which[starts[:-1]] = len(words) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 1
+        table = np.frombuffer(b"".join(found), dtype=np.uint16)
+        n = sizes[which]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = (np.cumsum(sizes, dtype=np.int64) - sizes)[which] - ends + n
+        # documents in turn, so that no array of places is longer than a document
+        out, edges = [], [0, *ends[starts[1:] - 1].tolist()]
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+            words = slice(starts[k], starts[k + 1])
+            out.append(table[np.repeat(place[words], n[words]) + np.arange(lo, hi)])
+        return out
 
 
 def byte_alphabet() -> dict[int, str]:
