@@ -7,6 +7,7 @@ batches; a text goes when its calibrated probability of low quality reaches a fi
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -120,7 +121,7 @@ def _sigmoid(z):
 def _descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
     """Logistic regression by full gradients with Nesterov momentum; classes weigh alike."""
     n = len(rows)
-    who = np.repeat(np.arange(n), [len(r[0]) for r in rows])
+    who = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
     idx, val = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
     used, at = np.unique(idx, return_inverse=True)
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
@@ -143,7 +144,7 @@ def fit(texts: list[bytes], low: list[int], bits: int = 16, l2: float = 3e-4, ro
     """None if the rows don't hold both classes.  Every `folds`-th row is held out from a first fit;
     a line through its margins there (Platt's) calibrates the fit to all rows."""
     y = np.array(low, dtype=np.float64)
-    rows = [features(t, bits) for t in texts]
+    rows = [(i.astype(np.int32), x.astype(np.float32)) for i, x in (features(t, bits) for t in texts)]
     held = np.arange(len(y)) % folds == folds - 1
     if len(set(low)) < 2 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return None
@@ -169,9 +170,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "
     """The texts and low-quality flags of at most `rows` labelled documents, drawn by a hash of the id."""
     known = labels.select(F.col(id_col).alias("id"), (1 - F.col(label_col)).cast("int").alias("low")).where("id is not null and low in (0, 1)").dropDuplicates(["id"])
     picked = known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(rows)  # ids and flags: small enough to broadcast
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    found = sorted(((r.id, r.low, r.text or "") for r in joined.collect()), key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[2]))
-    return [t.encode() for _, _, t in found], [low for _, low, _ in found]
+    joined = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    once = joined.groupBy("id").agg(F.min("text").alias("text"), F.min("low").alias("low"))  # repeated ids count once
+    found = sorted((zlib.crc32(str(r.id).encode()), r.text, r.low) for r in once.collect())
+    return [t.encode() for _, t, _ in found], [low for _, _, low in found]
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
