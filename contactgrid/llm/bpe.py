@@ -163,7 +163,7 @@ def loaded(path: str, pattern: str) -> tuple[PrefixBPE, UnitEncoder]:
     """A worker's encoder; its caches of pieces are bounded."""
     if (path, pattern) not in _loaded:
         bpe = PrefixBPE(read_ranks(path))
-        _loaded[path, pattern] = bpe, UnitEncoder(bpe.encode, pattern)
+        _loaded[path, pattern] = bpe, UnitEncoder(lambda piece: bpe.encode(piece.encode()), pattern)
     return _loaded[path, pattern]
 
 

@@ -138,8 +138,8 @@ class Shard:
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, offsets = self._expansions()
         n = self.lengths[symbols]
-        begin = np.cumsum(n) - n
-        return flat[np.repeat(offsets[symbols] - begin, n) + np.arange(int(n.sum()))]
+        ends = np.cumsum(n)
+        return flat[np.repeat(offsets[symbols] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.starts[k] : self.starts[k + 1]])
@@ -159,7 +159,7 @@ class Shard:
         return symbol
 
     def all(self) -> list[np.ndarray]:
-        return np.split(self.expand(self.symbols), np.cumsum(self.counts)[:-1]) if len(self.counts) else []
+        return [self.document(k) for k in range(len(self.counts))]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20) -> None:

@@ -28,11 +28,11 @@ _LONG = 64
 
 
 class UnitEncoder:
-    """encode: the bytes of one match of `pattern` -> its ids.  Units and matches are kept in two
+    """encode: one match of `pattern` -> its ids.  Units and matches are kept in two
     generations of `limit` at most: when the younger is full it becomes the older one, from which what
     is still in use comes back, so memory stays bounded and common words are never made twice."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]], pattern: str, limit: int = 450_000):
+    def __init__(self, encode: Callable[[str], list[int]], pattern: str, limit: int = 450_000):
         self.encode, self.matches, self.limit = encode, regex.compile(pattern).findall, limit
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -64,7 +64,7 @@ class UnitEncoder:
         return b"".join([word, *(self._kept(p, self._encoded) for p in tail)])
 
     def _encoded(self, piece: str) -> bytes:
-        return array("H", self.encode(piece.encode())).tobytes()
+        return array("H", self.encode(piece)).tobytes()
 
     def _kept(self, unit: str, make: Callable[[str], bytes]) -> bytes:
         ids = self.known.get(unit)
@@ -110,12 +110,15 @@ class UnitEncoder:
         words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
         if len(self.spaced) > self.limit:
             self.older_spaced, self.spaced = self.spaced, {}
-        spaced, older = self.spaced, self.older_spaced
+        spaced, older, encode = self.spaced, self.older_spaced, self.encode
         found = list(map(spaced.get, words))
         for k, ids in enumerate(found):
             if ids is None:
                 w = words[k]
-                found[k] = ids = spaced.get(w) or older.get(w) or self._unit(" " + w)
+                ids = older.get(w)
+                if ids is None:
+                    ids = array("H", encode(" " + w)).tobytes() if w.isalpha() else self._unit(" " + w)
+                found[k] = ids
                 if len(w) <= _LONG:
                     spaced[w] = ids
         for w in flat.take(pa.array(starts[:-1])).to_pylist():
@@ -155,7 +158,14 @@ def library_encoder(path: str) -> UnitEncoder:
         tok = Tokenizer.from_file(path)
         if tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        model, written = tok.model, byte_alphabet()
-        _encoders[path] = UnitEncoder(lambda b: [t.id for t in model.tokenize(b.decode("latin-1").translate(written))], public_tokenizers.PATTERN)
+        tokenize, written = tok.model.tokenize, byte_alphabet()
+        blank = written[32]
+
+        def encode(piece: str) -> list[int]:
+            plain = piece.isascii() and piece.isprintable()  # then only the space is written otherwise
+            text = piece.replace(" ", blank) if plain else piece.encode().decode("latin-1").translate(written)
+            return [t.id for t in tokenize(text)]
+
+        _encoders[path] = UnitEncoder(encode, public_tokenizers.PATTERN)
         _encoders[path].size = tok.get_vocab_size()
     return _encoders[path]

@@ -50,7 +50,7 @@ def test_appends_and_edits(encoder):
 
 
 def test_bounded_caches_change_nothing(encoder, library):
-    small = bpe.UnitEncoder(encoder[0].encode, P.PATTERN, limit=3)
+    small = bpe.UnitEncoder(lambda piece: encoder[0].encode(piece.encode()), P.PATTERN, limit=3)
     text = "one two, three. four five\nsix  seven one two, " * 5
     assert small(text).tolist() == library.encode_ordinary(text)
 
