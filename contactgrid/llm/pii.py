@@ -36,7 +36,7 @@ def _iban(m: Column) -> Column:
 class Kind:
     """pattern must never match the empty string.  start: what precedes a match at its leftmost
     place, to save the search from every place of a long run; it never changes what is found.
-    score: without context; bonus: what a context word in the `reach` characters before adds."""
+    score: without context; bonus: what a context word in the REACH characters before or after adds."""
 
     name: str
     pattern: str
@@ -62,20 +62,36 @@ ADDED = (
 )
 BAR = 0.5
 REACH = 48
+#: Matches of a kind with context have 11 characters at least, so more than these are never within REACH.
+BETWEEN = REACH // 11
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
-def _proposals(text: Column, found: Column, kind: Kind, rank: int) -> Column:
+def _near(gaps: Column, found: Column, k: Column) -> Column:
+    """The REACH characters before match k and those after it, whatever other matches they hold; gaps
+    has the text before each match and the rest."""
+    left = lambda j: F.substring(F.get(gaps, j), -REACH, REACH)
+    right = lambda j: F.substring(F.get(gaps, j), 1, REACH)
+    before, after = [left(k)], [right(k + 1)]
+    for j in range(1, BETWEEN + 1):
+        before = [left(k - j), F.get(found, k - j), *before]
+        after += [F.get(found, k + j), right(k + j + 1)]
+    return F.lower(F.concat_ws("\n", F.substring(F.concat_ws("", *before), -REACH, REACH), F.substring(F.concat_ws("", *after), 1, REACH)))
+
+
+def _proposals(gaps: Column, found: Column, kind: Kind, rank: int) -> Column:
     """The spans of the matches found, in code points; positions come from the text between them."""
-    pairs = F.arrays_zip(F.slice(F.split(text, kind.pattern, -1), 1, F.size(found)).alias("gap"), found.alias("hit"))
+    parts = [F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit")]
+    if kind.context:
+        parts.append(F.transform(found, lambda _, k: _near(gaps, found, k)).alias("near"))
+    pairs = F.arrays_zip(*parts)
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["gap"])
         end = start + F.length(p["hit"])
         near = F.lit(0.0)
         if kind.context:
-            before = F.lower(F.substring(p["gap"], -REACH, REACH))
-            near = F.when(F.exists(F.array(*map(F.lit, kind.context)), lambda w: F.contains(before, w)), kind.bonus).otherwise(0.0)
+            near = F.when(F.exists(F.array(*map(F.lit, kind.context)), lambda w: F.contains(p["near"], w)), kind.bonus).otherwise(0.0)
         score = (F.lit(kind.score) + near).cast("double")
         good = score >= BAR
         if kind.check is not None:
@@ -96,14 +112,18 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     stays as it is; a column named pii_spans is replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = (*BASE, *ADDED)
-    hits, spans = {}, {}
+    hits, gaps, spans = {}, {}, {}
     for k, kind in enumerate(kinds):
         some = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
         hits[f"_hit{k}"] = F.when(F.contains(text, F.lit(kind.need)), some).otherwise(F.array().cast("array<string>")) if kind.need else some
-        spans[f"_span{k}"] = _proposals(text, F.col(f"_hit{k}"), kind, k)
-    out = docs.withColumns(hits).withColumns(spans)
+        split = F.split(text, kind.pattern, -1)
+        if kind.context:  # read for each match, so made once beforehand
+            gaps[f"_gap{k}"] = F.when(F.size(F.col(f"_hit{k}")) > 0, split).otherwise(F.array().cast("array<string>"))
+            split = F.col(f"_gap{k}")
+        spans[f"_span{k}"] = _proposals(split, F.col(f"_hit{k}"), kind, k)
+    out = docs.withColumns(hits).withColumns(gaps).withColumns(spans)
     out = out.withColumn("pii_spans", F.array_sort(F.concat(*(F.col(c) for c in spans))))
-    return out.drop(*hits, *spans)
+    return out.drop(*hits, *gaps, *spans)
 
 
 def written(spans: Column) -> Column:

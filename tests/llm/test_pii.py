@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from contactgrid.llm import pii
 
 
@@ -45,6 +47,28 @@ def test_added_kinds(spark):
     assert kinds == {0: {"iban"}, 1: set(), 2: {"ssn"}, 3: set(), 4: {"tel"}, 5: set()}
 
 
+def test_context_of_lists_and_behind(spark):
+    many = "call " + ", ".join(["202-555-0123"] * 6)
+    texts = {
+        "call 202-555-0123 or 202-555-0199": "tel:5:17,tel:21:33",
+        "SSNs: 123-45-6789, 234-56-7890": "ssn:6:17,ssn:19:30",
+        "123-45-6789 (SSN)": "ssn:0:11",
+        "202-555-0123, 202-555-0199 (fax)": "tel:0:12,tel:14:26",
+        "call 10.0.0.1 or a@b.c or 202-555-0123": "ip:5:13,email:17:22,tel:26:38",
+        "call" + " " * 44 + "202-555-0123": "tel:48:60",
+        "call" + " " * 45 + "202-555-0123": "",
+        "202-555-0123" + " " * 45 + "fax": "tel:0:12",
+        "202-555-0123" + " " * 46 + "fax": "",
+        many: ",".join(f"tel:{5 + 14 * k}:{17 + 14 * k}" for k in range(4)),
+        "é🙂 SSN 123-45-6789": "ssn:7:18",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: r.s for r in pii.with_spans(docs).select("text", pii.written(F.col("pii_spans")).alias("s")).collect()}
+    assert got == texts
+    long = spark.createDataFrame([(1, "call " + "202-555-0123 call " * 5000, "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert "555" not in pii.redact_stage(spark, long, "").first().text
+
+
 def test_redaction(spark):
     texts = ["é a@b.c, 1.2.3.4 end", "x a@b.c", None, "", "+4111 1111 1111 1111"]
     docs = spark.createDataFrame([(k, t, "en", "s", 5) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
