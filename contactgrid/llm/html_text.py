@@ -5,6 +5,8 @@ they stand and tags by their name; the weights are log odds fitted on labelled p
 their own article, so words inside articles score positive, words of menus and the like negative, and
 tags negative.  One linear scan finds the contiguous stretch of blocks with the highest score; its
 blocks are the text, without those in containers that are no article text wherever they stand.
+Elements, roles and hidden ones are such containers by themselves; words in class or id only tell of one
+that is no article, holds none and has at most half of the page's words, and else lower its words' scores.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "details", "d
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_RAW = re.compile(rf"<({'|'.join(sorted(RAW))})\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)
@@ -49,35 +53,46 @@ _SPACE = re.compile(r"\s+")
 PRIOR = {"word:in": 1.0, "word:link": -0.5, "word:out": -3.0, "word:other": 1.0, "tag:p": -0.2, "tag:other": -1.0}
 
 
-def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(outside, article): whether an element's content is no article text, and whether it is an
-    article.  A header inside the article is its heading."""
+def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """(outside, doubtful, article): whether an element's content is no article text, whether words in
+    its class or id say so, and whether it is an article.  A header inside the article is its heading."""
     article = name in ("article", "main")
     if name in OUTSIDE and not (name == "header" and in_article):
-        return True, False
+        return True, False, False
     if not attributes.strip():
-        return False, article
+        return False, False, article
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     role = found.get("role", "").lower()
     if role in OUTSIDE_ROLES or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, False
+        return True, False, False
     if _BARE_HIDDEN.search(_ATTRIBUTE.sub(" ", attributes)):
-        return True, False
-    words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(_HUMP.sub(r"\1 \2", found.get(k, "")))}
-    if name not in ("html", "body") and (words & OUTSIDE_WORDS or words & HEADER_WORDS and not in_article):
-        return True, False
-    marked = words & ARTICLE_WORDS and ("article" in words or words & ARTICLE_PARTS) and name not in ("html", "body")
-    return False, bool(article or role in ARTICLE_ROLES or marked or found.get("itemprop") == "articleBody")
-
-
-def blocks(page: str) -> list[tuple[str, str, Counter, bool]]:
-    """(text, place, tags before it, in an article) of every block of a page, in page order.  place:
-    in an article element, out (in a container that is no article text), link (mostly in links) or
-    other."""
-    out: list[tuple[str, str, Counter, bool]] = []
+        return True, False, False
+    names = [{w.lower() for w in _WORDS.findall(_HUMP.sub(r"\1 \2", x))} for k in ("class", "id") for x in found.get(k, "").split()]
+    other = lambda words: words & OUTSIDE_WORDS or words & HEADER_WORDS and not in_article
+    page = name in ("html", "body")
+    words = set().union(*(x for x in names if not other(x)))
+    marked = words & ARTICLE_WORDS and ("article" in words or words & ARTICLE_PARTS) and not page
+    return False, not page and any(map(other, names)), bool(article or role in ARTICLE_ROLES or marked or found.get("itemprop") == "articleBody")
+
+
+def _n_words(page: str) -> int:
+    """The words that a page or a part of it shows, about."""
+    return len(_TAG.sub(" ", _RAW.sub(" ", page)).split())
+
+
+def blocks(page: str) -> list[tuple[str, str, Counter, bool, int]]:
+    """(text, place, tags before it, in an article, doubt) of every block of a page, in page order.
+    place: in an article element, out (in a container that is no article text), link (mostly in links)
+    or other.  doubt, by words in class or id: 0 none; 1 of a container that is an article or has most
+    of the page's words; 2 of one that only holds an article."""
+    out: list[tuple[str, str, Counter, bool, int]] = []
+    own: list[tuple[int, ...]] = []  # the doubtful containers of each block
+    doubtful: list[list[int]] = []  # of each: whether an article, whether it holds one, words
+    doubts: tuple[int, ...] = ()
+    n_words = -1
     text: list[str] = []
     tags: Counter = Counter()
-    stack: list[tuple[str, bool, bool]] = []  # open elements that aren't inline: outside, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements that aren't inline: outside, doubtful, article
     outside = articles = links = 0
     linked = 0
 
@@ -86,15 +101,17 @@ def blocks(page: str) -> list[tuple[str, str, Counter, bool]]:
         got = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if got:
             place = "out" if outside else "in" if articles else "link" if 2 * linked > len(got) else "other"
-            out.append((got, place, tags, articles > 0))
+            out.append((got, place, tags, articles > 0, 0))
+            own.append(doubts)
             tags = Counter()
         text.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal outside, articles
-        _, off, article = stack.pop()
+        nonlocal outside, articles, doubts
+        _, off, doubt, article = stack.pop()
         outside -= off
+        doubts = doubts[:-1] if doubt else doubts
         articles -= article
 
     at, n = 0, len(page)
@@ -118,9 +135,14 @@ def blocks(page: str) -> list[tuple[str, str, Counter, bool]]:
         if name in INLINE:
             if name == "a":
                 links = 0 if m[1] else 1
-            if not m[1] and name not in VOID and _kind(name, m[3], articles > 0)[0]:
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = close.end() if close else at
+            if not m[1] and name not in VOID:
+                off, doubt, article = _kind(name, m[3], articles > 0)
+                close = re.compile(rf"</{name}\s*>", re.I).search(page, at) if off or doubt else None
+                if close and not off:
+                    n_words = n_words if n_words >= 0 else _n_words(page)
+                    inner = page[at : close.start()]
+                    off = not (article or _ARTICLE.search(inner) or 2 * _n_words(inner) > n_words)
+                at = close.end() if close and off else at
             continue
         if name == "br":
             text.append(" ")
@@ -135,26 +157,44 @@ def blocks(page: str) -> list[tuple[str, str, Counter, bool]]:
         elif name not in VOID:
             if name in CLOSES_P and stack and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 pop()
-            off, article = _kind(name, m[3], articles > 0)
-            stack.append((name, off, article))
+            off, doubt, article = _kind(name, m[3], articles > 0)
+            stack.append((name, off, doubt, article))
             outside += off
             articles += article
+            if article:
+                for k in doubts:
+                    doubtful[k][1] = 1
+            if doubt:
+                doubts += (len(doubtful),)
+                doubtful.append([article, 0, 0])
     end()
-    return out
-
-
-def _scores(found: list[tuple[str, str, Counter, bool]], weights: dict[str, float]) -> list[float]:
-    """Two scores a block: of the tags before it and of its words.  In a page that marks its article,
-    tags inside cost nothing, what is left out inside costs nothing, and no stretch reaches outside."""
-    marked = any(b[1] == "in" for b in found)
+    if not doubtful:
+        return out
+    sizes = [0 if b[1] == "out" else b[0].count(" ") + 1 for b in out]
+    for ks, size in zip(own, sizes, strict=True):
+        for k in ks:
+            doubtful[k][2] += size
+    half = sum(sizes) / 2
+    level = [1 if article or size > half else 2 if holds else 3 for article, holds, size in doubtful]
+    worst = [max((level[k] for k in ks), default=0) for ks in own]
+    return [(b[0], "out" if w == 3 else b[1], *b[2:4], w) for b, w in zip(out, worst, strict=True)]
+
+
+def _scores(found: list[tuple[str, str, Counter, bool, int]], weights: dict[str, float]) -> list[float]:
+    """Two scores a block: of the tags before it and of its words.  Doubt halves what words add.  In a
+    page that marks its article, tags and what is left out cost nothing, so that its parts are joined
+    over them; other words outside count against joining over them, and so do those of an article in a
+    doubtful container where the page has one that is in none."""
+    marked = {b[4] for b in found if b[1] == "in"}
     out = []
-    for text, place, tags, inside in found:
+    for text, place, tags, _, doubt in found:
         words = (text.count(" ") + 1) * weights[f"word:{place}"]
-        before = sum(n * weights[f"tag:{t}"] for t, n in tags.items())
+        words = words / 2 if doubt and words > 0 else words
         if marked:
-            out += [0.0 if inside else before, words if place == "in" else 0.0 if inside else -1e9]
+            against = place != "in" or doubt == 2 and min(marked) < 2
+            out += [0.0, 0.0 if place == "out" else -abs(words) if against else words]
         else:
-            out += [before, words]
+            out += [sum(n * weights[f"tag:{t}"] for t, n in tags.items()), words]
     return out
 
 
@@ -174,7 +214,8 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: dict[str, float] = PRIOR) -> str:
     found = blocks(page)
     lo, hi = best_stretch(_scores(found, weights))
-    return "\n\n".join(b[0] for k, b in enumerate(found) if lo <= 2 * k + 1 < hi and b[1] != "out")
+    left = ("link", "other", "out") if any(b[1] == "in" for b in found) else ("out",)
+    return "\n\n".join(b[0] for k, b in enumerate(found) if lo <= 2 * k + 1 < hi and b[1] not in left)
 
 
 def counts(page: str) -> Counter:
@@ -182,7 +223,7 @@ def counts(page: str) -> Counter:
     that mark no article count nothing."""
     found, out = blocks(page), Counter()
     if any(b[3] for b in found):
-        for text, place, tags, inside in found:
+        for text, place, tags, inside, _ in found:
             inside = inside and place == "in"
             out[f"word:{place}", inside] += text.count(" ") + 1
             for t, n in tags.items():

@@ -19,6 +19,30 @@ def test_pages(page):
     assert main_text(page) == PAGES[page]
 
 
+MAIN = "<h1>Title</h1><p>" + "main words here " * 8 + "</p>"
+BODY = ("main words here " * 8).strip()  # in a page without marks one word doesn't pay for its tags
+TEXT = f"Title\n\n{BODY}"
+MENU = "<ul class=menu>" + "<li><a href=x>Go</a>" * 30 + "</ul>"
+CLASSED = {
+    f"<main class='has-sidebar'>{MAIN}</main>": TEXT,
+    f"<div id=page class=with-sidebar><nav>menu</nav><article>{MAIN}</article></div>": TEXT,
+    f"<article class='post comments-open'>{MAIN}</article>": TEXT,
+    f"<article class='post category-social'>{MAIN}</article><div class=share>Share it</div>": TEXT,
+    f"<div class=post-content><div class=share>Tell all</div>{MAIN}</div><div class=article-comments>so good</div>": TEXT,
+    f"<div class='wrap no-sidebar'>{MAIN}</div><div class=sidebar><p>Tags and more</div>": BODY,
+    f"<span class=comment>{MAIN}</span>": BODY,
+    f"<article>{MAIN}</article><div class=ad>Buy now</div>{MENU}<article>{MAIN}</article>": f"{TEXT}\n\n{TEXT}",
+    f"<article>{MAIN}</article><p>see also</p><article>{MAIN}</article>": f"{TEXT}\n\n{TEXT}",
+    f"<article>{MAIN}</article><div id=comments><article>I agree</article></div>": TEXT,
+    f"<div class=with-sidebar><article>{MAIN}</article></div><div id=comments><p>{'me too ' * 99}</div>": TEXT,
+}
+
+
+@pytest.mark.parametrize("page", CLASSED)
+def test_class_words_do_not_rule_out_the_article(page):
+    assert main_text(page) == CLASSED[page]
+
+
 def test_best_stretch_is_the_best():
     import random
 
