@@ -41,6 +41,25 @@ def overlap_ratio(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(inner > 0, F.try_divide(inner.cast("double"), (F.greatest(e1, e2) - F.least(s1, s2)).cast("double"))).otherwise(0.0)
 
 
+def overlapping_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(chrom, s1, e1, s2, e2) of every interval of a and of b(chrom, start, end) that have a stretch in
+    common, each pair once.
+
+    Both are dealt to the cells they touch, as wide as a chromosome's mean interval, so all copies
+    together are few times the intervals however long some are; a pair counts in the cell where its
+    common stretch starts."""
+    both = a.select("chrom", "start", "end").unionByName(b.select("chrom", "start", "end")).where("end > start")
+    width = both.groupBy("chrom").agg(F.ceil(F.avg(F.col("end") - F.col("start"))).alias("w"))
+    sides = []
+    for k, side in ((1, a), (2, b)):
+        d = side.where("end > start").join(F.broadcast(width), "chrom")
+        cells = F.sequence(floor_div(F.col("start"), F.col("w")), floor_div(F.col("end") - 1, F.col("w")))
+        own = [F.col("w")] if k == 1 else []
+        sides.append(d.select("chrom", *own, F.explode(cells).alias("cell"), F.col("start").alias(f"s{k}"), F.col("end").alias(f"e{k}")))
+    meet = (F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")) & (floor_div(F.greatest("s1", "s2"), F.col("w")) == F.col("cell"))
+    return sides[0].join(sides[1], ["chrom", "cell"]).where(meet).select("chrom", "s1", "e1", "s2", "e2")
+
+
 def nesting_levels(domains: DataFrame) -> DataFrame:
     """domains(chrom, start, end) with level, the number of other domains that hold them.
 

@@ -183,8 +183,8 @@ def binarised_nnz(spark, sf_dir):
     return marginals.marginal(marginals.select_pixels(_m(spark, sf_dir), 2, binarize=True))
 
 
-def _iv(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 97 = 0")
+def _iv(spark, sf_dir, where="o_orderkey % 97 = 0"):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(where)
     r = contacts.table_chroms(spark, sf_dir).select("chrom_id", F.col("name").alias("chrom"))
     start = (F.col("o_custkey") * 131 + F.col("o_orderkey")) % 19000
     iv = o.select((F.col("o_orderkey") % 5).cast("int").alias("chrom_id"), start.alias("start"), (start + 1 + F.col("o_orderkey") % 700).alias("end"))
@@ -223,6 +223,42 @@ def low_minus_high(spark, sf_dir):
     return iv.where("start < 12000").join(iv.where("start > 6000"), ["chrom", "start", "end"], "left_anti")
 
 
+# The five above take the orders that their SQL takes; these take all orders, and have no SQL.
+
+
+def _all_iv(spark, sf_dir):
+    return _iv(spark, sf_dir, "true")
+
+
+@query()
+def blacklist_overlap_all(spark, sf_dir):
+    return intervals.overlapping_bins(_m(spark, sf_dir), _all_iv(spark, sf_dir))
+
+
+@query()
+def included_bins_all(spark, sf_dir):
+    return intervals.local_bins(_all_iv(spark, sf_dir), 100)
+
+
+@query()
+def nesting_level_all(spark, sf_dir):
+    return intervals.nesting_levels(_all_iv(spark, sf_dir))
+
+
+@query()
+def interval_overlap_ratio_all(spark, sf_dir):
+    """Pairs that overlap, also across cells."""
+    iv = _all_iv(spark, sf_dir)
+    r = intervals.overlap_ratio(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
+    return intervals.overlapping_pairs(iv, iv).select("chrom", "s1", "e1", "s2", "e2", F.round(r, 6).alias("ratio"))
+
+
+@query()
+def low_minus_high_all(spark, sf_dir):
+    iv = _all_iv(spark, sf_dir)
+    return iv.where("start < 12000").join(iv.where("start > 6000"), ["chrom", "start", "end"], "left_anti")
+
+
 @query(with_base(""", e as (select distinct bin1_id % 50 as a, bin2_id % 50 as b from pixels where count > 2) select a, b from e intersect select b, a from e"""))
 def reciprocal_edges(spark, sf_dir):
     px = _m(spark, sf_dir).pixels.where("count > 2")
@@ -731,3 +767,11 @@ def finest_resolution(spark, sf_dir):
     cells, _ = _cis(spark, sf_dir)
     rows = cells.where("d = 0 and i < 3").select("chrom_id", F.col("i").alias("pos"), (100 + F.col("i") % 3 * 100).alias("res"))
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("chrom_id").orderBy("res"))).where("k = 1").select("chrom_id", "pos")
+
+
+@query()
+def finest_resolution_all(spark, sf_dir):
+    """The same over all rows of the diagonal, the first of equals; without SQL."""
+    cells, _ = _cis(spark, sf_dir)
+    rows = cells.where("d = 0").select("chrom_id", F.struct((100 + F.col("i") % 3 * 100).alias("res"), F.col("i").alias("pos")).alias("x"))
+    return rows.groupBy("chrom_id").agg(F.min("x").alias("x")).select("chrom_id", "x.pos")
