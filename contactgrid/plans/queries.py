@@ -635,7 +635,7 @@ def validate_corrupt(spark, sf_dir):
 
 
 
-# ---- callers, on block matrices whose domains are known ----
+# ---- callers, on the matrix of the tables; where SQL knows the domains, on block matrices as well ----
 
 
 def _toy(spark):
@@ -646,7 +646,7 @@ def _toy(spark):
 def tads_separation(spark, sf_dir):
     from ..operators.tads import separation
 
-    _, found = separation.call_boundaries(_toy(spark))
+    _, found = separation.call_boundaries(_m(spark, sf_dir))
     return spark.createDataFrame(found[["chrom_id", "start", "end", "score", "delta", "p"]], "chrom_id int, start long, end long, score double, delta double, p double")
 
 
@@ -654,7 +654,7 @@ def tads_separation(spark, sf_dir):
 def tads_hierarchy(spark, sf_dir):
     from ..operators.tads import hierarchy
 
-    return hierarchy.call_hierarchy(_toy(spark), hierarchy.HierarchyParams(max_size=40))
+    return hierarchy.call_hierarchy(_m(spark, sf_dir))
 
 
 @query("""select c::int as chrom_id, k * 20 as start_bin, k * 20 + 19 as end_bin, k * 400000 as start, (k + 1) * 400000 - 1 as "end" from unnest(generate_series(0::bigint, 1)) a(c), unnest(generate_series(0::bigint, 9)) b(k)""")
@@ -668,29 +668,28 @@ def tads_multires(spark, sf_dir):
 def tads_blocks(spark, sf_dir):
     from ..operators.tads import blocks
 
-    return blocks.call_blocks(_toy(spark), blocks.BlockParams(width=80, gap=3, min_block=5))
+    return blocks.call_blocks(_m(spark, sf_dir))
 
 
 @query()
 def tads_directionality(spark, sf_dir):
     from ..operators.tads import directionality
 
-    return directionality.call_domains(_toy(spark))[0]
+    return directionality.call_domains(_m(spark, sf_dir))[0]
 
 
 @query()
 def objective_weights(spark, sf_dir):
     from ..operators import objective
 
-    m = contacts.toy_matrix(spark, domains=4, width=10)
-    return objective.normalize(m, objective.ObjectiveParams(window=40, rounds=10, min_nnz=5))
+    return objective.normalize(_m(spark, sf_dir))
 
 
 @query()
 def tads_nested(spark, sf_dir):
     from ..operators.tads import nested
 
-    return nested.call_nested({20_000: _toy(spark)})
+    return nested.call_nested({100: _m(spark, sf_dir)})
 
 
 @query("""select c::int as chrom_id, k * 400000 as start1, (k + 1) * 400000 as end1, 1::int as n1, k * 400000 as start2, (k + 1) * 400000 as end2, 1::int as n2, 'conserved' as kind
@@ -703,6 +702,22 @@ def tads_aligned(spark, sf_dir):
     return alignment.align(d, d, 20_000)
 
 
+@query()
+def tads_multires_all(spark, sf_dir):
+    from ..operators.tads import multires
+
+    return multires.call_multires(_m(spark, sf_dir))[1]
+
+
+@query()
+def tads_aligned_all(spark, sf_dir):
+    """Domains of the items returned against those of the others."""
+    from ..operators.tads import alignment, nested
+
+    a, b = (nested.call_nested({100: m}) for m in _pair(spark, sf_dir))
+    return alignment.align(a, b, 100)
+
+
 # ---- text outputs and smaller functions ----
 
 
