@@ -162,13 +162,14 @@ class Shard:
         return [self.document(k) for k in range(len(self.counts))]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20, added: bool = False) -> None:
     """Encodes the documents in ascending order of their ids (null first), each followed by `end_id`,
     and writes files of about `shard_ids` ids: a Parquet table (part, seq, ids of documents, n_ids,
-    data), in the order of part and seq.  A null text counts as an empty one."""
+    data), in the order of part and seq.  A null text counts as an empty one.  added: as for
+    library_encoder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer)
+        encode = library_encoder(tokenizer, added)
         first = encode.size
         part, seq = TaskContext.get().partitionId(), 0
         ids, held, n = [], [], 0
@@ -228,9 +229,9 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
-    """Every document written to token files and read back."""
+    """Every document written to token files and read back; added tokens in a text are those tokens."""
     import public_tokenizers
 
     path = scratch(spark, "tokens")
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return read_tokens(spark, path).withColumnRenamed("id", "doc_id")

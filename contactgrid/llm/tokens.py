@@ -30,15 +30,19 @@ _LONG = 64
 class UnitEncoder:
     """encode: one match of `pattern` -> its ids.  Units and matches are kept in two
     generations of `limit` at most: when the younger is full it becomes the older one, from which what
-    is still in use comes back, so memory stays bounded and common words are never made twice."""
+    is still in use comes back, so memory stays bounded and common words are never made twice.  added:
+    strings that are one id wherever they stand; texts are cut at them first, the leftmost and longest."""
 
-    def __init__(self, encode: Callable[[str], list[int]], pattern: str, limit: int = 450_000):
+    def __init__(self, encode: Callable[[str], list[int]], pattern: str, limit: int = 450_000, added: dict[str, int] | None = None):
         self.encode, self.matches, self.limit = encode, regex.compile(pattern).findall, limit
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.older_spaced: dict[str, bytes] = {}
         self.size = 1 << 16  # ids are below it
+        self.added = {s: array("H", [k]).tobytes() for s, k in (added or {}).items()}
+        any_added = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+        self.cut = re.compile(f"({any_added})").split if self.added else None
 
     def _pieces(self, unit: str) -> list[str]:
         """The pattern's matches.  Letters, after a space or not and before one common mark or not,
@@ -88,6 +92,8 @@ class UnitEncoder:
         for lo in range(0, len(texts), rows):
             part = texts.slice(lo, rows).fill_null("")
             loose = pc.or_(pc.match_substring_regex(part, _LOOSE), pc.starts_with(part, " "))
+            for s in self.added:
+                loose = pc.or_(loose, pc.match_substring(part, s))
             some = self._words(part.filter(pc.invert(loose)))
             if pc.any(loose).as_py():
                 rest, which = iter(part.filter(loose).to_pylist()), loose.to_pylist()
@@ -97,7 +103,10 @@ class UnitEncoder:
         return out
 
     def _loose(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([self._kept(u, self._unit) for u in _UNITS.findall(text)]), dtype=np.uint16)
+        found = []
+        for k, piece in enumerate(self.cut(text) if self.cut else (text,)):
+            found += [self.added[piece]] if k % 2 else [self._kept(u, self._unit) for u in _UNITS.findall(piece)]
+        return np.frombuffer(b"".join(found), dtype=np.uint16)
 
     def _words(self, texts: pa.Array) -> list[np.ndarray]:
         """Of texts whose units are the words with the one space before them, but for the first."""
@@ -145,19 +154,23 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-_encoders: dict[str, UnitEncoder] = {}
+_encoders: dict[tuple[str, bool], UnitEncoder] = {}
 
 
-def library_encoder(path: str) -> UnitEncoder:
-    """The worker's encoder by the tokenizers library's model of a tokenizer file, without special
-    tokens: their strings in a text are ordinary text.  Ids must be under 65,536."""
-    if path not in _encoders:
+def library_encoder(path: str, added: bool = False) -> UnitEncoder:
+    """The worker's encoder by the tokenizers library's model of a tokenizer file.  added: the strings of
+    the file's added tokens are those tokens, as in the library; else they are ordinary text.  Ids must
+    be under 65,536."""
+    if (path, added) not in _encoders:
         import public_tokenizers
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         if tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
+        own = tok.get_added_tokens_decoder() if added else {}
+        if any(t.lstrip or t.rstrip or t.single_word for t in own.values()):
+            raise ValueError("added tokens that depend on what stands beside them")
         tokenize, written = tok.model.tokenize, byte_alphabet()
         blank = written[32]
 
@@ -166,6 +179,6 @@ def library_encoder(path: str) -> UnitEncoder:
             text = piece.replace(" ", blank) if plain else piece.encode().decode("latin-1").translate(written)
             return [t.id for t in tokenize(text)]
 
-        _encoders[path] = UnitEncoder(encode, public_tokenizers.PATTERN)
-        _encoders[path].size = tok.get_vocab_size()
-    return _encoders[path]
+        _encoders[path, added] = UnitEncoder(encode, public_tokenizers.PATTERN, added={t.content: k for k, t in own.items()})
+        _encoders[path, added].size = tok.get_vocab_size()
+    return _encoders[path, added]

@@ -90,3 +90,25 @@ def test_counts_of_ragged_blocks(spark):
     got = [(r.file, r.doc_no, r.n_tokens, r.complete) for r in token_counts.count_documents(blocks, 0).collect()]
     assert sorted(got) == sorted(want)
     assert token_counts.count_documents(blocks.limit(0), 0).count() == 0
+
+
+ADDED = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", " y  <|endoftext|>\n z", "<|endoftext|", "plain words", "", None, "a <|endoftext|> b."]
+
+
+def test_added_tokens_as_plain_encode():
+    tok = Tokenizer.from_file(PATH)
+    encode = library_encoder(PATH, added=True)
+    for t in ADDED:
+        assert encode(t or "").tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_op9_finds_added_tokens(spark, tmp_path):
+    tok = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in token_files.op9_token_files(spark, str(tmp_path)).collect()}
+    at = 0
+    for k, t in enumerate(ADDED):
+        own = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (rows[k].start, rows[k].n_tokens, rows[k].ids_crc32) == (at, len(own), zlib.crc32(own.tobytes()))
+        at += len(own)
