@@ -27,7 +27,10 @@ _STRIDE = 4096
 def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 19) -> None:
     """Writes a flat file of u16 ids for each partition of `docs`, in blocks of exactly `block_ids` ids
     but the last; and beside the ids, for those who want to name the documents, their ids in the
-    file's order.  Table: file, block, data | file, named (first document's number), ids."""
+    file's order.  Table: file, block, data | file, named (first document's number), ids.
+
+    A null or empty text is a document of its end id alone; repeated rows and ids (null ones too) are
+    documents of their own; other columns, whatever their names, are ignored; no rows give no files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(tokenizer)
@@ -106,6 +109,15 @@ def count_documents(blocks: DataFrame, end_id: int, item_bytes: int = 2) -> Data
     return stitched.unionByName(inner).unionByName(rest)
 
 
+def named_counts(spark, path: str, end_id: int) -> DataFrame:
+    """(id, file, doc_no, n_tokens, complete) of every document of a table of write_flat."""
+    table = spark.read.parquet(path)
+    counts = count_documents(table.where("block is not null").select("file", "block", "data"), end_id)
+    names = table.where("named is not null").select("file", "named", F.posexplode("ids").alias("k", "id"))
+    names = names.select("file", (F.col("named") + F.col("k")).alias("doc_no"), "id")
+    return names.join(counts, ["file", "doc_no"]).select("id", "file", "doc_no", "n_tokens", "complete")
+
+
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
     """Writes every document to flat token files, counts them by their separators, and names them."""
     import public_tokenizers
@@ -113,8 +125,4 @@ def op4_token_counts(spark, sf_dir: str) -> DataFrame:
     end_id = 50256
     path = scratch(spark, "flat")
     write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id)
-    table = spark.read.parquet(path)
-    counts = count_documents(table.where("block is not null").select("file", "block", "data"), end_id)
-    names = table.where("named is not null").select("file", "named", F.posexplode("ids").alias("k", "doc_id"))
-    names = names.select("file", (F.col("named") + F.col("k")).alias("doc_no"), "doc_id")
-    return names.join(counts, ["file", "doc_no"]).select("doc_id", "n_tokens", "complete", F.col("file").alias("file_no"), "doc_no")
+    return named_counts(spark, path, end_id).select(F.col("id").alias("doc_id"), "n_tokens", "complete", F.col("file").alias("file_no"), "doc_no")

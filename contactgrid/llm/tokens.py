@@ -11,15 +11,18 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: A space after white space (fixed values: those characters): splitting at every space is then no such cut.
-_LOOSE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+#: The characters that are white space to the pre-tokenisers.
+_BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Texts that aren't cut at every space alike: a space after white space, and the mark that is put in for lines.
+_LOOSE = rf"[{_BLANK}] |\x00"
+_LINE, _CUT_LINE = rf"([^{_BLANK}])\n", "\\1 \x00\n"
 _UNITS = re.compile(r"\s*\S+|\s+")
 #: Marks that stand alone at the end of a word under the pattern.
 _MARKS = frozenset(".,;:!?")
@@ -27,13 +30,19 @@ _MARKS = frozenset(".,;:!?")
 _LONG = 64
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist, but in one call."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class UnitEncoder:
     """encode: one match of `pattern` -> its ids.  Units and matches are kept in two
     generations of `limit` at most: when the younger is full it becomes the older one, from which what
-    is still in use comes back, so memory stays bounded and common words are never made twice.  added:
-    strings that are one id wherever they stand; texts are cut at them first, the leftmost and longest."""
+    is still in use comes back, so memory stays bounded (about 150 bytes an entry) and common words are
+    never made twice.  added: strings that are one id wherever they stand; texts are cut at them first,
+    the leftmost and longest."""
 
-    def __init__(self, encode: Callable[[str], list[int]], pattern: str, limit: int = 450_000, added: dict[str, int] | None = None):
+    def __init__(self, encode: Callable[[str], list[int]], pattern: str, limit: int = 300_000, added: dict[str, int] | None = None):
         self.encode, self.matches, self.limit = encode, regex.compile(pattern).findall, limit
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -45,27 +54,28 @@ class UnitEncoder:
         self.cut = re.compile(f"({any_added})").split if self.added else None
 
     def _pieces(self, unit: str) -> list[str]:
-        """The pattern's matches.  Letters, after a space or not and before one common mark or not,
-        are told without it."""
-        word = unit[1:] if unit[0] == " " else unit
-        if word.isalpha():
-            return [unit]
-        if word[-1:] in _MARKS and word[:-1].isalpha():
-            return [unit[:-1], unit[-1]]
-        return self.matches(unit)
+        """The pattern's matches.  Letters, after a space or one line's end or not and before one common
+        mark or not, are told without it."""
+        head = unit[0]
+        word = unit[1:] if head in " \n" else unit
+        mark = word[-1:] in _MARKS
+        if not (word[:-1] if mark else word).isalpha():
+            return self.matches(unit)
+        lead = ["\n"] if head == "\n" else []
+        word = word if head == "\n" else unit
+        return [*lead, word[:-1], word[-1]] if mark else [*lead, word]
 
     def _unit(self, unit: str) -> bytes:
-        pieces = self._pieces(unit)
-        if len(pieces) == 1:
-            return self._encoded(unit)
-        head, *tail = pieces
-        # the word without its mark is common: it is kept like one that stands alone
-        word = self.spaced.get(head[1:]) or self.older_spaced.get(head[1:]) if head[0] == " " and len(head) > 1 else None
-        if word is None:
-            word = self._encoded(head)
-            if head[0] == " " and 1 < len(head) <= _LONG:
-                self.spaced[head[1:]] = word
-        return b"".join([word, *(self._kept(p, self._encoded) for p in tail)])
+        return b"".join(map(self._piece, self._pieces(unit)))
+
+    def _piece(self, piece: str) -> bytes:
+        """A word without its mark is common: it is kept like one that stands alone."""
+        if piece[0] != " " or len(piece) == 1:
+            return self._kept(piece, self._encoded)
+        ids = self.spaced.get(piece[1:]) or self.older_spaced.get(piece[1:]) or self._encoded(piece)
+        if len(piece) <= _LONG:
+            self.spaced[piece[1:]] = ids
+        return ids
 
     def _encoded(self, piece: str) -> bytes:
         return array("H", self.encode(piece)).tobytes()
@@ -73,7 +83,7 @@ class UnitEncoder:
     def _kept(self, unit: str, make: Callable[[str], bytes]) -> bytes:
         ids = self.known.get(unit)
         if ids is None:
-            if len(self.known) > self.limit // 2:
+            if len(self.known) > self.limit // 6:
                 self.older, self.known = self.known, {}
             ids = self.older.get(unit) or make(unit)
             if len(unit) <= _LONG:
@@ -82,25 +92,29 @@ class UnitEncoder:
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text, as unsigned 16-bit integers."""
-        return self.batch(pa.array([text], pa.string()))[0]
-
-    def batch(self, texts: pa.Array, rows: int = 4096) -> list[np.ndarray]:
-        """The ids of each text; null counts as empty.  At most `rows` texts are in hand at a time: their
-        words are told apart by a hash table of Arrow's, each distinct word's ids come from the cache or
-        are made, and all texts' ids are gathered from those at once."""
-        out: list[np.ndarray] = []
-        for lo in range(0, len(texts), rows):
-            part = texts.slice(lo, rows).fill_null("")
-            loose = pc.or_(pc.match_substring_regex(part, _LOOSE), pc.starts_with(part, " "))
-            for s in self.added:
-                loose = pc.or_(loose, pc.match_substring(part, s))
-            some = self._words(part.filter(pc.invert(loose)))
-            if pc.any(loose).as_py():
-                rest, which = iter(part.filter(loose).to_pylist()), loose.to_pylist()
-                some_left = iter(some)
-                some = [self._loose(next(rest)) if x else next(some_left) for x in which]
-            out += some
-        return out
+        return next(self.batch(pa.array([text], pa.string())))
+
+    def batch(self, texts: pa.Array, most: int = 1 << 21) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; null counts as empty.  At most about `most` bytes of text, or one
+        text, are in hand at a time: their words are told apart by a hash table of Arrow's, each distinct
+        word's ids come from the cache or are made, and all texts' ids are gathered from those at once."""
+        full = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(full, most + (full[lo - 1] if lo else 0), side="right")))
+            yield from self._slice(texts.slice(lo, hi - lo).fill_null(""))
+            lo = hi
+
+    def _slice(self, part: pa.Array) -> Iterator[np.ndarray]:
+        loose = pc.or_(pc.match_substring_regex(part, _LOOSE), pc.starts_with(part, " "))
+        for s in self.added:
+            loose = pc.or_(loose, pc.match_substring(part, s))
+        if not pc.any(loose).as_py():
+            yield from self._words(part)
+            return
+        rest, plain = iter(part.filter(loose).to_pylist()), self._words(part.filter(pc.invert(loose)))
+        for x in loose.to_pylist():
+            yield self._loose(next(rest)) if x else next(plain)
 
     def _loose(self, text: str) -> np.ndarray:
         found = []
@@ -108,15 +122,17 @@ class UnitEncoder:
             found += [self.added[piece]] if k % 2 else [self._kept(u, self._unit) for u in _UNITS.findall(piece)]
         return np.frombuffer(b"".join(found), dtype=np.uint16)
 
-    def _words(self, texts: pa.Array) -> list[np.ndarray]:
-        """Of texts whose units are the words with the one space before them, but for the first."""
+    def _words(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Of texts whose units are the words with the one space before them, but for the first, and
+        those that begin with a line's end."""
         if not len(texts):
-            return []
-        split = pc.split_pattern(texts, " ")
+            return
+        split = pc.split_pattern(pc.replace_substring_regex(texts, _LINE, _CUT_LINE), " ")
         starts = split.offsets.to_numpy()
-        flat = split.flatten()
-        coded = flat.dictionary_encode()
-        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        coded = split.flatten().dictionary_encode()
+        first = _strings(split.flatten().take(pa.array(starts[:-1])))
+        words, which = _strings(coded.dictionary), coded.indices.to_numpy().copy()
+        del split, coded
         if len(self.spaced) > self.limit:
             self.older_spaced, self.spaced = self.spaced, {}
         spaced, older, encode = self.spaced, self.older_spaced, self.encode
@@ -126,24 +142,26 @@ class UnitEncoder:
                 w = words[k]
                 ids = older.get(w)
                 if ids is None:
-                    ids = array("H", encode(" " + w)).tobytes() if w.isalpha() else self._unit(" " + w)
+                    if w.isalpha():
+                        ids = array("H", encode(" " + w)).tobytes()
+                    else:
+                        ids = self._unit(w[1:] if w[:1] == "\0" else " " + w)
                 found[k] = ids
                 if len(w) <= _LONG:
                     spaced[w] = ids
-        for w in flat.take(pa.array(starts[:-1])).to_pylist():
-            found.append(self._kept(w, self._unit) if w else b"")
-        which[starts[:-1]] = len(words) + np.arange(len(texts))
+        found += [self._kept(w, self._unit) if w else b"" for w in first]
+        which[starts[:-1]] = len(words) + np.arange(len(first))
+        del words
         sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 1
         table = np.frombuffer(b"".join(found), dtype=np.uint16)
         n = sizes[which]
         ends = np.cumsum(n, dtype=np.int64)
         place = (np.cumsum(sizes, dtype=np.int64) - sizes)[which] - ends + n
         # documents in turn, so that no array of places is longer than a document
-        out, edges = [], [0, *ends[starts[1:] - 1].tolist()]
+        edges = [0, *ends[starts[1:] - 1].tolist()]
         for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-            words = slice(starts[k], starts[k + 1])
-            out.append(table[np.repeat(place[words], n[words]) + np.arange(lo, hi)])
-        return out
+            own = slice(starts[k], starts[k + 1])
+            yield table[np.repeat(place[own], n[own]) + np.arange(lo, hi)]
 
 
 def byte_alphabet() -> dict[int, str]:

@@ -2,11 +2,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from contactgrid.llm import token_counts, token_files
-from contactgrid.llm.tokens import library_encoder
+from contactgrid.llm.tokens import UnitEncoder, library_encoder
 
 PATH = P.path("byte_bpe_50k.json")
 TEXTS = {7: "a b c", 3: None, 1: "", 9: "x " * 4000, 4: "a b c", 12: "  two\n\nlines <|endoftext|>"}
@@ -14,11 +15,32 @@ TEXTS = {7: "a b c", 3: None, 1: "", 9: "x " * 4000, 4: "a b c", 12: "  two\n\nl
 
 @pytest.fixture(scope="module")
 def ids():
+    """As ordinary text, the added token too: what separates documents must not come from a text."""
     tok = Tokenizer.from_file(PATH)
     tok.encode_special_tokens = True
     return {k: tok.encode(t or "", add_special_tokens=False).ids for k, t in TEXTS.items()}
 
 
+LINES = ["a\n\nb", "a\n\n\nb c", "\nx", "x\n", "x \n y", "a\r\nb", "a\x00b c", "\x00\n", "é\nÉ, ok.\nThen", "don't\nwon't x.y", "a,\nb 12\n34", "t\u2028\nq", "w\n" * 50, "one  two\tthree", "wörd " * 3000, "\n\n", "", "?!\n?!", "a\x0b\nb"]
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 21])
+def test_lines_and_slices_as_the_library(most):
+    tok = Tokenizer.from_file(PATH)
+    encode = library_encoder(PATH, added=True)
+    texts = [*LINES, None, *(a + b for a in LINES for b in LINES)]
+    got = [x.tolist() for x in encode.batch(pa.array(texts, pa.string()), most)]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_caches_are_bounded():
+    encode = UnitEncoder(lambda piece: [len(piece)], P.PATTERN, limit=50)
+    for k in range(40):
+        text = " ".join(f"w{k}x{j}, q" for j in range(20))
+        assert sum(encode(text).tolist()) == len(text)
+        assert max(map(len, (encode.known, encode.older, encode.spaced, encode.older_spaced))) < 50 + 4 * 20
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame([(k, t, 0) for k, t in TEXTS.items()], "doc_id long, text string, start int")
@@ -72,6 +94,21 @@ def test_counts(spark, docs, ids, tmp_path, block_ids):
     assert got.where("not complete").count() == 0
 
 
+def test_each_document_gets_its_own_count(spark, ids, tmp_path):
+    """The rows of the query against the library; ids that repeat, nulls and clashing columns."""
+    tok = Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    texts = [*TEXTS.values(), *LINES, "a <|endoftext|> b", "x " * 9]
+    rows = [(k // 2 if k > 9 else k, t, "d", 7) for k, t in enumerate(texts)] + [(None, "no id", "d", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, data string, file long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in token_counts.op4_token_counts(spark, str(tmp_path)).collect())
+    assert got == sorted((-1 if k is None else k, len(tok.encode(t or "", add_special_tokens=False).ids)) for k, t, *_ in rows)
+    path = str(tmp_path / "none")
+    token_counts.write_flat(docs.limit(0), path, PATH, 50256)
+    assert token_counts.named_counts(spark, path, 50256).count() == 0
+
+
 def test_counts_of_ragged_blocks(spark):
     rng = np.random.default_rng(1)
     rows, want = [], []
