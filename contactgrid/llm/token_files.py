@@ -165,8 +165,12 @@ class Shard:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20, added: bool = False) -> None:
     """Encodes the documents in ascending order of their ids (null first), each followed by `end_id`,
     and writes files of about `shard_ids` ids: a Parquet table (part, seq, ids of documents, n_ids,
-    data), in the order of part and seq.  A null text counts as an empty one.  added: as for
-    library_encoder."""
+    data), in the order of part and seq.
+
+    Rows that repeat an id follow each other by a hash of their text, then by the text, so the files
+    don't depend on how the rows came; a group of one id may go to several tasks, cut between hashes.
+    A null text counts as an empty one; no rows give no files; other columns, whatever their names, are
+    ignored.  added: as for library_encoder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(tokenizer, added)
@@ -194,9 +198,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
         if ids:
             yield flush()
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    ordered = src.repartitionByRange("id").sortWithinPartitions("id")
+    ordered = src.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     ordered.mapInArrow(run, f"part int, seq int, ids array<{kind}>, n_ids long, data binary").write.parquet(path)
 
 

@@ -149,3 +149,16 @@ def test_op9_finds_added_tokens(spark, tmp_path):
         own = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
         assert (rows[k].start, rows[k].n_tokens, rows[k].ids_crc32) == (at, len(own), zlib.crc32(own.tobytes()))
         at += len(own)
+
+
+def test_repeated_ids_have_an_order(spark, tmp_path):
+    """The same rows in other partitions give the same files; no text is lost."""
+    rows = [(k % 5, f"text {k} " * (k % 7), 1) for k in range(60)] + [(None, "a b", 1), (None, None, 1), (3, None, 1), (3, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
+    found = []
+    for n in (1, 5):
+        path = str(tmp_path / f"t{n}")
+        token_files.write_tokens(docs.repartition(n), path, PATH, shard_ids=100)
+        found.append(sorted(map(tuple, token_files.read_tokens(spark, path).collect()), key=lambda r: r[1]))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert [r[0] for r in found[0]] == sorted((k for k, *_ in rows), key=lambda k: -1 if k is None else k)
