@@ -6,6 +6,7 @@ words of context near by adjust a score; proposals under the bar are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -47,83 +48,121 @@ class Kind:
     need: str = ""
 
 
-#: Found by form alone (with its checks), whatever the context.  Possessive runs match what greedy ones
-#: do here, since nothing after them could take their characters.
+#: Words of context, fixed values of four languages.
+_CALL = ("phone", "telefon", "teléfono", "téléphone", "tel.", "tel:", "call", "mobile", "fax")
+_MAIL = ("mail", "contact", "kontakt", "correo", "courriel", "write to")
+_HOST = ("ip", "host", "server", "address", "adresse", "dirección", "login")
+_CARD = ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta", "payment")
+_BANK = ("iban", "account", "konto", "compte", "cuenta", "bank")
+_SSN = ("ssn", "social security", "tax id", "taxpayer")
+#: Found by form alone (with its checks), whatever the context: their own score passes the bar.
+#: Possessive runs match what greedy ones do here, since nothing after them could take their characters.
 BASE = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", need="@"),
-    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), need="."),
-    Kind("card", r"[0-9](?:[ -]?[0-9])++", _card),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), need="+"),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, 0.8, 0.2, _MAIL, "@"),
+    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), 0.6, 0.3, _HOST, "."),
+    Kind("card", r"[0-9](?:[ -]?[0-9])++", _card, 0.7, 0.3, _CARD),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.6, 0.3, _CALL, "+"),
 )
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban, 0.9),
-    Kind("ssn", r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])", None, 0.3, 0.5, ("ssn", "social security", "tax id", "taxpayer"), "-"),
-    Kind("tel", r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])", None, 0.3, 0.5, ("phone", "telefon", "teléfono", "téléphone", "tel.", "tel:", "call", "mobile", "fax")),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban, 0.7, 0.3, _BANK),
+    Kind("ssn", r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])", None, 0.3, 0.5, _SSN, "-"),
+    Kind("tel", r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])", None, 0.3, 0.5, _CALL),
 )
 BAR = 0.5
 REACH = 48
-#: Matches of a kind with context have 11 characters at least, so more than these are never within REACH.
-BETWEEN = REACH // 11
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+#: Running values are made in blocks of this many, texts cut in chunks of so many characters.
+_BLOCK, _CHUNK = 128, 256
 
 
-def _near(gaps: Column, found: Column, k: Column) -> Column:
-    """The REACH characters before match k and those after it, whatever other matches they hold; gaps
-    has the text before each match and the rest."""
-    left = lambda j: F.substring(F.get(gaps, j), -REACH, REACH)
-    right = lambda j: F.substring(F.get(gaps, j), 1, REACH)
-    before, after = [left(k)], [right(k + 1)]
-    for j in range(1, BETWEEN + 1):
-        before = [left(k - j), F.get(found, k - j), *before]
-        after += [F.get(found, k + j), right(k + j + 1)]
-    return F.lower(F.concat_ws("\n", F.substring(F.concat_ws("", *before), -REACH, REACH), F.substring(F.concat_ws("", *after), 1, REACH)))
-
-
-def _proposals(gaps: Column, found: Column, kind: Kind, rank: int) -> Column:
-    """The spans of the matches found, in code points; positions come from the text between them."""
-    parts = [F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit")]
-    if kind.context:
-        parts.append(F.transform(found, lambda _, k: _near(gaps, found, k)).alias("near"))
-    pairs = F.arrays_zip(*parts)
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        near = F.lit(0.0)
-        if kind.context:
-            near = F.when(F.exists(F.array(*map(F.lit, kind.context)), lambda w: F.contains(p["near"], w)), kind.bonus).otherwise(0.0)
-        score = (F.lit(kind.score) + near).cast("double")
-        good = score >= BAR
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running op, sum or maximum, of an array of integers: within blocks, and over their last values.
+    An array that grows is copied with every value, so blocks keep the work near linear."""
+
+    def last(x: Column) -> Column:
+        return F.get(x, F.size(x) - 1)
+
+    def short(x: Column) -> Column:
+        return F.aggregate(x, F.array().cast("array<int>"), lambda out, v: F.array_append(out, F.when(F.size(out) > 0, op(last(out), v)).otherwise(v)))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))
+    blocks = F.transform(starts, lambda k: short(F.slice(values, k * _BLOCK + 1, _BLOCK)))
+
+    def joined(blocks: Column) -> Column:
+        return _let(short(F.transform(blocks, last)), lambda tops: F.flatten(F.transform(blocks, lambda x, k: F.when(k > 0, F.transform(x, lambda v: op(F.get(tops, k - 1), v))).otherwise(x))))
+
+    return F.when(F.size(values) > 0, _let(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+
+def _chunks(text: Column) -> Column:
+    """A place in a text is found from its start, so what is read at many places is read from chunks."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def _part(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end) of a text in chunks."""
+    first = F.floor(start / _CHUNK).cast("int")
+    some = F.array_join(F.slice(chunks, first + 1, F.floor(end / _CHUNK).cast("int") - first + 1), "")
+    return F.substring(some, start - first * _CHUNK + 1, end - start)
+
+
+def _score(kind: Kind, chunks: Column, start: Column, end: Column) -> Column:
+    """Its own score, and the bonus if a word of context is among the REACH characters before or after,
+    whatever other spans those hold."""
+    near = F.lower(F.concat(_part(chunks, F.greatest(start - REACH, F.lit(0)), start), F.lit("\n"), _part(chunks, end, end + REACH)))
+    found = F.exists(F.array(*map(F.lit, kind.context)), lambda w: F.contains(near, w))
+    return F.lit(kind.score) + F.when(found, kind.bonus).otherwise(0.0)
+
+
+def _spans(text: Column, kind: Kind, rank: int) -> Column:
+    """The spans of a kind that pass its check and the bar, in code points: what lies between the matches
+    and the matches themselves add up to the places where they end."""
+
+    def of_matches(found: Column) -> Column:
+        gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
+        steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: gap + F.length(m))
+        placed = _let(_scan_of(steps), lambda ends: F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"))))
         if kind.check is not None:
-            good = good & kind.check(p["hit"])
-        new = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score")))
-        out = F.when(good, F.concat(acc["out"], new.cast(SPAN))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+            placed = F.filter(placed, lambda s: kind.check(s["match"]))
+        return F.when(F.size(found) > 0, _let(placed, of_placed)).otherwise(none)
+
+    def of_placed(placed: Column) -> Column:
+        def span(chunks: Column) -> Callable[[Column], Column]:
+            return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), _score(kind, chunks, s["start"], s["end"]).cast("double").alias("score"))
+
+        scored = _let(_chunks(text), lambda chunks: F.transform(placed, span(chunks)).cast(SPAN))
+        return F.when(F.size(placed) > 0, F.filter(scored, lambda s: s["score"] >= BAR)).otherwise(none)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    some = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    if kind.need:
+        some = F.when(F.contains(text, F.lit(kind.need)), some).otherwise(F.array().cast("array<string>"))
+    return _let(some, of_matches)
+
+
+def _scan_of(steps: Column) -> Column:
+    return _let(steps, lambda x: _scan(x, lambda a, b: a + b))
+
+
+def spans_of(text: Column) -> Column:
+    """All spans of a text, by start, then by kind as listed above.  Null and empty texts have none."""
+    text = F.coalesce(text, F.lit(""))
+    return F.array_sort(F.concat(*(_spans(text, kind, k) for k, kind in enumerate((*BASE, *ADDED)))))
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the column pii_spans: spans by start, then by kind as listed above.
 
     A null or empty text has none.  Spans of different kinds may overlap; those of one kind don't.
-    Base kinds are found by form and check alone; added ones need the score BAR.  Every other column
-    stays as it is; a column named pii_spans is replaced."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = (*BASE, *ADDED)
-    hits, gaps, spans = {}, {}, {}
-    for k, kind in enumerate(kinds):
-        some = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-        hits[f"_hit{k}"] = F.when(F.contains(text, F.lit(kind.need)), some).otherwise(F.array().cast("array<string>")) if kind.need else some
-        split = F.split(text, kind.pattern, -1)
-        if kind.context:  # read for each match, so made once beforehand
-            gaps[f"_gap{k}"] = F.when(F.size(F.col(f"_hit{k}")) > 0, split).otherwise(F.array().cast("array<string>"))
-            split = F.col(f"_gap{k}")
-        spans[f"_span{k}"] = _proposals(split, F.col(f"_hit{k}"), kind, k)
-    out = docs.withColumns(hits).withColumns(gaps).withColumns(spans)
-    out = out.withColumn("pii_spans", F.array_sort(F.concat(*(F.col(c) for c in spans))))
-    return out.drop(*hits, *gaps, *spans)
+    Base kinds are found by form and check alone, context only changes their score; added ones need the
+    score BAR.  Every other column stays as it is; a column named pii_spans is replaced.  The work grows
+    with the text and its spans, not with their product."""
+    return docs.withColumn("pii_spans", spans_of(F.col(text_col)))
 
 
 def written(spans: Column) -> Column:
@@ -131,17 +170,19 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every stretch of overlapping spans replaced by its first kind in brackets."""
+    """The text with every stretch of overlapping spans replaced by its first kind in brackets.
+
+    spans are ordered by start; one opens a stretch if it starts at or behind the furthest end before it."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.concat(acc["out"], F.array(F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        free = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, new).otherwise(acc["out"]).alias("out"))
+    def write(tops: Column, chunks: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(tops, k - 1), F.lit(0))
+        opening = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: F.get(spans, k)["start"] >= before(k))
+        piece = lambda k: F.concat(_part(chunks, before(k), F.get(spans, k)["start"]), F.lit("["), F.upper(F.get(spans, k)["kind"]), F.lit("]"))
+        rest = _part(chunks, F.get(tops, F.size(tops) - 1), F.length(text))
+        return F.concat(F.array_join(F.transform(opening, piece), ""), rest)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(text)
+    tops = _let(F.transform(spans, lambda s: s["end"]), lambda ends: _scan(ends, F.greatest))
+    return F.when(F.size(spans) > 0, _let(tops, lambda t: _let(_chunks(text), lambda c: write(t, c)))).otherwise(text)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
