@@ -1,12 +1,16 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is read as a line of tokens: words, and tags that cut it into blocks.  Words score by where
-they stand and tags by their name; the weights are log odds fitted on labelled pages, those that mark
-their own article, so words inside articles score positive, words of menus and the like negative, and
-tags negative.  One linear scan finds the contiguous stretch of blocks with the highest score; its
-blocks are the text, without those in containers that are no article text wherever they stand.
-Elements, roles and hidden ones are such containers by themselves; words in class or id only tell of one
-that is no article, holds none and has at most half of the page's words, and else lower its words' scores.
+A page is read as a line of tokens: words, and tags that cut it into blocks.  Tags score negative;
+words score by what is seen of their block: the elements, roles and words in class or id of its
+containers, its own element, its length, its links and how it ends.  The weights are log odds fitted on
+labelled pages, those that mark their own article, which mark itself is hidden from the fit; a prior
+stands for what those pages don't show.  One linear scan finds all maximal-scoring stretches.  The best
+is the text; if it lies in a marked article, so are the others that do, without what lies between.
+Blocks in containers whose odds tell of menus, forms, adverts, comments and the like are left out.
+
+Where a page marks an article that holds a fair share of what scores, the mark adds to its words and
+takes from all others.  Words in class or id don't count against an article, and against what holds one
+or has most of the page's words only where nothing else were left.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +34,9 @@ INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "c
 OUTSIDE = frozenset(("nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "head", "header"))
 OUTSIDE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"))
 OUTSIDE_WORDS = frozenset(("ad", "ads", "adv", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget"))
-#: The same where no article is open.
+#: The same where no article is open, as for the element header.
 HEADER_WORDS = frozenset(("header", "topbar", "masthead"))
-#: What marks an article besides the elements article and main.
-ARTICLE_ROLES = frozenset(("article", "main"))
+#: Words in class or id that mark an article, besides the element, the role and the property.
 ARTICLE_WORDS = frozenset(("article", "post", "entry", "story"))
 ARTICLE_PARTS = frozenset(("body", "content", "text", "main"))
 #: Start tags that end an open p, and tags of lists that end their own kind.
@@ -41,7 +45,7 @@ CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "details", "d
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW = re.compile(rf"<({'|'.join(sorted(RAW))})\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
+_ARTICLE = re.compile(r"<article\b", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)
@@ -49,30 +53,85 @@ _HUMP = re.compile(r"([a-z])([A-Z])")
 #: White space of HTML and the no-break space, which the page shows as one.
 _SPACE = re.compile(r"\s+")
 
-#: Weights before any page is seen; fitted ones replace them.
-PRIOR = {"word:in": 1.0, "word:link": -0.5, "word:out": -3.0, "word:other": 1.0, "tag:p": -0.2, "tag:other": -1.0}
 
-
-def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """(outside, doubtful, article): whether an element's content is no article text, whether words in
-    its class or id say so, and whether it is an article.  A header inside the article is its heading."""
-    article = name in ("article", "main")
-    if name in OUTSIDE and not (name == "header" and in_article):
-        return True, False, False
+#: Odds before any page is seen, by kind of feature; a feature that no page shows keeps them, others 0.
+OUT_ELEMENT, OUT_WORD, ARTICLE_WORD = -4.0, -3.0, 1.0
+PRIOR = {
+    **{f"el:{x}": OUT_ELEMENT for x in OUTSIDE},
+    **{f"role:{x}": OUT_ELEMENT for x in OUTSIDE_ROLES},
+    **{f"class:{x}": OUT_WORD for x in OUTSIDE_WORDS | HEADER_WORDS},
+    **{f"class:{x}": ARTICLE_WORD for x in ARTICLE_WORDS | ARTICLE_PARTS},
+    **{f"own:{x}": 0.5 for x in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "figcaption")},
+    **{"link:none": 0.5, "link:some": 0.0, "link:most": -2.0, "words:20+": 0.8, "words:5+": 0.2, "words:1+": -0.3, "end:stop": 0.4, "end:none": -0.2},
+    **{"tag:p": -0.2, "tag:other": -1.0},
+}
+#: A container whose odds are this low is left out; learned words without a prior can't do that alone.
+DROP, UNKNOWN = -1.0, 0.9
+#: What features of a block itself can add or take, by kind.
+OWN = {"own": 1.0, "link": 2.0, "words": 0.5, "end": 0.25}
+#: What an article's mark adds to each word in it and takes from others, and the share of the words that
+#: score without it which marked ones must hold for that.
+MARK, CREDIBLE = 8.0, 1 / 3
+#: The share of all words that a prior weighs as much as.
+STRENGTH = 0.02
+
+
+@dataclass
+class Container:
+    """strict: features of its element and role; loose: words in class or id.  mark: 2 of an article, 1 of
+    the page's main part.  words and holds (an article inside) are known when it is closed."""
+
+    name: str
+    strict: tuple[str, ...] = ()
+    loose: tuple[str, ...] = ()
+    hidden: bool = False
+    mark: int = 0
+    words: int = 0
+    holds: bool = False
+
+
+@dataclass
+class Block:
+    text: str
+    own: tuple[str, ...]
+    tags: Counter
+    inside: tuple[Container, ...]
+    n_words: int = field(default=0)
+
+    def mark(self) -> int:
+        return max((c.mark for c in self.inside), default=0)
+
+
+def _container(name: str, attributes: str, in_article: bool) -> Container:
+    """A header inside an article is its heading."""
+    strict = (f"el:{name}",) if name in OUTSIDE and not (name == "header" and in_article) else ()
+    mark = 2 if name == "article" else int(name == "main")
     if not attributes.strip():
-        return False, False, article
+        return Container(name, strict, mark=mark)
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     role = found.get("role", "").lower()
-    if role in OUTSIDE_ROLES or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, False, False
-    if _BARE_HIDDEN.search(_ATTRIBUTE.sub(" ", attributes)):
-        return True, False, False
+    strict += (f"role:{role}",) if role in OUTSIDE_ROLES else ()
+    hidden = found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", ""))) or bool(_BARE_HIDDEN.search(_ATTRIBUTE.sub(" ", attributes)))
     names = [{w.lower() for w in _WORDS.findall(_HUMP.sub(r"\1 \2", x))} for k in ("class", "id") for x in found.get(k, "").split()]
-    other = lambda words: words & OUTSIDE_WORDS or words & HEADER_WORDS and not in_article
     page = name in ("html", "body")
+    other = lambda words: words & OUTSIDE_WORDS or words & HEADER_WORDS and not in_article
     words = set().union(*(x for x in names if not other(x)))
     marked = words & ARTICLE_WORDS and ("article" in words or words & ARTICLE_PARTS) and not page
-    return False, not page and any(map(other, names)), bool(article or role in ARTICLE_ROLES or marked or found.get("itemprop") == "articleBody")
+    if marked or role == "article" or found.get("itemprop") == "articleBody":
+        mark = 2
+    loose = () if page else tuple(sorted(f"class:{w}" for w in set().union(*names) if not (w in HEADER_WORDS and in_article)))
+    return Container(name, strict, loose, hidden, max(mark, int(role == "main")))
+
+
+def _close(page: str, name: str, at: int) -> int:
+    """Where the element that was opened before `at` ends, elements of its name inside counted; the page's
+    end if it doesn't."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m.end()
+    return len(page)
 
 
 def _n_words(page: str) -> int:
@@ -80,41 +139,36 @@ def _n_words(page: str) -> int:
     return len(_TAG.sub(" ", _RAW.sub(" ", page)).split())
 
 
-def blocks(page: str) -> list[tuple[str, str, Counter, bool, int]]:
-    """(text, place, tags before it, in an article, doubt) of every block of a page, in page order.
-    place: in an article element, out (in a container that is no article text), link (mostly in links)
-    or other.  doubt, by words in class or id: 0 none; 1 of a container that is an article or has most
-    of the page's words; 2 of one that only holds an article."""
-    out: list[tuple[str, str, Counter, bool, int]] = []
-    own: list[tuple[int, ...]] = []  # the doubtful containers of each block
-    doubtful: list[list[int]] = []  # of each: whether an article, whether it holds one, words
-    doubts: tuple[int, ...] = ()
-    n_words = -1
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page with a word, in page order.  Inline elements that are hidden, or whose role or
+    class tells of no text, are passed over to their own end, so that the block around them stays one."""
+    out: list[Block] = []
     text: list[str] = []
     tags: Counter = Counter()
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements that aren't inline: outside, doubtful, article
-    outside = articles = links = 0
-    linked = 0
+    stack: list[Container] = []
+    links = linked = 0
+    at, n, n_words = 0, len(page), -1
 
     def end() -> None:
         nonlocal tags, linked
         got = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if got:
-            place = "out" if outside else "in" if articles else "link" if 2 * linked > len(got) else "other"
-            out.append((got, place, tags, articles > 0, 0))
-            own.append(doubts)
+            size = got.count(" ") + 1
+            share = linked / len(got)
+            own = (f"own:{stack[-1].name if stack else 'body'}", f"link:{'most' if share > 0.5 else 'some' if linked else 'none'}", f"words:{'20+' if size >= 20 else '5+' if size >= 5 else '1+'}", f"end:{'stop' if got[-1] in '.!?\"”»:' else 'none'}")
+            out.append(Block(got, own, tags, tuple(stack), size))
+            for c in stack:
+                c.words += size
             tags = Counter()
         text.clear()
         linked = 0
 
-    def pop() -> None:
-        nonlocal outside, articles, doubts
-        _, off, doubt, article = stack.pop()
-        outside -= off
-        doubts = doubts[:-1] if doubt else doubts
-        articles -= article
+    def push(c: Container) -> None:
+        if c.mark == 2:
+            for x in stack:
+                x.holds = True
+        stack.append(c)
 
-    at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         chunk = page[at : m.start() if m else n]
@@ -135,14 +189,16 @@ def blocks(page: str) -> list[tuple[str, str, Counter, bool, int]]:
         if name in INLINE:
             if name == "a":
                 links = 0 if m[1] else 1
-            if not m[1] and name not in VOID:
-                off, doubt, article = _kind(name, m[3], articles > 0)
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at) if off or doubt else None
-                if close and not off:
-                    n_words = n_words if n_words >= 0 else _n_words(page)
-                    inner = page[at : close.start()]
-                    off = not (article or _ARTICLE.search(inner) or 2 * _n_words(inner) > n_words)
-                at = close.end() if close and off else at
+            if not m[1] and name not in VOID and m[3].strip():
+                c = _container(name, m[3], any(x.mark for x in stack))
+                off = c.hidden or bool(c.strict)
+                if off or not c.mark and any(PRIOR.get(f, 0) <= DROP for f in c.loose):
+                    stop = _close(page, name, at)
+                    if not off:
+                        n_words = n_words if n_words >= 0 else _n_words(page)
+                        inner = page[at:stop]
+                        off = not (_ARTICLE.search(inner) or 2 * _n_words(inner) > n_words)
+                    at = stop if off else at
             continue
         if name == "br":
             text.append(" ")
@@ -150,122 +206,167 @@ def blocks(page: str) -> list[tuple[str, str, Counter, bool, int]]:
         end()
         tags["p" if name == "p" else "other"] += 1
         if m[1]:
-            if any(x[0] == name for x in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+            if any(x.name == name for x in stack):
+                while stack.pop().name != name:
+                    pass
         elif name not in VOID:
-            if name in CLOSES_P and stack and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                pop()
-            off, doubt, article = _kind(name, m[3], articles > 0)
-            stack.append((name, off, doubt, article))
-            outside += off
-            articles += article
-            if article:
-                for k in doubts:
-                    doubtful[k][1] = 1
-            if doubt:
-                doubts += (len(doubtful),)
-                doubtful.append([article, 0, 0])
+            if name in CLOSES_P and stack and stack[-1].name == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].name == name:
+                stack.pop()
+            push(_container(name, m[3], any(x.mark for x in stack)))
     end()
-    if not doubtful:
-        return out
-    sizes = [0 if b[1] == "out" else b[0].count(" ") + 1 for b in out]
-    for ks, size in zip(own, sizes, strict=True):
-        for k in ks:
-            doubtful[k][2] += size
-    half = sum(sizes) / 2
-    level = [1 if article or size > half else 2 if holds else 3 for article, holds, size in doubtful]
-    worst = [max((level[k] for k in ks), default=0) for ks in own]
-    return [(b[0], "out" if w == 3 else b[1], *b[2:4], w) for b, w in zip(out, worst, strict=True)]
-
-
-def _scores(found: list[tuple[str, str, Counter, bool, int]], weights: dict[str, float]) -> list[float]:
-    """Two scores a block: of the tags before it and of its words.  Doubt halves what words add.  In a
-    page that marks its article, tags and what is left out cost nothing, so that its parts are joined
-    over them; other words outside count against joining over them, and so do those of an article in a
-    doubtful container where the page has one that is in none."""
-    marked = {b[4] for b in found if b[1] == "in"}
-    out = []
-    for text, place, tags, _, doubt in found:
-        words = (text.count(" ") + 1) * weights[f"word:{place}"]
-        words = words / 2 if doubt and words > 0 else words
-        if marked:
-            against = place != "in" or doubt == 2 and min(marked) < 2
-            out += [0.0, 0.0 if place == "out" else -abs(words) if against else words]
-        else:
-            out += [sum(n * weights[f"tag:{t}"] for t, n in tags.items()), words]
     return out
 
 
-def best_stretch(scores: list[float]) -> tuple[int, int]:
-    """The contiguous stretch [from, to) of the highest sum, the first and then longest of equals, by
-    one scan; (0, 0) if no score is positive."""
-    best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for k, s in enumerate(scores):
-        if total <= 0:
-            total, start = 0.0, k
-        total += s
-        if total > best or (total == best and best > 0 and start == span[0]):
-            best, span = total, (start, k + 1)
-    return span
+class Weights:
+    """Odds by feature; what none is known of weighs nothing."""
+
+    def __init__(self, odds: dict[str, float] = PRIOR):
+        self.odds = odds
+
+    def container(self, c: Container, n_words: int, waive: int) -> float:
+        """Below zero: the lower, the less its content is article text.  waive: whether words in class or id
+        of what holds an article (1), and of what has most words (2), don't count."""
+        if c.hidden:
+            return -math.inf
+        strict = sum(min(0.0, self.odds.get(f, 0.0)) for f in c.strict)
+        if not c.loose or c.mark == 2 or waive and c.holds or waive > 1 and 2 * c.words > n_words:
+            return strict
+        known = [self.odds.get(f, 0.0) for f in c.loose if f in PRIOR]
+        new = sum(self.odds.get(f, 0.0) for f in c.loose if f not in PRIOR)
+        loose = min((w for w in known if w < 0), default=0.0) + sum(w for w in known if w > 0)
+        return strict + min(0.0, loose + max(-UNKNOWN, min(UNKNOWN, new)))
+
+    def own(self, features: tuple[str, ...]) -> float:
+        """Of a block's own features."""
+        most = [OWN[f.partition(":")[0]] for f in features]
+        return sum(max(-m, min(m, self.odds.get(f, 0.0))) for f, m in zip(features, most, strict=True))
+
+
+def _around(found: list[Block], weights: Weights) -> list[float]:
+    """The odds of each block's worst container.  Words in class or id are waived only as far as it takes
+    for a marked article to be text; of a page without one, as far as can be."""
+    n_words, marked = sum(b.n_words for b in found), any(b.mark() == 2 for b in found)
+    for waive in range(3) if marked else (2,):
+        odds = {id(c): weights.container(c, n_words, waive) for b in found for c in b.inside}
+        out = [min((odds[id(c)] for c in b.inside), default=0.0) for b in found]
+        if any(b.mark() == 2 and w > DROP for b, w in zip(found, out, strict=True)):
+            break
+    return out
 
 
-def main_text(page: str, weights: dict[str, float] = PRIOR) -> str:
+def _scores(found: list[Block], around: list[float], weights: Weights) -> tuple[list[float], int]:
+    """Two scores a block, of the tags before it and of its words, and the level of the page's mark."""
+    per_word = [weights.own(b.own) + max(a, -4.0) for b, a in zip(found, around, strict=True)]
+    gain = [b.n_words * max(0.0, w) for b, w in zip(found, per_word, strict=True)]
+    level = 0
+    for mark in (2, 1):
+        inside = [b.n_words for b, a in zip(found, around, strict=True) if b.mark() >= mark and a > DROP]
+        marked = sum(g for g, b, a in zip(gain, found, around, strict=True) if b.mark() >= mark and a > DROP)
+        if not level and inside and marked >= CREDIBLE * sum(gain):
+            level = mark
+    out = []
+    for b, w, a in zip(found, per_word, around, strict=True):
+        tags = sum(k * min(0.0, weights.odds.get(f"tag:{t}", 0.0)) for t, k in b.tags.items())
+        if level:
+            w += MARK if b.mark() >= level and a > DROP else -MARK
+        out += [tags, b.n_words * w]
+    return out, level
+
+
+def stretches(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal-scoring stretches [from, to) with their sums, in order: each is the best that doesn't
+    reach into another, and the highest of them is the best of all.  One scan; each kept stretch knows
+    the last one before it whose running sum was lower at its start."""
+    kept: list[tuple[int, int, float, float, int]] = []  # from, to, running sum before and behind, that one
+    total = 0.0
+    for k, s in enumerate(scores):
+        before, total = total, total + s
+        if s <= 0:
+            continue
+        lo, left, at = k, before, len(kept) - 1
+        while True:
+            while at >= 0 and kept[at][2] >= left:
+                at = kept[at][4]
+            if at < 0 or kept[at][3] >= total:
+                break
+            lo, left = kept[at][0], kept[at][2]
+            at = kept[at][4]
+            # everything from that stretch on is one
+        while kept and kept[-1][0] >= lo:
+            kept.pop()
+        kept.append((lo, k + 1, left, total, at))
+    return [(lo, hi, right - left) for lo, hi, left, right, _ in kept]
+
+
+def main_text(page: str, weights: Weights | None = None) -> str:
+    weights = weights or Weights()
     found = blocks(page)
-    lo, hi = best_stretch(_scores(found, weights))
-    left = ("link", "other", "out") if any(b[1] == "in" for b in found) else ("out",)
-    return "\n\n".join(b[0] for k, b in enumerate(found) if lo <= 2 * k + 1 < hi and b[1] not in left)
+    around = _around(found, weights)
+    scores, level = _scores(found, around, weights)
+    all_of = stretches(scores)
+    if not all_of:
+        return ""
+    in_mark = lambda s: level and any(found[k // 2].mark() >= level for k in range(s[0], s[1]))
+    best = max(all_of, key=lambda s: (s[2], -s[0]))
+    marked = in_mark(best)
+    chosen = [s for s in all_of if s == best or marked and in_mark(s)]
+    inside = {k // 2 for lo, hi, _ in chosen for k in range(lo, hi) if k % 2}
+    kept = [b.text for k, (b, a) in enumerate(zip(found, around, strict=True)) if k in inside and a > DROP and (not marked or b.mark() >= level)]
+    return "\n\n".join(kept)
 
 
 def counts(page: str) -> Counter:
-    """For the fit: words by place and by whether the page's article holds them, tags likewise.  Pages
-    that mark no article count nothing."""
+    """For the fit: words by feature and by whether the page's article holds them.  Pages that mark no
+    article count nothing; the mark itself is no feature."""
     found, out = blocks(page), Counter()
-    if any(b[3] for b in found):
-        for text, place, tags, inside, _ in found:
-            inside = inside and place == "in"
-            out[f"word:{place}", inside] += text.count(" ") + 1
-            for t, n in tags.items():
-                out[f"tag:{t}", inside] += n
+    if not any(b.mark() == 2 for b in found):
+        return out
+    for b, a in zip(found, _around(found, Weights()), strict=True):
+        inside = b.mark() == 2 and a > DROP
+        seen = {f for c in b.inside for f in (*c.strict, *c.loose)} | set(b.own) | {"word"}
+        out.update({(f, inside): b.n_words for f in seen})
+        for t, k in b.tags.items():
+            out[f"tag:{t}", inside] += k
     return out
 
 
 def fit(seen: Counter) -> dict[str, float]:
-    """Log odds of standing in the article, with half a thousandth of the words added to every count.
-    Words in articles are positive, those of other containers and all tags are negative: a weight
-    whose sign comes out otherwise (a place seen on one side only has no odds) keeps its prior."""
-    out = dict(PRIOR)
-    total = {side: sum(n for (k, s), n in seen.items() if s == side and k[:4] == "word") for side in (True, False)}
+    """Log odds of a word of the article against another to be seen with a feature; the prior weighs as
+    much as STRENGTH of the words.  Tags cost as many words as the share of them outside, a twentieth
+    at least."""
+    total = {side: seen["word", side] for side in (True, False)}
     if not all(total.values()):
-        return out
-    add = 0.0005 * sum(total.values())
-    for k in out:
-        if k.startswith("word:") and (seen[k, True] or seen[k, False]):
-            w = math.log((seen[k, True] + add) / (total[True] + 2 * add)) - math.log((seen[k, False] + add) / (total[False] + 2 * add))
-            if (w > 0) == (PRIOR[k] > 0) and w:
-                out[k] = w
-        elif k.startswith("tag:") and (seen[k, True] or seen[k, False]):
-            # how many words of the article a tag costs: the more of its kind stand outside, the more
-            out[k] = -max(0.05, (seen[k, False] + 1) / (seen[k, True] + seen[k, False] + 2))
+        return dict(PRIOR)
+    out = {}
+    for f in set(PRIOR) | {f for f, _ in seen if f != "word"}:
+        prior, of = PRIOR.get(f, 0.0), [seen[f, side] for side in (True, False)]
+        if f.startswith("tag:"):
+            out[f] = -max(0.05, (of[1] + 1) / (of[0] + of[1] + 2)) if any(of) else prior
+        else:
+            share = 1 / (1 + math.exp(-prior))
+            rates = [n / total[side] + STRENGTH * x for n, side, x in zip(of, (True, False), (share, 1 - share), strict=True)]
+            out[f] = math.log(rates[0] / rates[1])
     return out
 
 
-def fitted(pages: DataFrame, rows: int, id_col: str, html_col: str) -> dict[str, float]:
-    """The weights from at most `rows` pages, drawn by a hash of the id."""
+def fitted(pages: DataFrame, rows: int, id_col: str, html_col: str) -> Weights:
+    """The weights from at most `rows` pages, drawn by a hash of the id.  Features that fewer than three
+    of those pages show are left out, so what comes to the driver is bounded by the sample."""
     some = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(rows)
     sample = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(some), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: Counter = Counter()
+            total, on = Counter(), Counter()
             for page in b.column(1).to_pylist():
-                total.update(counts(page or ""))
+                got = counts(page or "")
+                total.update(got)
+                on.update(got.keys())
             keys = sorted(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "inside", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64()), pa.array([on[k] for k in keys], pa.int64())], names=["feature", "inside", "n", "pages"])
 
-    got = sample.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
-    return fit(Counter({(r.kind, r.inside): r.n for r in got}))
+    sums = sample.mapInArrow(run, "feature string, inside boolean, n long, pages long").groupBy("feature", "inside").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    return Weights(fit(Counter({(r.feature, r.inside): r.n for r in sums.where("pages > 2").collect()})))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows: int = 1000) -> DataFrame:
