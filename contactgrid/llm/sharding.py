@@ -1,10 +1,13 @@
 """Shards by sampled splitters, in DataFrame operations only.
 
 Records are ordered by a 64-bit hash of their text, so equal texts lie side by side.  Keys are
-sampled in proportion to their records' sizes; quantiles of the sample are the boundaries of many
-small ranges; ranges that turn out overfull are subdivided by record.  Whole ranges then go to the
-shards by exact sizes, the largest first to the shard that is emptiest.  A range is bounded by its
-share of the bytes, not by the number of records or copies, so no task holds a hot group.
+sampled in proportion to their records' sizes; quantiles of the sample are the boundaries of a fixed
+number of ranges.  What makes a range overfull is a text with very many copies: such a text leaves its
+range and is subdivided by record, all others stay whole.  Ranges and pieces then go to the shards by
+exact sizes, the largest first to the shard that is emptiest.
+
+The driver sees the sample and the ranges, whose numbers are parameters whatever the input.  Slots are
+counted in parts of bounded bytes and rows, of which a large input has more, so no task holds a range.
 """
 
 from __future__ import annotations
@@ -33,24 +36,23 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), record_size(F.col(text_col)).alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(17), F.col(id_col)).alias("salt"))
 
 
-def sampled_splitters(records: DataFrame, ranges: int, total: int, per_range: int = 24) -> list[int]:
-    """At most ranges - 1 ascending keys that cut the records into ranges of near equal size.
+def sampled_keys(records: DataFrame, draws: int, total: int, rows: int) -> list[tuple[int, float, float]]:
+    """(key, bytes, rows), ascending, as estimated from a sample of at most about 2 * draws records.
 
-    A record of size s enters the sample with probability min(1, s * per_range * ranges / total) and
-    weight s over that probability; at most about per_range * ranges keys reach the driver."""
-    rate = per_range * ranges / max(1, total)
-    chance = F.least(F.lit(1.0), F.col("size") * rate)
+    A record is drawn with the probability draws * max(size / total, 1 / rows), or surely, so a text
+    with many bytes or many copies is never missed."""
+    chance = F.least(F.lit(1.0), F.greatest(F.col("size") / max(1, total), F.lit(1 / max(1, rows))) * draws)
     drawn = F.pmod(F.xxhash64("salt", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
-    sample = records.where(drawn < chance).select("key", (F.col("size") / chance).alias("weight"))
-    rows = sorted(map(tuple, sample.groupBy("key").agg(F.sum("weight").alias("weight")).collect()))
-    whole, seen, out = sum(w for _, w in rows), 0.0, []
-    for key, weight in rows:
-        if out and out[-1] == key:
-            continue
-        if seen >= whole * (len(out) + 1) / ranges and len(out) < ranges - 1:
+    sample = records.where(drawn < chance).select("key", (F.col("size") / chance).alias("bytes"), (1 / chance).alias("n"))
+    return sorted(map(tuple, sample.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()))
+
+
+def splitters(sample: list[tuple[int, float]], ranges: int) -> list[int]:
+    """At most ranges - 1 ascending keys that cut the sampled (key, bytes) into ranges of near equal size."""
+    whole, seen, out = sum(w for _, w in sample), 0.0, []
+    for key, weight in sample:
+        if len(out) < ranges - 1 and seen >= whole * (len(out) + 1) / ranges and seen:
             out.append(key)
-            while len(out) < ranges - 1 and seen >= whole * (len(out) + 1) / ranges:
-                ranges -= 1  # one key reaches over several quantiles
         seen += weight
     return out
 
@@ -79,37 +81,55 @@ def dealt(loads: list[tuple[tuple, int]], shards: int) -> dict[tuple, int]:
     return out
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 64, range_bytes: int = 64 << 20) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 64, draws_per_range: int = 24, split_share: float = 1 / 8, part_bytes: int = 64 << 20, part_rows: int = 1 << 20) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row of `docs`: shards of near
     equal bytes, slots gapless from 0 in each shard.
 
-    At least `ranges_per_shard` ranges a shard, more where a range would pass `range_bytes`.  Equal
-    texts share a range and so a shard, unless their range holds over an eighth of a shard's share of
-    the bytes or the rows; then its records are dealt by id.  Null texts count as empty ones of size 1; rows that repeat
-    an id and a text are told apart by their slot; an empty table gives an empty table.  Other columns
-    are ignored here; `with_texts` joins them."""
+    There are shards * ranges_per_shard ranges.  Equal texts share a shard, unless they hold over
+    `split_share` of a shard's share of the bytes or the rows; then they alone are dealt by id.  Slots are
+    counted in parts of about `part_bytes` and `part_rows`.  Null texts count as empty ones of size 1;
+    rows that repeat an id and a text are told apart by their slot; an empty table gives an empty table.
+    Other columns are ignored here; `with_texts` joins them."""
     spark = docs.sparkSession
     records = materialize(keyed(docs, id_col, text_col), "shard-keys")
-    total, rows_in_all = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    ranges = max(shards * ranges_per_shard, math.ceil(total / range_bytes))
-    most = [max(1, x // (8 * shards)) for x in (total, rows_in_all)]
-    placed = materialize(in_ranges(records, sampled_splitters(records, ranges, total)), "shard-ranges")
-    loads = placed.groupBy("range_id").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    # an overfull range is cut by record, to pieces of about an ordinary range's share
-    pieces = spark.createDataFrame([(r.range_id, max(1, *(math.ceil(x * ranges / max(1, of)) if x > top else 1 for x, of, top in zip((r.bytes, r.n), (total, rows_in_all), most, strict=True)))) for r in loads], "range_id int, pieces int")
-    piece = F.pmod(F.col("salt"), F.col("pieces")).cast("int")
-    cut = placed.join(F.broadcast(pieces), "range_id").withColumn("piece", piece).drop("pieces")
-    sums = cut.groupBy("range_id", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    shard_of = dealt([((r.range_id, r.piece), r.bytes) for r in sums], shards)
-    filled, rows = [0] * shards, []
-    for r in sorted(sums, key=lambda r: (r.range_id, r.piece)):
-        s = shard_of[r.range_id, r.piece]
-        rows.append((r.range_id, r.piece, s, filled[s]))
+    total, rows = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = shards * ranges_per_shard
+    most = [split_share * x / shards for x in (total, rows)]
+    sample = sampled_keys(records, draws_per_range * ranges, total, rows)
+    # texts that may be too many copies, at most 4 * shards / split_share of them; their exact sums decide
+    hot = {key for key, *of in sample if any(2 * x > top for x, top in zip(of, most, strict=True))}
+    placed = in_ranges(records, splitters([(key, size) for key, size, _ in sample if key not in hot], ranges))
+    placed = placed.withColumn("hot", F.when(F.col("key").isin(*hot), F.col("key")) if hot else F.lit(None).cast("long"))
+    units = placed.groupBy("range_id", "hot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    plan = []
+    for u in units:
+        split = u.hot is not None and (u.bytes > most[0] or u.n > most[1])
+        pieces = math.ceil(max(u.bytes / total, u.n / rows) * ranges) if split else 1
+        plan.append((u.range_id, u.hot, split, pieces, math.ceil(max(u.bytes / part_bytes, u.n / part_rows) / pieces)))
+    own = ["range_id", "hot", "piece"]
+    same = lambda a, b: (a["range_id"] == b["range_id"]) & a["hot"].eqNullSafe(b["hot"])
+    plans = F.broadcast(spark.createDataFrame(plan, "range_id int, hot long, split boolean, pieces int, parts int"))
+    cut = placed.join(plans, same(placed, plans)).drop(plans["range_id"]).drop(plans["hot"])
+    by = F.xxhash64(F.when(F.col("split"), F.col("salt")).otherwise(F.col("key")), F.lit(5))
+    cut = cut.withColumns({"piece": F.pmod("salt", F.col("pieces")).cast("int"), "part": F.pmod(by, F.col("parts")).cast("int")}).drop("split", "pieces", "parts")
+    sums = cut.groupBy(*own).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    name = lambda r: (r.range_id, r.hot is not None, r.hot or 0, r.piece)
+    shard_of = dealt([(name(r), r.bytes) for r in sums], shards)
+    filled, found = [0] * shards, []
+    for r in sorted(sums, key=name):
+        s = shard_of[name(r)]
+        found.append((r.range_id, r.hot, r.piece, s, filled[s]))
         filled[s] += r.n
-    places = spark.createDataFrame(rows, "range_id int, piece int, shard int, base long")
-    order = Window.partitionBy("range_id", "piece").orderBy("key", "id", "text_crc32", "size")
-    slotted = cut.withColumn("rank", F.row_number().over(order)).join(F.broadcast(places), ["range_id", "piece"])
-    return slotted.select("id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    places = F.broadcast(spark.createDataFrame(found, "range_id int, hot long, piece int, shard int, base long"))
+    placed = cut.join(places, same(cut, places) & (cut["piece"] == places["piece"])).select(*(cut[c] for c in cut.columns), "shard", "base")
+    # slots: parts before one's own, then the place in it; both by the same exchange
+    group = ["shard", "base", "part"]
+    parts = placed.groupBy(*group).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard", "base").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("key", "id", "text_crc32", "size"))
+    slotted = placed.withColumn("rank", rank).join(parts.withColumn("before", before).drop("n"), group)
+    slot = F.col("base") + F.col("before") + F.col("rank") - 1
+    return slotted.select("id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def with_texts(docs: DataFrame, shards: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -37,6 +37,30 @@ def test_hot_group_is_split(spark):
     assert max(loads) <= 1.1 * min(loads)
 
 
+def test_only_the_hot_text_is_split(spark):
+    """A hot text among groups of copies: theirs stay whole, also in many parts."""
+    texts = ["the same"] * 3000 + [f"group {k // 3} words" for k in range(3000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for options in ({}, {"part_rows": 5, "part_bytes": 1 << 30}, {"part_bytes": 100}):
+        out = sharding.shard_by_bytes(docs, **options).collect()
+        check(out, texts)
+        shards = {}
+        for r in out:
+            shards.setdefault(texts[r.id], set()).add(r.shard)
+        assert shards.pop("the same") == set(range(8)) and all(len(s) == 1 for s in shards.values())
+        loads = [sum(r["size"] for r in out if r.shard == s) for s in range(8)]
+        assert max(loads) <= 1.05 * min(loads)
+
+
+def test_hot_by_rows_alone(spark):
+    """A third of all rows are empty, and hold next to no bytes."""
+    texts = [None, ""] * 1000 + [f"{k} " * 100 for k in range(4000)]
+    out = rows(spark, texts)
+    check(out, texts)
+    empty = [sum(r.shard == s and r["size"] == 1 for r in out) for s in range(8)]
+    assert max(empty) <= 500
+
+
 def test_odd_rows(spark):
     texts = [None, "", "", "é" * 9, "x" * 100_000, None]
     check(rows(spark, texts), texts)
