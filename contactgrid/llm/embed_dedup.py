@@ -1,9 +1,11 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Each pass orders the vectors of a label lexicographically by concatenated random hashes (the signs
-of its own random projections) and compares each vector with a bounded window of neighbours in that
-order.  Pairs verified in double precision are united across all passes.  Within a range of a pass
-only the edges of a spanning forest are handed on, never all pairs.
+of its own random projections, less the mean of all vectors) and compares each vector with a bounded
+window of neighbours in that order.  That is done first with the hashes alone, some 40 bytes a vector
+and pass; only vectors with a neighbour that may link are ordered as such.  Pairs verified in double
+precision are united across all passes.  Within a range of a pass only the edges of a spanning forest
+are handed on, never all pairs.
 
 The windows bound the comparisons of a pass, so an exact step handles the rest: every two vectors of
 one united component are compared in blocks, and only each vector's number of links leaves a block.
@@ -33,10 +35,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return x / norm[:, None]
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
 class _Forest:
     """Union-find over row numbers."""
 
@@ -56,34 +54,113 @@ class _Forest:
 
 
 def prepared(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(id, label, vec, node): vec in double precision and node, its hash, are null where a row can
+    """(id, label, vec, node): vec in its own precision and node, its hash, are null where a row can
     link with nothing: null, empty and zero vectors, null or non-finite components, a null label."""
     v = F.col("vec")
+    kind = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     some = F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     good = F.col("label").isNotNull() & F.coalesce(finite & some, F.lit(False))
-    rows = rows.withColumn("vec", F.when(good, F.transform(v, lambda x: x + F.lit(0.0))))  # -0.0 becomes 0.0
+    rows = rows.withColumn("vec", F.when(good, F.transform(v, lambda x: x + F.lit(0.0).cast(kind))))  # -0.0 becomes 0.0
     return rows.withColumn("node", F.when(v.isNotNull(), F.xxhash64("label", "vec")))
 
 
-def pass_edges(distinct: DataFrame, threshold: float, passes: int, window: int, hash_bits: int) -> DataFrame:
-    """(a, b) of node ids: spanning forests of the pairs that the windows of all passes verify."""
+def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch by the length of vec, with the unit vectors in double precision."""
+    dims = np.diff(b.column("vec").offsets.to_numpy())
+    for dim in np.unique(dims).tolist():
+        part = b.filter(pa.array(dims == dim))
+        x = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        yield dim, part, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def middles(distinct: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors by their length, over all rows: one row a task and length, then as
+    many numbers as a vector has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        n: dict[int, int] = {}
+        for b in batches:
+            for dim, part, x in _by_dim(b):
+                sums[dim] = sums.get(dim, 0) + x.sum(axis=0)
+                n[dim] = n.get(dim, 0) + part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([sums[d].tolist() for d in n], pa.list_(pa.float64()))], names=["dim", "n", "total"])
+
+    part = distinct.select("vec").mapInArrow(run, "dim int, n long, total array<double>")
+    mean = part.select("dim", "n", F.posexplode("total").alias("k", "x")).groupBy("dim", "k").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return {r.dim: np.array([c.x for c in sorted(r.x)]) for r in mean.groupBy("dim").agg(F.collect_list(F.struct("k", "x")).alias("x")).collect()}
+
+
+def _keys(x: np.ndarray, middle: np.ndarray, dim: int, p: int, hash_bits: int) -> np.ndarray:
+    """The signs of pass p's random projections of vectors, less what all have in common."""
+    planes = np.random.default_rng([_SEED, dim, p]).standard_normal((dim, hash_bits))
+    return np.packbits((x - middle) @ planes > 0, axis=1)
+
+
+def near_passes(distinct: DataFrame, middle: dict[int, np.ndarray], threshold: float, passes: int, window: int, hash_bits: int) -> DataFrame:
+    """(node, passes): the passes, as bits, in which a vector has a neighbour in its window that may link.
+
+    Only hashes are sorted, not vectors: of two vectors that link, as many bits differ as their angle
+    seen from the middle tells, which the distance of the nearer one from it bounds; four deviations
+    more may do so.  hash_bits is a multiple of 64."""
+    reach = 2 * (1 - threshold)  # the square of the distance of two unit vectors at the threshold
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = np.diff(b.column("vec").offsets.to_numpy())
-            for dim in np.unique(dims):
-                part = b.filter(pa.array(dims == dim))
-                x = _unit(part.column("vec"), dim)
-                planes = np.random.default_rng([_SEED, int(dim)]).standard_normal((passes, dim, hash_bits))
+            for dim, part, x in _by_dim(b):
+                far = ((x - middle[dim]) ** 2).sum(axis=1)
+                share = np.arccos(np.clip(1 - reach / (2 * np.maximum(far, 1e-30)), -1, 1)) / np.pi
+                most = np.minimum(hash_bits, hash_bits * share + 4 * np.sqrt(hash_bits * share * (1 - share))).astype(np.int16)
                 for p in range(passes):
-                    bits = np.packbits(x @ planes[p] > 0, axis=1)
-                    keys = pa.array([k.tobytes() for k in bits], type=pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, dtype=np.int32)), part.column("label"), keys, part.column("node"), part.column("vec")], names=["pass", "label", "key", "node", "vec"])
+                    keys = pa.array([k.tobytes() for k in _keys(x, middle[dim], dim, p, hash_bits)], type=pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, dtype=np.int8)), part.column("label"), pa.array(np.full(len(x), dim, dtype=np.int32)), keys, part.column("node"), pa.array(most)], names=["pass", "label", "dim", "key", "node", "most"])
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None  # the last rows of the batch before, so that a window runs on over batches
+        for f in frames:
+            f = f if tail is None else pd.concat([tail, f], ignore_index=True)
+            tail = f.iloc[-window:]
+            if len(f) < 2:
+                continue
+            group = f.groupby(["pass", "label", "dim"], sort=False).ngroup().to_numpy()
+            key = np.frombuffer(b"".join(f["key"]), dtype=np.uint64).reshape(len(f), -1).T.copy()
+            most, node, some = f["most"].to_numpy(), f["node"].to_numpy(), np.zeros(len(f), dtype=bool)
+            for s in range(1, min(window, len(f) - 1) + 1):
+                differ = sum(np.bitwise_count(k[:-s] ^ k[s:]) for k in key)
+                at = np.flatnonzero(differ <= np.maximum(most[:-s], most[s:]))
+                at = at[(group[at] == group[at + s]) & (node[at] != node[at + s])]
+                some[at] = some[at + s] = True
+            got = f[some]
+            yield pd.DataFrame({"node": got["node"].astype("int64"), "passes": np.left_shift(1, got["pass"].astype("int64"))})
+
+    label = distinct.schema["label"].dataType.simpleString()
+    keys = distinct.select("label", "node", "vec").mapInArrow(keyed, f"pass byte, label {label}, dim int, key binary, node long, most short")
+    ordered = keys.repartitionByRange("pass", "label", "dim", "key").sortWithinPartitions("pass", "label", "dim", "key", "node")
+    return ordered.mapInPandas(windows, "node long, passes long").groupBy("node").agg(F.bit_or("passes").alias("passes"))
+
+
+def pass_edges(distinct: DataFrame, threshold: float, passes: int, window: int, hash_bits: int) -> DataFrame:
+    """(a, b) of node ids: spanning forests of the pairs that the windows of all passes verify.  A pass
+    orders and compares the vectors that near_passes leaves in it."""
+    middle = middles(distinct)
+    near = near_passes(distinct, middle, threshold, passes, window, hash_bits)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, part, x in _by_dim(b):
+                which = part.column("passes").to_numpy()
+                for p in range(passes):
+                    at = np.flatnonzero(which >> p & 1)
+                    if len(at):
+                        keys = pa.array([k.tobytes() for k in _keys(x[at], middle[dim], dim, p, hash_bits)], type=pa.binary())
+                        own = part.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, dtype=np.int8)), own.column("label"), keys, own.column("node"), own.column("vec")], names=["pass", "label", "key", "node", "vec"])
+
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = None
         for f in frames:
             if tail is not None:
                 f = pd.concat([tail, f], ignore_index=True)
@@ -104,7 +181,8 @@ def pass_edges(distinct: DataFrame, threshold: float, passes: int, window: int,
             tail = f.iloc[-window:]
             yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    keys = distinct.select("label", "node", "vec").mapInArrow(keyed, f"pass int, label {distinct.schema['label'].dataType.simpleString()}, key binary, node long, vec array<double>")
+    label, vec = (distinct.schema[c].dataType.simpleString() for c in ("label", "vec"))
+    keys = distinct.join(near, "node").select("label", "node", "vec", "passes").mapInArrow(keyed, f"pass byte, label {label}, key binary, node long, vec {vec}")
     ordered = keys.repartitionByRange("pass", "label", F.size("vec"), "key").sortWithinPartitions("pass", "label", F.size("vec"), "key", "node")
     return ordered.mapInPandas(windows, "a long, b long").distinct()
 
@@ -137,7 +215,7 @@ def count_links(members: DataFrame, threshold: float, block: int = 1024) -> Data
     return rows.groupBy("component", "i", "j").applyInPandas(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, passes: int = 16, window: int = 16, hash_bits: int = 64) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, passes: int = 16, window: int = 64, hash_bits: int = 128) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of `vectors`.
 
     Vectors with equal, non-null labels link at a cosine of `threshold` or more, computed in double

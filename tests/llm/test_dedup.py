@@ -123,3 +123,28 @@ def test_large_components_are_counted_in_blocks(spark):
     want = ((u @ u.T >= 0.98) * np.array([r[3] for r in rows])).sum(axis=1)
     got = {r.node: r.links for r in embed_dedup.count_links(frame, 0.98, block=16).collect()}
     assert [got[k] for k in range(90)] == want.tolist()
+
+
+@pytest.mark.parametrize("common", [0.0, 3.0])
+def test_recall_of_planted_pairs(spark, common):
+    """12,000 vectors of one label, 1,000 of them beside another at a cosine of 0.98 to 0.99; with a strong
+    common direction all others have cosines of about 0.9.  Links against brute force."""
+    rng = np.random.default_rng(7)
+    lean = np.zeros(64)
+    lean[0] = common * 8
+    x = rng.standard_normal((11_000, 64)) + lean
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.standard_normal((1000, 64))
+    away -= (away * x[:1000]).sum(axis=1)[:, None] * x[:1000]
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cos = rng.uniform(0.9801, 0.99, 1000)[:, None]
+    x = np.concatenate([x, cos * x[:1000] + np.sqrt(1 - cos**2) * away]).astype(np.float32)
+    frame = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    out = {r.id: r.n_links for r in embed_dedup.near_duplicates(frame).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = np.concatenate([(u[k : k + 2000] @ u.T >= 0.98).sum(axis=1) - 1 for k in range(0, 12_000, 2000)])
+    got = np.array([out[k] for k in range(12_000)])
+    assert (got <= want).all() and want.sum() >= 2000
+    print("recall", got.sum() / want.sum())
+    assert got.sum() >= 0.995 * want.sum()
