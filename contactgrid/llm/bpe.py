@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
 from .tokens import UnitEncoder
 
 
@@ -163,21 +164,22 @@ def loaded(path: str, pattern: str) -> tuple[PrefixBPE, UnitEncoder]:
     """A worker's encoder; its caches of pieces are bounded."""
     if (path, pattern) not in _loaded:
         bpe = PrefixBPE(read_ranks(path))
+        if max(bpe.bytes_of) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         _loaded[path, pattern] = bpe, UnitEncoder(lambda piece: bpe.encode(piece.encode()), pattern)
     return _loaded[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text; null and empty texts have no ids."""
+    """(id, ids array<int>) of every whole text; null and empty texts have no ids.  The vocabulary must
+    have at most 65,536 ids, in which they are kept; a larger one is refused."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encode = loaded(path, pattern)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids = [x.astype(np.int32) for x in encode.batch(part.column(1))]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], names=["id", "ids"])
+        for part in parts(batches, 1):
+            ids = [x.astype(np.int32) for x in encode.batch(part.column(1))]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], names=["id", "ids"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -205,7 +207,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         size = max(bpe.bytes_of) + 1
         decimal = [str(k) for k in range(size)]
         text = [bpe.bytes_of.get(k, b"") for k in range(size)]
-        for b in batches:
+        for b in parts(batches, 1):
             n, written, decoded = [], [], []
             for found in encode.batch(b.column(1)):
                 ids = found.tolist()

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: Fixed values of HTML: elements whose content is raw, that have no content, and that make no block.
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "canvas", "select", "datalist"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -356,7 +358,7 @@ def fitted(pages: DataFrame, rows: int, id_col: str, html_col: str) -> Weights:
     sample = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(some), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             total, on = Counter(), Counter()
             for page in b.column(1).to_pylist():
                 got = counts(page or "")
@@ -378,7 +380,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     weights = fitted(pages, rows, id_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 2):
             texts = [main_text(p or "", weights) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 

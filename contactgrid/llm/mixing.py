@@ -78,7 +78,8 @@ def probabilities(mass: np.ndarray, weight: np.ndarray, share: float) -> np.ndar
 def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix") -> DataFrame:
     """`docs` with mix_tokens, mix_topic, mix_probability, mix_weight and mix_kept.
 
-    targets: column of `docs`, or "topic", to the shares of its categories; categories it doesn't name
+    targets: column of `docs`, or "topic", to the shares of its categories.  "topic" is always the length
+    band, as mix_topic has it; a column of that name is not read, so give it another to mix by it.  Categories it doesn't name
     (null ones too) keep their share of the tokens together, and the named ones share the rest in
     proportion.  mix_weight is what a drawn document still weighs where its probability is held at 1.
     Null and empty texts have no tokens and are drawn with their cell's probability; a cell without

@@ -1,6 +1,7 @@
 """Quality rules: countable rules, then a hashed n-gram logistic regression.
 
-The classifier sees hashed single words, word pairs and byte 4-grams of the whole text.  It is fitted
+The classifier sees hashed single words, word pairs and byte 4-grams (the character n-grams of UTF-8, of
+one to four characters each) of the whole text.  It is fitted
 on a bounded sample of labelled rows, calibrated on rows held out from the fit, and applied in Arrow
 batches; a text goes when its calibrated probability of low quality reaches a fixed threshold.
 """
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 _SYMBOLS = b"#*$%&|<>"
 _NO_POINT = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])  # white space and continuation bytes
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -168,7 +171,8 @@ def fit(texts: list[bytes], low: list[int], bits: int = 16, l2: float = 3e-4, ro
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[bytes], list[int]]:
     """The texts and low-quality flags of at most `rows` labelled documents, drawn by a hash of the id."""
-    known = labels.select(F.col(id_col).alias("id"), (1 - F.col(label_col)).cast("int").alias("low")).where("id is not null and low in (0, 1)").dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), (1 - F.col(label_col)).cast("int").alias("low")).where("id is not null and low in (0, 1)")
+    known = known.groupBy("id").agg(F.min("low").alias("low"), F.max("low").alias("high")).where("low = high").drop("high")
     picked = known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(rows)  # ids and flags: small enough to broadcast
     joined = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")
     once = joined.groupBy("id").agg(F.min("text").alias("text"), F.min("low").alias("low"))  # repeated ids count once
@@ -191,13 +195,13 @@ def score(docs: DataFrame, model: Model | None, threshold: float, id_col: str =
         return dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), map(list, zip(*got, strict=True)) if got else [[]] * 5, strict=True)) | {"base_failed": failed, "low_probability": low, "kept": kept}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             j = judge(b.column(1).cast(pa.binary()).to_pylist())
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in zip(j.values(), kinds, strict=True))], names=["id", *j])
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, at):
             j = judge(b.column(at).cast(pa.binary()).to_pylist())
             yield b.filter(pa.array(j["kept"], pa.bool_()))
 
@@ -213,8 +217,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = 2400, threshol
     that stay, as they are.
 
     `rows` bounds the labelled sample that the classifier is fitted on.  Null texts count as empty
-    and fail for want of words.  Labels that are null, repeated or without a document are passed
-    over; if the labelled rows don't hold both classes there is no classifier (low_probability is
+    and fail for want of words.  Labels that are null, contradict each other or lack a document are
+    passed over, repeated ones count once, and of an id's documents the least text counts; if the labelled rows don't hold both classes there is no classifier (low_probability is
     null) and the countable rules decide alone.  Repeated rows and extra columns stay as they are."""
     texts, low = training_rows(docs, labels, rows)
     return score(docs, fit(texts, low), threshold, keep=keep)

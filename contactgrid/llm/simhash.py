@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, parts
 
 BITS = 64
 #: For each value of a byte, its bits as eight 8-bit lanes of one integer; sums of up to 255 don't overflow.
@@ -53,7 +53,7 @@ def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, fp): the fingerprint of every whole text, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(texts, shingle, seed).view(np.int64))], names=["id", "fp"])
 
@@ -202,7 +202,6 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest document of each group.  A document without an id can't be referred to and
-    stays; rows that repeat one id stand or fall together."""
-    found = near_duplicates(docs)
-    gone = found.where("id <> component_id").select(F.col("id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    stays; rows that repeat one id stand or fall together.  Columns of any names stay as they are."""
+    gone = near_duplicates(docs).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

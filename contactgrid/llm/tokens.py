@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import parts
+
 #: The characters that are white space to the pre-tokenisers.
 _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Texts that aren't cut at every space alike: a space after white space, and the mark that is put in for lines.
@@ -98,12 +100,8 @@ class UnitEncoder:
         """The ids of each text in turn; null counts as empty.  At most about `most` bytes of text, or one
         text, are in hand at a time: their words are told apart by a hash table of Arrow's, each distinct
         word's ids come from the cache or are made, and all texts' ids are gathered from those at once."""
-        full = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(full, most + (full[lo - 1] if lo else 0), side="right")))
-            yield from self._slice(texts.slice(lo, hi - lo).fill_null(""))
-            lo = hi
+        for b in parts([pa.RecordBatch.from_arrays([texts], names=["text"])], 0, most):
+            yield from self._slice(b.column(0).fill_null(""))
 
     def _slice(self, part: pa.Array) -> Iterator[np.ndarray]:
         loose = pc.or_(pc.match_substring_regex(part, _LOOSE), pc.starts_with(part, " "))

@@ -80,6 +80,12 @@ def test_documents(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stage_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 5), (2, "a b c", "y", 6), (None, "a b c", "z", 7)], "doc_id long, text string, gone string, fp int")
+    out = simhash.dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.gone for r in out.collect()) == ["x", "z"]
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(0, 70)] + [(200, k) for k in range(201, 400)] + [(500, 500), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -21,3 +21,14 @@ def test_stages_keep_columns(spark, sf):
         out = stage(spark, docs.limit(40), sf)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         stage(spark, docs.limit(0), sf).count()
+
+
+def test_run_on_an_empty_and_an_odd_table(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = "plain words of a text that is long enough to stay here with us"
+    odd = spark.createDataFrame([(None, text, None, None, None), (9, None, "en", "s", 3), (9, "", "en", "s", 0), (9, f"{text} {text[::-1]}", "en", "s", 9)], docs.schema)
+    for name, table in (("empty", docs.limit(0)), ("odd", odd)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = cp.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in got} <= ({None, 9} if name == "odd" else set())

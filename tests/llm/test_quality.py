@@ -50,3 +50,13 @@ def test_odd_rows(spark):
     out = quality.quality_rules(docs, labels).collect()
     assert [r.kept for r in out] == [False] * 4 and all(r.low_probability is None for r in out)
     assert quality.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_labels_that_contradict_or_repeat(spark):
+    """The training rows don't depend on the labels' order."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)] + [(2, "a text")], "doc_id long, text string")
+    rows = [(0, 1), (1, 0), (1, 1), (2, 0), (2, 0), (3, None), (4, 1), (4, 1)]
+    want = [(b"a text", 1), (b"text 0", 0), (b"text 4", 0)]
+    for order in (rows, rows[::-1]):
+        labels = spark.createDataFrame(order, "doc_id long, quality int").coalesce(1)
+        assert sorted(zip(*quality.training_rows(docs, labels, 99), strict=True)) == want
