@@ -173,5 +173,23 @@ def masked_positions(bins: DataFrame, weight: str) -> DataFrame:
     return good.withColumn("pos", F.row_number().over(Window.partitionBy("chrom_id").orderBy("bin_id")) - 1)
 
 
+def enlarged(bins: DataFrame) -> DataFrame:
+    """bins that follow each other without gaps: two that don't touch meet half way, and the first of two
+    or more begins at 0."""
+    w = Window.partitionBy("chrom_id").orderBy("bin_id")
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    before, after = F.lag(end).over(w), F.lead(start).over(w)
+    first = F.when(after.isNotNull(), F.lit(0).cast("long")).otherwise(start)
+    moved = bins.withColumns({"_s": F.when(before.isNotNull(), start - floor_div(start - before, 2)).otherwise(first), "_e": F.when(after.isNotNull(), after - floor_div(after - end, 2)).otherwise(end)})
+    return moved.withColumns({"start": F.col("_s"), "end": F.col("_e")}).drop("_s", "_e")
+
+
+def median_bin_size(bins: DataFrame) -> DataFrame:
+    """(bin_size): the median distance of following starts, cut to an integer."""
+    w = Window.partitionBy("chrom_id").orderBy("bin_id")
+    steps = bins.select((F.col("start") - F.lag("start").over(w)).alias("d"))
+    return steps.agg(F.median("d").cast("long").alias("bin_size"))
+
+
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))

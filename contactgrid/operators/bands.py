@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..matrix import with_chroms
 from ..schema import floor_div
+from .marginals import rows_before
 
 
 def cis_cells(pixels: DataFrame, bins: DataFrame) -> DataFrame:
@@ -178,10 +179,9 @@ def islands(positions: DataFrame, max_gap: int) -> DataFrame:
 def rejection_cutoff(pvalues: DataFrame, q: float) -> DataFrame:
     """(cutoff) of the false discovery rate q: the largest p at or under q * rank / n; null p count as 1.
     Distinct p are ranked, ties by their last."""
-    p = pvalues.select(F.coalesce(F.nanvl("p", F.lit(1.0)), F.lit(1.0)).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("p"))
-    total = F.sum("n").over(Window.partitionBy())
-    ok = p.withColumn("ok", F.col("p") <= q * upto / total)
+    p = pvalues.select(F.coalesce(F.nanvl("p", F.lit(1.0)), F.lit(1.0)).alias("p")).groupBy("p").agg(F.count("*").alias("_n"))
+    total = p.agg(F.sum("_n").alias("total"))
+    ok = rows_before(p, "p").crossJoin(F.broadcast(total)).withColumn("ok", F.col("p") <= q * (F.col("_before") + F.col("_n")) / F.col("total"))
     return ok.agg(F.max(F.when(F.col("ok"), F.col("p"))).alias("cutoff"))
 
 

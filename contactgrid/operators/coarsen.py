@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import ContactMatrix, chrom_offsets, fixed_bins
+from ..plans.scratch import materialize
 from ..schema import MatrixError, floor_div
 
 #: Fixed value: the side of a viewer's tile, which the coarsest automatic level fits into.
@@ -89,14 +90,16 @@ def coarsen(matrix: ContactMatrix, factor: int) -> ContactMatrix:
 
 
 def zoom(matrix: ContactMatrix, wanted: Sequence[int] = (), nice: bool = True) -> dict[int, ContactMatrix]:
-    """A matrix for each resolution; each from the finest coarser one that divides it, so the base is
-    aggregated once."""
+    """A matrix for each resolution; each from the coarsest one below it that divides it.  A level that
+    others come from is written to the shared folder, so nothing is aggregated twice."""
     genome = matrix.chroms.agg(F.sum("length")).first()[0] or 0
     out: dict[int, ContactMatrix] = {}
-    for r in targets(genome, matrix.bin_size, wanted, nice):
-        below = max((b for b in out if r % b == 0), default=None)
-        source = out[below] if below else matrix
-        out[r] = coarsen(source, r // source.bin_size)
+    sizes = list(targets(genome, matrix.bin_size, wanted, nice))
+    below = {r: max((b for b in sizes if b < r and r % b == 0), default=None) for r in sizes}
+    for r in sorted(sizes):
+        source = out[below[r]] if below[r] in out else matrix
+        level = coarsen(source, r // source.bin_size)
+        out[r] = level.with_pixels(materialize(level.pixels, "zoom")) if r in below.values() else level
     return out
 
 

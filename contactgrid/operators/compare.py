@@ -52,13 +52,9 @@ def pearson(cells: DataFrame) -> DataFrame:
 
 def spearman(cells: DataFrame) -> DataFrame:
     """Ranks within each chromosome; a chromosome's distinct counts are ordered, not its cells."""
-    from pyspark.sql.window import Window
-
     ranked = cells.where("d > 0 and (x <> 0 or y <> 0)")
     for v in ("x", "y"):
-        counts = ranked.groupBy("chrom_id", v).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy("chrom_id").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.join(counts.withColumn(f"r{v}", before + (F.col("_n") + 1) / 2.0).drop("_n"), ["chrom_id", v])
+        ranked = average_rank(ranked, v, f"r{v}", ("chrom_id",))
     return ranked.groupBy("chrom_id").agg(correlation(F.col("rx"), F.col("ry")).alias("value"))
 
 
@@ -121,12 +117,17 @@ def compare_all(matrices: Mapping[str, ContactMatrix], metric: str = "scc", **op
     return out
 
 
+def uniform(text: Column) -> Column:
+    """A number in [0, 1) that a text decides, in SQL as well."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def downsample(pixels: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Each unit of a count stays with probability `share`: a normal draw matched to the binomial's mean
     and spread for large counts, single trials for small ones.  The seed and the cell decide."""
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "bin1_id", "bin2_id"), F.lit(1 << 40)) / float(1 << 40)
-    c = F.col("count")
-    each = lambda i: F.when(F.pmod(F.xxhash64(F.lit(seed), F.col("bin1_id"), F.col("bin2_id"), i), F.lit(1 << 40)) / float(1 << 40) < share, 1.0).otherwise(0.0)
+    u = lambda k: uniform(F.concat_ws(":", *cell, F.lit(f"n{k}")))
+    c, cell = F.col("count"), (F.lit(str(seed)), F.col("bin1_id").cast("string"), F.col("bin2_id").cast("string"))
+    each = lambda i: F.when(uniform(F.concat_ws(":", *cell, i.cast("string"))) < share, 1.0).otherwise(0.0)
     small = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(c, F.lit(64.0))).cast("int")), each), F.lit(0.0), lambda a, x: a + x)
     z = F.sqrt(-2 * F.log(F.greatest(u(1), F.lit(1e-12)))) * F.cos(6.283185307179586 * u(2))
     large = F.greatest(F.lit(0.0), F.least(c, F.round(c * share + z * F.sqrt(c * share * (1 - share)))))

@@ -63,16 +63,19 @@ def overlapping_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 def nesting_levels(domains: DataFrame) -> DataFrame:
     """domains(chrom, start, end) with level, the number of other domains that hold them.
 
-    A domain is held only by starts at or before its own: a bucket join on the stretches of the
-    holder keeps it an equi-join."""
+    A holder lies in the two cells of its own width, rounded up to a power of two, that it can start in or
+    reach; a domain looks in its cell of every width from its own up.  So a long domain is held against
+    what lies within twice its width, and doesn't set the cells of the short ones."""
     d = domains.select("chrom", "start", "end").distinct()
-    width = d.groupBy("chrom").agg(F.max(F.col("end") - F.col("start")).alias("w"))
-    d = d.join(F.broadcast(width), "chrom").withColumn("w", F.greatest("w", F.lit(1)))
-    cell = floor_div(F.col("start"), F.col("w"))
-    holders = d.select("chrom", F.explode(F.array(cell, cell + 1)).alias("cell"), F.col("start").alias("qs"), F.col("end").alias("qe"))
+    level = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
+    d = d.withColumn("w", level)
+    top = d.groupBy("chrom").agg(F.max("w").alias("top"))
+    cell = lambda w: floor_div(F.col("start"), F.pow(F.lit(2.0), w))
+    holders = d.select("chrom", "w", F.explode(F.array(cell(F.col("w")), cell(F.col("w")) + 1)).alias("cell"), F.col("start").alias("qs"), F.col("end").alias("qe"))
+    own = d.join(F.broadcast(top), "chrom").select("chrom", "start", "end", F.explode(F.sequence("w", "top")).alias("w"))
+    own = own.withColumn("cell", cell(F.col("w")))
     inside = (F.col("qs") <= F.col("start")) & (F.col("qe") >= F.col("end")) & ((F.col("qs") < F.col("start")) | (F.col("qe") > F.col("end")))
-    own = d.withColumn("cell", cell).select("chrom", "cell", "start", "end")
-    hits = own.join(holders, ["chrom", "cell"]).where(inside).groupBy("chrom", "start", "end").agg(F.count("*").alias("level"))
+    hits = own.join(holders, ["chrom", "w", "cell"]).where(inside).groupBy("chrom", "start", "end").agg(F.count("*").alias("level"))
     return d.select("chrom", "start", "end").join(hits, ["chrom", "start", "end"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 

@@ -47,19 +47,38 @@ def median_and_mad(rows: DataFrame, value: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(med)).groupBy("median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
 
 
-def average_rank(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Ranks from 1, ties share their mean.  Distinct values are counted first, so the only total order
-    is over those."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn(name, (before + (F.col("_n") + 1) / 2.0).cast("double")).drop("_n")
-    return rows.join(ranked, value)
+def magnitude(value: Column) -> Column:
+    """A whole number that never falls as `value` rises: its sign and sixteen steps an octave.  A range of
+    values takes few of them, so sums over them are small tables, whatever the rows."""
+    v = value.cast("double")
+    step = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * 16).cast("long") + 20_000
+    return F.when(F.isnan(v) | (v == float("inf")), 1_000_000).when(v == -float("inf"), -1_000_000).otherwise(F.signum(v).cast("long") * step)
+
+
+def rows_before(counts: DataFrame, value: str, *by: str) -> DataFrame:
+    """counts(value, _n) with _before, the sum of _n over all smaller values, in each group of `by`: within
+    a magnitude, and over the magnitudes below, so no task orders all values."""
+    upto = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = counts.withColumn("_m", magnitude(F.col(value)))
+    tops = rows.groupBy(*by, "_m").agg(F.sum("_n").alias("_t"))
+    base = tops.withColumn("_base", upto("_t", Window.partitionBy(*by).orderBy("_m"))).drop("_t")
+    inner = rows.withColumn("_inner", upto("_n", Window.partitionBy(*by, "_m").orderBy(value)))
+    return inner.join(base, [*by, "_m"]).withColumn("_before", F.col("_inner") + F.col("_base")).drop("_m", "_inner", "_base")
+
+
+def average_rank(rows: DataFrame, value: str, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """Ranks from 1, ties share their mean, in each group of `by`.  Distinct values are counted first, and
+    ordered within their magnitudes.  The join back has a row a value on one side, so a value that most
+    rows hold can be split by Spark on the other."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    rank = (F.col("_before") + (F.col("_n") + 1) / 2.0).cast("double")
+    return rows.join(rows_before(counts, value, *by).withColumn(name, rank).drop("_n", "_before"), [*by, value])
 
 
 def rank_nan_last(rows: DataFrame, value: str, ordinal: str) -> DataFrame:
     """The same, with NaN (or null) behind all numbers, each of its own rank in the order of `ordinal`."""
     good = average_rank(rows.where(finite(F.col(value)) | (F.abs(F.col(value)) == float("inf"))), value)
     n = good.agg(F.count("*").alias("_n"))
-    bad = rows.where(F.col(value).isNull() | F.isnan(value))
-    bad = bad.crossJoin(F.broadcast(n)).withColumn("rank", (F.row_number().over(Window.orderBy(ordinal)) + F.col("_n")).cast("double")).drop("_n")
+    bad = rows_before(rows.where(F.col(value).isNull() | F.isnan(value)).withColumn("_n", F.lit(1)), ordinal).drop("_n")
+    bad = bad.crossJoin(F.broadcast(n)).withColumn("rank", (F.col("_before") + 1 + F.col("_n")).cast("double")).drop("_n", "_before")
     return good.unionByName(bad)

@@ -183,82 +183,67 @@ def binarised_nnz(spark, sf_dir):
     return marginals.marginal(marginals.select_pixels(_m(spark, sf_dir), 2, binarize=True))
 
 
-def _iv(spark, sf_dir, where="o_orderkey % 97 = 0"):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(where)
+def _iv(spark, sf_dir):
+    """An interval for each order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     r = contacts.table_chroms(spark, sf_dir).select("chrom_id", F.col("name").alias("chrom"))
     start = (F.col("o_custkey") * 131 + F.col("o_orderkey")) % 19000
     iv = o.select((F.col("o_orderkey") % 5).cast("int").alias("chrom_id"), start.alias("start"), (start + 1 + F.col("o_orderkey") % 700).alias("end"))
     return iv.join(F.broadcast(r), "chrom_id").select("chrom", "start", "end").distinct()
 
 
-_IV = """, iv as materialized (select distinct name as chrom, s as start, s + 1 + k % 700 as "end" from (select o_orderkey as k, (o_custkey * 131 + o_orderkey) % 19000 as s from orders where o_orderkey % 97 = 0) join chroms on chrom_id = k % 5)"""
+_IV = """, iv as materialized (select distinct name as chrom, s as start, s + 1 + k % 700 as "end" from (select o_orderkey as k, (o_custkey * 131 + o_orderkey) % 19000 as s from orders) join chroms on chrom_id = k % 5)"""
+_TILES = """, tiles as materialized (select name as chrom, k * 1000 as start, least(k * 1000 + 1000, length)::bigint as "end" from chroms, unnest(generate_series(0::bigint, (length - 1) // 1000)) t(k))"""
 
 
-@query(with_base(_IV + """ select distinct bin_id from bins b join chroms c using (chrom_id) join iv on iv.chrom = c.name and b.start < iv."end" and b."end" > iv.start"""))
 def blacklist_overlap(spark, sf_dir):
     return intervals.overlapping_bins(_m(spark, sf_dir), _iv(spark, sf_dir))
 
 
-@query(with_base(_IV + """ select distinct chrom, k from iv, unnest(generate_series(start // 100, ("end" + 99) // 100 - 1)) t(k)"""))
 def included_bins(spark, sf_dir):
     return intervals.local_bins(_iv(spark, sf_dir), 100)
 
 
-@query(with_base(_IV + """ select a.chrom, a.start, a."end", count(b.chrom)::bigint as level from iv a left join iv b on a.chrom = b.chrom and b.start <= a.start and b."end" >= a."end" and (b.start < a.start or b."end" > a."end") group by 1, 2, 3"""))
 def nesting_level(spark, sf_dir):
     return intervals.nesting_levels(_iv(spark, sf_dir))
 
 
-@query(with_base(_IV + """ select a.chrom, a.start as s1, b.start as s2, round(greatest(0, least(a."end", b."end") - greatest(a.start, b.start))::double / (greatest(a."end", b."end") - least(a.start, b.start)), 6) as ratio
-from iv a join iv b on a.chrom = b.chrom and a.start // 1000 = b.start // 1000"""))
-def interval_overlap_ratio(spark, sf_dir):
-    a, b = (_iv(spark, sf_dir).select("chrom", F.floor(F.col("start") / 1000).alias("cell"), F.col("start").alias(f"s{k}"), F.col("end").alias(f"e{k}")) for k in (1, 2))
-    r = intervals.overlap_ratio(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
-    return a.join(b, ["chrom", "cell"]).select("chrom", "s1", "s2", F.round(r, 6).alias("ratio"))
-
-
-@query(with_base(_IV + """ select * from iv where start < 12000 except select * from iv where start > 6000"""))
 def low_minus_high(spark, sf_dir):
     iv = _iv(spark, sf_dir)
     return iv.where("start < 12000").join(iv.where("start > 6000"), ["chrom", "start", "end"], "left_anti")
 
 
-# The five above take the orders that their SQL takes; these take all orders, and have no SQL.
-
-
-def _all_iv(spark, sf_dir):
-    return _iv(spark, sf_dir, "true")
-
-
-@query()
-def blacklist_overlap_all(spark, sf_dir):
-    return intervals.overlapping_bins(_m(spark, sf_dir), _all_iv(spark, sf_dir))
+_INTERVALS = {
+    blacklist_overlap: """ select distinct bin_id from (select distinct chrom, k from iv, unnest(generate_series(start // 100, ("end" + 99) // 100 - 1)) t(k)) x
+join chroms c on c.name = x.chrom join bins b on b.chrom_id = c.chrom_id and b.start = k * 100""",
+    included_bins: """ select distinct chrom, k from iv, unnest(generate_series(start // 100, ("end" + 99) // 100 - 1)) t(k)""",
+    nesting_level: """ select a.chrom, a.start, a."end", count(b.chrom)::bigint as level from iv a left join iv b on a.chrom = b.chrom and b.start <= a.start and b."end" >= a."end" and (b.start < a.start or b."end" > a."end") group by 1, 2, 3""",
+    low_minus_high: """ select * from iv where start < 12000 except select * from iv where start > 6000""",
+}
+for _f, _sql in _INTERVALS.items():
+    for _name in (_f.__name__, f"{_f.__name__}_all"):
+        query(with_base(_IV + _sql), _name)(_f)
 
 
-@query()
-def included_bins_all(spark, sf_dir):
-    return intervals.local_bins(_all_iv(spark, sf_dir), 100)
-
-
-@query()
-def nesting_level_all(spark, sf_dir):
-    return intervals.nesting_levels(_all_iv(spark, sf_dir))
+@query(with_base(_IV + _TILES + """ select a.chrom, a.start as s1, a."end" as e1, b.start as s2, round((least(a."end", b."end") - greatest(a.start, b.start))::double / (greatest(a."end", b."end") - least(a.start, b.start)), 6) as ratio
+from iv a join tiles b on a.chrom = b.chrom and a.start < b."end" and b.start < a."end\""""))
+def interval_overlap_ratio(spark, sf_dir):
+    """Every interval with the stretches of 1000 positions that it overlaps."""
+    chroms = contacts.table_chroms(spark, sf_dir)
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length").cast("long") - 1, F.lit(1000).cast("long")))
+    tiles = chroms.select(F.col("name").alias("chrom"), "length", start.alias("start")).withColumn("end", F.least(F.col("start") + 1000, F.col("length").cast("long")))
+    r = intervals.overlap_ratio(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
+    return intervals.overlapping_pairs(_iv(spark, sf_dir), tiles).select("chrom", "s1", "e1", "s2", F.round(r, 6).alias("ratio"))
 
 
 @query()
 def interval_overlap_ratio_all(spark, sf_dir):
-    """Pairs that overlap, also across cells."""
-    iv = _all_iv(spark, sf_dir)
+    """Pairs of intervals that overlap."""
+    iv = _iv(spark, sf_dir)
     r = intervals.overlap_ratio(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
     return intervals.overlapping_pairs(iv, iv).select("chrom", "s1", "e1", "s2", "e2", F.round(r, 6).alias("ratio"))
 
 
-@query()
-def low_minus_high_all(spark, sf_dir):
-    iv = _all_iv(spark, sf_dir)
-    return iv.where("start < 12000").join(iv.where("start > 6000"), ["chrom", "start", "end"], "left_anti")
-
-
 @query(with_base(""", e as (select distinct bin1_id % 50 as a, bin2_id % 50 as b from pixels where count > 2) select a, b from e intersect select b, a from e"""))
 def reciprocal_edges(spark, sf_dir):
     px = _m(spark, sf_dir).pixels.where("count > 2")
@@ -273,6 +258,19 @@ def masked_renumbered_bins(spark, sf_dir):
     return M.masked_positions(m.set_bin_column("w", w).bins, "w").select("bin_id", "chrom_id", F.col("pos").cast("long").alias("pos"))
 
 
+@query(with_base(""", ok as (select *, lag("end") over w as before, lead(start) over w as next from bins where bin_id % 37 <> 5 window w as (partition by chrom_id order by bin_id))
+select bin_id, chrom_id, (case when before is not null then start - (start - before) // 2 when next is not null then 0 else start end)::bigint as start,
+  (case when next is not null then next - (next - "end") // 2 else "end" end)::bigint as "end" from ok"""))
+def enlarged_bins(spark, sf_dir):
+    """The bins that have a weight, moved together over the gaps."""
+    return M.enlarged(M.masked_positions(_weighted(spark, sf_dir).bins, "w")).select("bin_id", "chrom_id", "start", "end")
+
+
+@query(with_base("select median(start - before)::bigint as bin_size from (select start, lag(start) over (partition by chrom_id order by bin_id) as before from bins)"))
+def median_bin_size(spark, sf_dir):
+    return M.median_bin_size(_m(spark, sf_dir).bins)
+
+
 @query(with_base("select bin1_id, bin2_id, round(log2(count + 1), 6) as log2p, round(case when count > 0 then ln(count) else count end, 6) as ln from pixels"))
 def log_transforms(spark, sf_dir):
     c = F.col("count")
@@ -465,8 +463,8 @@ def dynamic_expected(spark, sf_dir):
     return bands.dynamic_expected(cells, pos).select("d", _r("expected"))
 
 
-@query(with_base(f""", {CIS}, st as (select chrom_id, d, sum(v) as s, sum(v * v) as ss, any_value(n_bins) - d as n from cis join offs using (chrom_id) where d < 40 and d < n_bins - 1 group by 1, 2)
-select chrom_id, i, j, round((v - s / n) / sqrt(greatest(1e-6, ss / n - (s / n) * (s / n))) + 1, 6) as z from cis join st using (chrom_id, d)"""))
+@query(with_base(f""", {CIS}, st as materialized (select chrom_id, d, sum(v) as s, sum(v * v) as ss, any_value(n_bins) - d as n from cis join offs using (chrom_id) where d < 40 and d < n_bins - 1 group by 1, 2)
+select cis.chrom_id, i, j, round((v - s / n) / sqrt(greatest(1e-6, ss / n - (s / n) * (s / n))) + 1, 6) as z from cis join st on st.chrom_id = cis.chrom_id and st.d = cis.d"""))
 def distance_standardized(spark, sf_dir):
     return bands.distance_standardized(*_cis(spark, sf_dir), 40).select("chrom_id", "i", "j", _r("z"))
 
@@ -518,8 +516,9 @@ def fixed_directionality(spark, sf_dir):
     return bands.fixed_directionality(*_cis(spark, sf_dir), 15).select("chrom_id", "i", _r("di"))
 
 
-@query(with_base(f""", {CIS}, l as (select chrom_id, j as b, d, v from cis where d >= 2), r as (select chrom_id, i as b, d, v from cis where d >= 2)
-select chrom_id, b as i, b + d as j, round((coalesce(l.v, 0) - coalesce(r.v, 0)) / (coalesce(l.v, 0) + coalesce(r.v, 0)), 6) as di from l full join r using (chrom_id, b, d) where b >= d"""))
+@query(with_base(f""", {CIS}, s as materialized (select chrom_id, b, d, sum(l) as l, sum(r) as r from (
+  select chrom_id, j as b, d, v as l, 0 as r from cis where d >= 2 union all select chrom_id, i, d, 0, v from cis where d >= 2) group by 1, 2, 3)
+select chrom_id, b as i, b + d as j, round((l - r) / (l + r), 6) as di from s where b >= d"""))
 def upstream_directionality(spark, sf_dir):
     cells, _ = _cis(spark, sf_dir)
     return bands.upstream_directionality(cells, 2).select("chrom_id", "i", "j", _r("di"))
@@ -600,11 +599,17 @@ def compare_nxn(spark, sf_dir):
     return compare.compare_all({"R": a, "N": b}, "pearson").select("label_i", "label_j", _r("value"))
 
 
-@query()
+_U = lambda x: f"('0x' || substr(md5('1:' || bin1_id || ':' || bin2_id || ':' || {x}), 1, 13))::bigint / 4503599627370496.0::double"
+
+
+@query(with_base(f""", {pixels(RETURNED, 'whole')}, pa as materialized (
+  select bin1_id, bin2_id, count(*)::double as count from (select * from whole where count <= 64) w, unnest(generate_series(1::bigint, count::bigint)) t(i) where {_U("i")} < 0.5 group by 1, 2
+  union all select bin1_id, bin2_id, greatest(0, least(count, round(count * 0.5 + sqrt(-2 * ln(greatest({_U("'n1'")}, 1e-12))) * cos(6.283185307179586 * {_U("'n2'")}) * sqrt(count * 0.25))))::double from whole where count > 64),
+{pixels(KEPT, 'pb')}, {PAIR}{_scc("cells")}"""))
 def scc_downsample(spark, sf_dir):
-    """Drawn by a seed, so without SQL."""
+    """One matrix thinned to half of its contacts; a hash of the seed and the cell draws."""
     a, b = _pair(spark, sf_dir)
-    return compare.compare(a.with_pixels(compare.downsample(a.pixels, 0.5, 1)), b, "scc", max_dist=6000)
+    return compare.compare(a.with_pixels(compare.downsample(a.pixels, 0.5, 1)), b, "scc", max_dist=6000).select("chrom_id", _r("value"))
 
 
 # ---- validation ----
@@ -774,19 +779,12 @@ def hic_block_number(spark, sf_dir):
     return px.groupBy((F.col("chrom_id1") + 1).alias("a"), (F.col("chrom_id2") + 1).alias("b"), block.alias("block")).agg(F.count("*").alias("n"))
 
 
-@query(with_base(f""", {CIS}, pos as (select chrom_id, i as pos, row_number() over (partition by chrom_id order by res) as k from (select chrom_id, i, 100 + i % 3 * 100 as res from cis where d = 0 and i < 3)) select chrom_id, pos from pos where k = 1"""))
 def finest_resolution(spark, sf_dir):
-    """The row of the finest resolution in each chromosome."""
-    from pyspark.sql.window import Window
-
-    cells, _ = _cis(spark, sf_dir)
-    rows = cells.where("d = 0 and i < 3").select("chrom_id", F.col("i").alias("pos"), (100 + F.col("i") % 3 * 100).alias("res"))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("chrom_id").orderBy("res"))).where("k = 1").select("chrom_id", "pos")
-
-
-@query()
-def finest_resolution_all(spark, sf_dir):
-    """The same over all rows of the diagonal, the first of equals; without SQL."""
+    """The row of the finest resolution in each chromosome, the first of equals."""
     cells, _ = _cis(spark, sf_dir)
     rows = cells.where("d = 0").select("chrom_id", F.struct((100 + F.col("i") % 3 * 100).alias("res"), F.col("i").alias("pos")).alias("x"))
     return rows.groupBy("chrom_id").agg(F.min("x").alias("x")).select("chrom_id", "x.pos")
+
+
+for _name in ("finest_resolution", "finest_resolution_all"):
+    query(with_base(f", {CIS} select chrom_id, arg_min(i, i % 3 * 1000000 + i) as pos from cis where d = 0 group by 1"), _name)(finest_resolution)

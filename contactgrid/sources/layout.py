@@ -27,6 +27,12 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
 
 
+def _delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_matrix(matrix: ContactMatrix, path: str, merge: bool = True, mode: str = "errorifexists") -> None:
     """Pixels become upper-triangle, summed by pair if `merge`; bins out of range are refused."""
     spark = matrix.chroms.sparkSession
@@ -37,6 +43,7 @@ def write_matrix(matrix: ContactMatrix, path: str, merge: bool = True, mode: str
         raise MatrixError(f"pixel ({bad.bin1_id}, {bad.bin2_id}) of {n} bins")
     matrix.chroms.write.mode(mode).parquet(f"{path}/chroms")
     matrix.bins.write.mode(mode).parquet(f"{path}/bins")
+    _delete(spark, *(f"{path}/bins.v{v}" for v in _bin_versions(spark, path)))
     px.repartitionByRange("bin1_id").sortWithinPartitions("bin1_id", "bin2_id").write.mode(mode).parquet(f"{path}/pixels")
     nnz = spark.read.parquet(f"{path}/pixels").count()
     meta = [(FORMAT, VERSION, "fixed" if matrix.bin_size else "variable", matrix.bin_size, "symmetric-upper", matrix.chroms.count(), n, nnz)]
@@ -50,7 +57,8 @@ def read_matrix(spark: SparkSession, path: str) -> ContactMatrix:
     meta = spark.read.parquet(f"{path}/meta").first()
     if meta.format != FORMAT or meta.version > VERSION or meta.storage != "symmetric-upper":
         raise MatrixError(f"{path}: {meta.format} {meta.version}, {meta.storage}")
-    return ContactMatrix(*(spark.read.parquet(f"{path}/{t}") for t in ("chroms", "bins", "pixels")), meta.bin_size)
+    tables = (spark.read.parquet(p) for p in (f"{path}/chroms", _bins_path(spark, path), f"{path}/pixels"))
+    return ContactMatrix(*tables, meta.bin_size)
 
 
 def attributes(spark: SparkSession, path: str) -> dict:
@@ -89,13 +97,24 @@ def open_matrix(spark: SparkSession, path: str, resolution: int | None = None) -
     return read_matrix(spark, f"{path}/resolution={size}")
 
 
+def _bin_versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of the bins beside the first; the last one counts."""
+    found = (int(c[6:]) for c in _children(spark, path) if c.startswith("bins.v") and c[6:].isdigit())
+    return sorted(v for v in found if _exists(spark, f"{path}/bins.v{v}/_SUCCESS"))
+
+
+def _bins_path(spark: SparkSession, path: str) -> str:
+    versions = _bin_versions(spark, path)
+    return f"{path}/bins.v{versions[-1]}" if versions else f"{path}/bins"
+
+
 def update_bin_column(spark: SparkSession, path: str, matrix: ContactMatrix) -> None:
-    """Writes changed bins beside the old ones and then in their place."""
-    fresh = f"{path}/bins.new"
-    matrix.bins.write.mode("overwrite").parquet(fresh)
-    spark.read.parquet(fresh).write.mode("overwrite").parquet(f"{path}/bins")
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Writes changed bins as a version of their own, which counts once it is complete: a loss on the way
+    leaves the bins as they were.  The version before stays for those who have it open."""
+    versions = _bin_versions(spark, path)
+    new = versions[-1] + 1 if versions else 1
+    matrix.bins.write.mode("overwrite").parquet(f"{path}/bins.v{new}")
+    _delete(spark, *(f"{path}/bins.v{v}" for v in versions[:-1]))
 
 
 def pixel_text(matrix: ContactMatrix, pixels: DataFrame | None = None, coordinates: bool = False, weight: str | None = None) -> DataFrame:

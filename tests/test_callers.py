@@ -18,6 +18,40 @@ def test_separation(toy):
     assert len(separation.domains_between(found)) == 4
 
 
+def test_separation_leaves_masked_bins_out(spark, toy):
+    """Bins without a finite weight are skipped, the others numbered anew and moved together; scores are
+    those of the matrix without them, and gaps at block edges leave the boundaries half way over them."""
+    masked = {7, 40, 41, 79}
+    weights = spark.createDataFrame([(k, None if k == 7 else float("nan") if k in masked else 0.5) for k in range(120)], "bin_id long, value double")
+    m = toy.set_bin_column("w", weights)
+    d = separation.depths(20_000)
+    rows = {r.bin: r for r in separation.score_chromosomes(m, d, "w").collect()}
+    assert len(rows) == 116 and sorted(rows) == list(range(116))
+    assert rows[6].end == rows[7].start == 150_000 and rows[38].end == rows[39].start == 820_000
+    left = [k for k in range(120) if k not in masked]
+    x = np.zeros((116, 116))
+    for a in range(116):
+        for b in range(a + 1, 116):
+            x[a, b] = 0.25 * (50.0 if left[a] // 20 == left[b] // 20 else 2.0)
+    keys = np.array([[(left[b] - left[a]) + 1 for b in range(116)] for a in range(116)])
+    z = np.zeros((116, 116))
+    upper = np.triu_indices(116, 1)
+    for k in np.unique(keys[upper]):
+        at = (keys == k) & np.triu(np.ones((116, 116), bool), 1)
+        size = max(116 - (k - 1), at.sum())
+        mean, sd = x[at].sum() / size, 0.0
+        sd = np.sqrt(((x[at] - mean) ** 2).sum() / size + (size - at.sum()) * mean**2 / size)
+        z[at] = 0.0 if k > d.zscore_depth + 1 else (x[at] - mean) / sd if sd > 0 else np.nan
+    start, end = np.array([rows[k].start for k in range(116)]), np.array([rows[k].end for k in range(116)])
+    for cut in (12, 37, 60):
+        for w, got in zip(d.windows, rows[cut]["values"], strict=True):
+            lo, hi = separation.window_edges(start, end, cut, w)
+            assert got == pytest.approx(z[lo:cut, cut:hi].mean(), abs=1e-9)
+    _, found = separation.call_boundaries(m, weight="w")
+    near = [k * 400_000 for k in range(1, 6)]
+    assert len(found) == 5 and all(abs(a - b) <= 40_000 for a, b in zip(found["start"], near, strict=True))
+
+
 def test_depths():
     d = separation.depths(5000)
     assert (d.min_depth, d.max_depth, d.step) == (50_000, 200_000, 10_000)
