@@ -56,6 +56,7 @@ def test_levels_of_a_known_matrix(spark):
     import json
     import os
 
+    # A matrix and its coarser levels.
     d = json.load(open(os.path.join(os.path.dirname(__file__), "data", "zoom.json")))
     chroms = spark.createDataFrame([(k, *c) for k, c in enumerate(d["chroms"])], "chrom_id int, name string, length int")
     px = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in d["pixels"]], "bin1_id long, bin2_id long, count double")

@@ -7,6 +7,7 @@ from contactgrid.functions.optimize import anneal, forward_gradient, lbfgs
 from contactgrid.operators import objective as O
 from contactgrid.sources.contacts import toy_matrix
 
+#: The stages of the normalisation of the matrix of known(), as established tools have them.
 DATA = json.load(open(os.path.join(os.path.dirname(__file__), "data", "object_weights.json")))
 
 
