@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import ContactMatrix, finite
-from ..plans.scratch import materialize
+from ..plans.scratch import Rolling, materialize
 from ..schema import MatrixError
 from .marginals import full_marginal, marginal, nonzero_mean_var, select_pixels
 
@@ -100,18 +100,19 @@ def balance(matrix: ContactMatrix, p: BalanceParams = BalanceParams(), x0: DataF
         raise MatrixError("cis_only and trans_only exclude each other")
     matrix = matrix.with_pixels(materialize(matrix.pixels, "pixels"))
     pixels = materialize(select_pixels(matrix, p.ignore_diags, cis=not p.trans_only, trans=not p.cis_only), "pixels")
-    bias = materialize(start_biases(matrix, p, x0, blacklist), "bias")
+    written = Rolling()
+    bias = written(start_biases(matrix, p, x0, blacklist), "bias")
     share = None
     if p.trans_only:
         n = bias.count()
-        share = bias.groupBy("chrom_id").agg((1.0 / (1.0 - F.count("*") / F.lit(float(n)))).alias("share"))
+        share = materialize(bias.groupBy("chrom_id").agg((1.0 / (1.0 - F.count("*") / F.lit(float(n)))).alias("share")), "share")
     by = ["chrom_id"] if p.cis_only else []
     keys = [r.chrom_id for r in bias.select("chrom_id").distinct().orderBy("chrom_id").collect()] if p.cis_only else [None]
     state = {k: {"scale": 1.0, "var": 0.0, "done": False} for k in keys}
     for _ in range(p.max_iters):
         weights = bias.join(F.broadcast(share), "chrom_id").withColumn("w", F.col("bias") * F.col("share")) if share is not None else bias.withColumn("w", F.col("bias"))
         marg = full_marginal(bias, weighted_marginal(pixels, weights))
-        marg = materialize(marg, "marginal")
+        marg = written(marg, "marginal")
         table = {(r.chrom_id if by else None): (r.mean, r.var) for r in nonzero_mean_var(marg, *by).collect()}
         active = []
         for k in keys:
@@ -131,7 +132,7 @@ def balance(matrix: ContactMatrix, p: BalanceParams = BalanceParams(), x0: DataF
             means = F.lit(active[0][1] if active else None).cast("double")
         rel = F.when(F.col("marg") == 0, 1.0).otherwise(F.col("marg") / F.col("mean"))
         step = step.withColumn("mean", means).withColumn("bias", F.when(F.col("mean").isNotNull(), F.col("bias") / rel).otherwise(F.col("bias")))
-        bias = materialize(step.select("bin_id", "chrom_id", "bias"), "bias")
+        bias = written(step.select("bin_id", "chrom_id", "bias"), "bias")
         if dead and (not by or len(dead) == len(keys)) or all(s["done"] for s in state.values()):
             break
     scale: Column = F.lit(1.0)

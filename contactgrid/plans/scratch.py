@@ -24,3 +24,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rolling:
+    """Tables of an iteration: of each name only the last one written stays."""
+
+    def __init__(self):
+        self.paths: dict[str, str] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        old, self.paths[name] = self.paths.get(name), path
+        if old:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        return spark.read.schema(df.schema).parquet(path)
