@@ -22,9 +22,11 @@ from .tokens import library_encoder
 
 #: Blocks of a file that one step of the two-level scan takes together.
 _STRIDE = 4096
+#: A reader takes a row group's blocks at a time, so groups are kept small whatever the size of a file.
+_GROUP_BYTES = 4 << 20
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 19) -> None:
+def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 15) -> None:
     """Writes a flat file of u16 ids for each partition of `docs`, in blocks of exactly `block_ids` ids
     but the last; and beside the ids, for those who want to name the documents, their ids in the
     file's order.  Table: file, block, data | file, named (first document's number), ids.
@@ -60,7 +62,8 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    src.mapInArrow(run, f"file int, block long, data binary, named long, ids array<{kind}>").write.parquet(path)
+    flat = src.mapInArrow(run, f"file int, block long, data binary, named long, ids array<{kind}>")
+    flat.write.option("parquet.block.size", _GROUP_BYTES).option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def count_documents(blocks: DataFrame, end_id: int, item_bytes: int = 2) -> DataFrame:
