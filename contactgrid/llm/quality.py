@@ -1,8 +1,7 @@
 """Quality rules: countable rules, then a hashed n-gram logistic regression.
 
-The classifier sees hashed single words, word pairs and byte 4-grams (the character n-grams of UTF-8, of
-one to four characters each) of the whole text.  It is fitted
-on a bounded sample of labelled rows, calibrated on rows held out from the fit, and applied in Arrow
+The classifier sees hashed single words, word pairs and character 4-grams (of code points) of the whole
+text.  It is fitted on a bounded sample of labelled rows, whose features are made in tasks, calibrated on rows held out from the fit, and applied in Arrow
 batches; a text goes when its calibrated probability of low quality reaches a fixed threshold.
 """
 
@@ -25,7 +24,8 @@ _NO_POINT = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])  # white space
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
-_GRAM = np.uint32(0x9E3779B1)
+#: Odd factors of the four characters of a gram.
+_GRAM = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint32)
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -57,7 +57,7 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def features(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values): the share of each hashed word, word pair and byte 4-gram among its kind, in
+    """(indices, values): the share of each hashed word, word pair and character 4-gram among its kind, in
     three tables of 2**bits places side by side, by the square root."""
     b = np.frombuffer(text, dtype=np.uint8)
     out = []
@@ -73,9 +73,13 @@ def features(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
             out.append((words >> np.uint64(64 - bits)).astype(np.int64))
             pairs = (words[:-1] * _PAIR ^ words[1:]) * _ODD
             out.append((pairs >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits))
-        if len(b) >= 4:
-            w = b.astype(np.uint32)
-            grams = (w[:-3] | w[1:-2] << np.uint32(8) | w[2:-1] << np.uint32(16) | w[3:] << np.uint32(24)) * _GRAM
+        c = _code_points(text)
+        if len(c) >= 4:
+            grams = c[:-3] * _GRAM[0]
+            for k in (1, 2, 3):
+                grams += c[k : len(c) - 3 + k] * _GRAM[k]
+            grams ^= grams >> np.uint32(15)
+            grams *= _GRAM[0]
             out.append((grams >> np.uint32(32 - bits)).astype(np.int64) + (2 << bits))
     idx, val = [], []
     for kind in out:
@@ -88,6 +92,13 @@ def features(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(idx), np.concatenate(val)
 
 
+def _code_points(text: bytes) -> np.ndarray:
+    """Of a UTF-8 text; bytes that are none count as U+FFFD."""
+    if text.isascii():
+        return np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
+    return np.frombuffer(text.decode(errors="replace").encode("utf-32-le"), dtype=np.uint32)
+
+
 _POWERS = np.cumprod(np.full(4096, _ODD | np.uint64(1), dtype=np.uint64))
 
 
@@ -143,11 +154,10 @@ def _descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int
     return out, bias
 
 
-def fit(texts: list[bytes], low: list[int], bits: int = 16, l2: float = 3e-4, rounds: int = 100, folds: int = 4) -> Model | None:
-    """None if the rows don't hold both classes.  Every `folds`-th row is held out from a first fit;
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], low: list[int], bits: int = 16, l2: float = 3e-4, rounds: int = 100, folds: int = 4) -> Model | None:
+    """rows: features of texts.  None if they don't hold both classes.  Every `folds`-th row is held out from a first fit;
     a line through its margins there (Platt's) calibrates the fit to all rows."""
     y = np.array(low, dtype=np.float64)
-    rows = [(i.astype(np.int32), x.astype(np.float32)) for i, x in (features(t, bits) for t in texts)]
     held = np.arange(len(y)) % folds == folds - 1
     if len(set(low)) < 2 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return None
@@ -169,15 +179,29 @@ def fit(texts: list[bytes], low: list[int], bits: int = 16, l2: float = 3e-4, ro
     return Model(w, bias, float(a), float(b), bits)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[bytes], list[int]]:
-    """The texts and low-quality flags of at most `rows` labelled documents, drawn by a hash of the id."""
+def training_texts(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(id, text, low): at most `rows` labelled documents, drawn by a hash of the id, and their low-quality flags."""
     known = labels.select(F.col(id_col).alias("id"), (1 - F.col(label_col)).cast("int").alias("low")).where("id is not null and low in (0, 1)")
     known = known.groupBy("id").agg(F.min("low").alias("low"), F.max("low").alias("high")).where("low = high").drop("high")
     picked = known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(rows)  # ids and flags: small enough to broadcast
     joined = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    once = joined.groupBy("id").agg(F.min("text").alias("text"), F.min("low").alias("low"))  # repeated ids count once
-    found = sorted((zlib.crc32(str(r.id).encode()), r.text, r.low) for r in once.collect())
-    return [t.encode() for _, t, _ in found], [low for _, _, low in found]
+    return joined.groupBy("id").agg(F.min("text").alias("text"), F.min("low").alias("low"))  # repeated ids count once
+
+
+def training_rows(texts: DataFrame, bits: int = 16) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+    """The features and flags of training_texts, in an order that the ids decide.  The driver gets the
+    places and shares of a text's distinct features, at most 3 * 2**bits of 8 bytes, and no text."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, 1):
+            found = [features(t, bits) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            sparse = [pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in ((0, np.int32), (1, np.float32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *sparse, b.column(2)], names=["id", "places", "shares", "low"])
+
+    got = texts.select(F.col("id").cast("string").alias("id"), "text", "low").mapInArrow(made, "id string, places binary, shares binary, low int")
+    got = sorted(got.collect(), key=lambda r: (zlib.crc32(r.id.encode()), r.id))  # as many as the sample's bound
+    rows = [(np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in got]
+    return rows, [r.low for r in got]
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -220,8 +244,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = 2400, threshol
     and fail for want of words.  Labels that are null, contradict each other or lack a document are
     passed over, repeated ones count once, and of an id's documents the least text counts; if the labelled rows don't hold both classes there is no classifier (low_probability is
     null) and the countable rules decide alone.  Repeated rows and extra columns stay as they are."""
-    texts, low = training_rows(docs, labels, rows)
-    return score(docs, fit(texts, low), threshold, keep=keep)
+    found, low = training_rows(training_texts(docs, labels, rows))
+    return score(docs, fit(found, low), threshold, keep=keep)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

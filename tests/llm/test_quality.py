@@ -56,7 +56,20 @@ def test_labels_that_contradict_or_repeat(spark):
     """The training rows don't depend on the labels' order."""
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)] + [(2, "a text")], "doc_id long, text string")
     rows = [(0, 1), (1, 0), (1, 1), (2, 0), (2, 0), (3, None), (4, 1), (4, 1)]
-    want = [(b"a text", 1), (b"text 0", 0), (b"text 4", 0)]
+    made = []
+    want = [("a text", 1), ("text 0", 0), ("text 4", 0)]
     for order in (rows, rows[::-1]):
         labels = spark.createDataFrame(order, "doc_id long, quality int").coalesce(1)
-        assert sorted(zip(*quality.training_rows(docs, labels, 99), strict=True)) == want
+        texts = quality.training_texts(docs, labels, 99)
+        assert sorted((r.text, r.low) for r in texts.collect()) == want
+        made.append(quality.training_rows(texts))
+    assert made[0][1] == made[1][1]
+    for (a, x), (b, y) in zip(made[0][0], made[1][0], strict=True):
+        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+
+
+def test_grams_are_of_characters():
+    """Four characters of any length of bytes are one gram; three are none."""
+    grams = lambda t: int((quality.features(t.encode(), 16)[0] >= 2 << 16).sum())
+    for unit in ("abcd", "éàüö", "漢字仮名", "🙂🙃😀😁"):
+        assert grams(unit[:3]) == 0 and grams(unit) == 1 and grams(unit + unit[0]) == 2
