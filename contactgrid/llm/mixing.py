@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 OTHER = "(other)"
-#: Production parameters of the query: shares of the tokens.
+#: Production parameters of the query: shares of the tokens.  Each source has its own; src0 is the largest.
 TARGETS = {
-    "source": {"src0": 0.15},
+    "source": {"src0": 0.24} | {f"src{k}": 0.04 for k in range(1, 20)},
     "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
     "topic": {"short": 0.2, "medium": 0.3, "long": 0.5},
 }
@@ -71,7 +71,7 @@ def probabilities(mass: np.ndarray, weight: np.ndarray, share: float) -> np.ndar
     before, rest = np.cumsum(m) - m, np.cumsum(w[::-1])[::-1]
     with np.errstate(divide="ignore", invalid="ignore"):
         s = (share * mass.sum() - before) / rest
-    fits = np.flatnonzero((s * r <= 1) & (rest > 0))
+        fits = np.flatnonzero((s * r <= 1) & (rest > 0))
     return np.minimum(1.0, (s[fits[0]] if len(fits) else np.inf) * np.where(ratio > 0, ratio, 0.0)) if len(fits) else np.where(ratio > 0, 1.0, 0.0)
 
 
@@ -135,18 +135,23 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _sql(rounds: int = 40) -> str:
+    source = ", ".join(f"('{k}', {v}::double)" for k, v in TARGETS["source"].items())
     lang = ", ".join(f"('{k}', {v}::double)" for k, v in TARGETS["lang"].items())
     topic = ", ".join(f"('{k}', {v}::double)" for k, v in TARGETS["topic"].items())
-    parts = [f"""docs as materialized (
+    parts = [f"""t0(k, s) as (values {source}), docs as materialized (
   select doc_id, source, lang, n_tokens, case when n_tokens < 200 then 'short' when n_tokens < 1000 then 'medium' else 'long' end as topic
   from (select doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens from documents)),
 keyed as materialized (
-  select *, case when source = 'src0' then source else '{OTHER}' end as c0,
+  select *, case when source in (select k from t0) then source else '{OTHER}' end as c0,
     case when lang in ('en', 'de', 'fr', 'es') then lang else '{OTHER}' end as c1, topic as c2 from docs),
 cells as materialized (select c0, c1, c2, sum(n_tokens)::double as mass from keyed group by 1, 2, 3),
-t0(k, s) as (values ('src0', 0.15::double), ('{OTHER}', 0.85::double)), t1(k, s) as (values {lang}), t2(k, s) as (values {topic}),
-f0 as (select k, s / sum(s) over () as s from t0 where k in (select c0 from cells where mass > 0)),
-f1 as (select k, s / sum(s) over () as s from t1 where k in (select c1 from cells where mass > 0)),
+t1(k, s) as (values {lang}), t2(k, s) as (values {topic}),
+o0 as (select coalesce(sum(mass) filter (c0 = '{OTHER}'), 0) / sum(mass) as own from cells),
+f0 as (select k, s / sum(s) over () * (1 - own) as s from t0, o0 where k in (select c0 from cells where mass > 0)
+  union all select '{OTHER}', own from o0 where own > 0),
+o1 as (select coalesce(sum(mass) filter (c1 = '{OTHER}'), 0) / sum(mass) as own from cells),
+f1 as (select k, s / sum(s) over () * (1 - own) as s from t1, o1 where k in (select c1 from cells where mass > 0)
+  union all select '{OTHER}', own from o1 where own > 0),
 f2 as (select k, s / sum(s) over () as s from t2 where k in (select c2 from cells where mass > 0)),
 w0 as materialized (select *, mass / sum(mass) over () as w from cells)"""]
     n = 0
