@@ -1,7 +1,7 @@
 """Quality rules: countable rules, then a hashed n-gram logistic regression.
 
 The classifier sees hashed single words, word pairs and character 4-grams (of code points) of the whole
-text.  It is fitted on a bounded sample of labelled rows, whose features are made in tasks, calibrated on rows held out from the fit, and applied in Arrow
+text.  It is fitted on a bounded sample of labelled rows, calibrated on rows held out from the fit, and applied in Arrow
 batches; a text goes when its calibrated probability of low quality reaches a fixed threshold.
 """
 
@@ -189,18 +189,13 @@ def training_texts(docs: DataFrame, labels: DataFrame, rows: int, id_col: str =
 
 
 def training_rows(texts: DataFrame, bits: int = 16) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
-    """The features and flags of training_texts, in an order that the ids decide.  The driver gets the
-    places and shares of a text's distinct features, at most 3 * 2**bits of 8 bytes, and no text."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches, 1):
-            found = [features(t, bits) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            sparse = [pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in ((0, np.int32), (1, np.float32))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *sparse, b.column(2)], names=["id", "places", "shares", "low"])
-
-    got = texts.select(F.col("id").cast("string").alias("id"), "text", "low").mapInArrow(made, "id string, places binary, shares binary, low int")
-    got = sorted(got.collect(), key=lambda r: (zlib.crc32(r.id.encode()), r.id))  # as many as the sample's bound
-    rows = [(np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in got]
+    """The features and flags of training_texts, in an order that the ids decide.  Their texts come to the
+    driver, as many as the sample's bound: a text's features take five times its bytes."""
+    got = sorted(texts.select(F.col("id").cast("string").alias("id"), "text", "low").collect(), key=lambda r: (zlib.crc32(r.id.encode()), r.id))
+    rows = []
+    for r in got:
+        places, shares = features(r.text.encode(), bits)
+        rows.append((places.astype(np.int32), shares.astype(np.float32)))
     return rows, [r.low for r in got]
 
 
