@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, html_text, mixing, pii, quality, sharding, simhash, token_counts, token_files
+from . import bpe, embed_dedup, fill_middle, filter_audit, html_text, mixing, pii, quality, secret_scan, sharding, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_embedding_dedup": embed_dedup.op8_embedding_dedup,
     "op9_token_files": token_files.op9_token_files,
     "op10_simhash": simhash.op10_simhash,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
-ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL, "op8_embedding_dedup": embed_dedup.OP8_SQL}
+ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL, "op8_embedding_dedup": embed_dedup.OP8_SQL, "op11_fill_middle": fill_middle.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
