@@ -7,17 +7,17 @@ batches; a text goes when its calibrated probability of low quality reaches a fi
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import parts
+from .common import materialize, parts
 
 _SYMBOLS = b"#*$%&|<>"
 _NO_POINT = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])  # white space and continuation bytes
@@ -132,71 +132,123 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by full gradients with Nesterov momentum; classes weigh alike."""
-    n = len(rows)
-    who = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
-    idx, val = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-    used, at = np.unique(idx, return_inverse=True)
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w = v = np.zeros(len(used))
+@dataclass
+class Sample:
+    """The features of labelled rows one behind another: of row k those from ends[k - 1] to ends[k].  at points into
+    `used`, the places that any row has.  low: whether a row is of low quality."""
+
+    ends: np.ndarray
+    at: np.ndarray
+    val: np.ndarray
+    used: np.ndarray
+    low: np.ndarray
+    size: int
+
+    def blocks(self, rows: int = 128) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Of `rows` rows each: these rows, their features, and each feature's row among them.  What a round of
+        the fit makes anew is as large as a block."""
+        begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        for lo in range(0, len(self.ends), rows):
+            of = slice(lo, min(lo + rows, len(self.ends)))
+            yield of, slice(begins[lo], self.ends[of][-1]), np.repeat(np.arange(of.stop - lo), self.ends[of] - begins[of])
+
+
+def gathered(texts: Iterable[tuple[bytes, int]], bits: int) -> Sample:
+    """The features of (text, low), made as the texts come, which are let go one by one."""
+    idx, val, ends, low, n = [], [], [], [], 0
+    for text, flag in texts:
+        places, shares = features(text, bits)
+        idx.append(places.astype(np.int32))
+        val.append(shares.astype(np.float32))
+        n += len(places)
+        ends.append(n)
+        low.append(flag)
+    whole = np.concatenate(idx) if idx else np.zeros(0, np.int32)
+    used = np.flatnonzero(np.bincount(whole, minlength=3 << bits))
+    number = np.zeros(3 << bits, dtype=np.int32)
+    number[used] = np.arange(len(used))
+    return Sample(np.array(ends, dtype=np.int64), number[whole], np.concatenate(val) if val else np.zeros(0, np.float32), used, np.array(low, dtype=np.float64), 3 << bits)
+
+
+def _margins(s: Sample, w: np.ndarray, bias: float) -> np.ndarray:
+    out = np.full(len(s.low), bias)
+    for of, own, who in s.blocks():
+        out[of] += np.bincount(who, weights=w[s.at[own]] * s.val[own], minlength=of.stop - of.start)
+    return out
+
+
+def _descend(s: Sample, part: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Logistic regression on the rows of `part` by full gradients with Nesterov momentum; classes weigh alike."""
+    share = np.zeros(len(s.low))
+    for flag in (0, 1):
+        own = part & (s.low == flag)
+        share[own] = 0.5 / max(1, own.sum())
+    w = v = np.zeros(len(s.used))
     bias = vb = 0.0
     step = 1.0 / (0.25 * 4.0 + l2)  # |x|**2 is at most 3, and 1 for the bias
     for k in range(1, rounds + 1):
         m = (k - 1) / (k + 2)
         u, ub = w + m * v, bias + m * vb
-        error = share * (_sigmoid(np.bincount(who, weights=u[at] * val, minlength=n) + ub) - y)
-        new = u - step * (np.bincount(at, weights=error[who] * val, minlength=len(used)) + l2 * u)
-        newb = ub - step * error.sum()
+        slope, total = l2 * u, 0.0
+        for of, own, who in s.blocks():
+            z = np.bincount(who, weights=u[s.at[own]] * s.val[own], minlength=of.stop - of.start)
+            error = share[of] * (_sigmoid(z + ub) - s.low[of])
+            slope += np.bincount(s.at[own], weights=error[who] * s.val[own], minlength=len(u))
+            total += error.sum()
+        new, newb = u - step * slope, ub - step * total
         v, vb, w, bias = new - w, newb - bias, new, newb
-    out = np.zeros(size, dtype=np.float32)
-    out[used] = w
-    return out, bias
+    return w, bias
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], low: list[int], bits: int = 16, l2: float = 3e-4, rounds: int = 100, folds: int = 4) -> Model | None:
-    """rows: features of texts.  None if they don't hold both classes.  Every `folds`-th row is held out from a first fit;
-    a line through its margins there (Platt's) calibrates the fit to all rows."""
-    y = np.array(low, dtype=np.float64)
-    held = np.arange(len(y)) % folds == folds - 1
-    if len(set(low)) < 2 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+def fit(s: Sample, bits: int = 16, l2: float = 3e-4, rounds: int = 100, folds: int = 4) -> Model | None:
+    """None if the rows don't hold both classes.  Every `folds`-th row is held out from a first fit; a line through
+    its margins there (Platt's) calibrates the fit to all rows."""
+    held = np.arange(len(s.low)) % folds == folds - 1
+    if any(len(set(s.low[part])) < 2 for part in (held, ~held)):
         return None
-    w, bias = _descend([r for r, h in zip(rows, held, strict=True) if not h], y[~held], 3 << bits, l2, rounds)
-    z = np.array([w[i] @ x + bias for (i, x), h in zip(rows, held, strict=True) if h])
-    t = y[held]
+    z = _margins(s, *_descend(s, ~held, l2, rounds))[held]
+    t = s.low[held]
     pos, neg = t.sum(), len(t) - t.sum()
     goal = np.where(t == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(60):  # Newton, with a little damping
         p = _sigmoid(a * z + b)
         g = np.array([((p - goal) * z).sum(), (p - goal).sum()])
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * z * z).sum() + 1e-6, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
+        curve = p * (1 - p) + 1e-9
+        h = np.array([[(curve * z * z).sum() + 1e-6, (curve * z).sum()], [(curve * z).sum(), curve.sum() + 1e-6]])
         d = np.linalg.solve(h, g)
         d *= min(1, 5 / max(1e-12, np.abs(d).max()))
         a, b = a - d[0], b - d[1]
-    w, bias = _descend(rows, y, 3 << bits, l2, rounds)
-    return Model(w, bias, float(a), float(b), bits)
+    w, bias = _descend(s, np.ones(len(s.low), bool), l2, rounds)
+    weights = np.zeros(s.size, dtype=np.float32)
+    weights[s.used] = w
+    return Model(weights, bias, float(a), float(b), bits)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, text, low): at most `rows` labelled documents, drawn by a hash of the id, and their low-quality flags."""
+def training_texts(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(k, text, low): labelled documents in an order drawn by a hash of the id, and their low-quality flags: at most
+    `rows`, and as many of these as have `most_bytes` of text together; texts of over a 64th of that are left out."""
     known = labels.select(F.col(id_col).alias("id"), (1 - F.col(label_col)).cast("int").alias("low")).where("id is not null and low in (0, 1)")
     known = known.groupBy("id").agg(F.min("low").alias("low"), F.max("low").alias("high")).where("low = high").drop("high")
-    picked = known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(rows)  # ids and flags: small enough to broadcast
+    drawn = F.xxhash64("id", F.lit(11))
+    picked = known.orderBy(drawn, "id").limit(rows)  # ids and flags: small enough for one task and a broadcast
+    picked = picked.withColumn("k", F.row_number().over(Window.orderBy(drawn, "id")))
     joined = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    return joined.groupBy("id").agg(F.min("text").alias("text"), F.min("low").alias("low"))  # repeated ids count once
+    once = joined.groupBy("k").agg(F.min("text").alias("text"), F.min("low").alias("low"))  # repeated ids count once
+    sample = materialize(once.withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= most_bytes // 64), "quality-sample")
+    last, total = 0, 0
+    for r in sample.select("k", "bytes").orderBy("k").collect():
+        total += r.bytes
+        if total > most_bytes:
+            break
+        last = r.k
+    return sample.where(F.col("k") <= last).select("k", "text", "low")
 
 
-def training_rows(texts: DataFrame, bits: int = 16) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
-    """The features and flags of training_texts, in an order that the ids decide.  Their texts come to the
-    driver, as many as the sample's bound: a text's features take five times its bytes."""
-    got = sorted(texts.select(F.col("id").cast("string").alias("id"), "text", "low").collect(), key=lambda r: (zlib.crc32(r.id.encode()), r.id))
-    rows = []
-    for r in got:
-        places, shares = features(r.text.encode(), bits)
-        rows.append((places.astype(np.int32), shares.astype(np.float32)))
-    return rows, [r.low for r in got]
+def training_rows(texts: DataFrame, bits: int = 16) -> Sample:
+    """The features and flags of training_texts, in their order.  The texts come to the driver a partition at a time,
+    and their bytes are bounded; features take some ten times as many."""
+    return gathered(((r.text.encode(), r.low) for r in texts.orderBy("k").toLocalIterator()), bits)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -231,16 +283,16 @@ def score(docs: DataFrame, model: Model | None, threshold: float, id_col: str =
     return src.mapInArrow(rows, f"id {src.schema['id'].dataType.simpleString()}, {fields}")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = 2400, threshold: float = 0.7, keep: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = 2400, threshold: float = 0.7, keep: bool = False, most_bytes: int = 8 << 20) -> DataFrame:
     """Counts, classifier probability and verdict for every row of `docs`, or with `keep` the rows
     that stay, as they are.
 
-    `rows` bounds the labelled sample that the classifier is fitted on.  Null texts count as empty
+    `rows` and `most_bytes` (of text) bound the labelled sample that the classifier is fitted on.  Null texts count as empty
     and fail for want of words.  Labels that are null, contradict each other or lack a document are
     passed over, repeated ones count once, and of an id's documents the least text counts; if the labelled rows don't hold both classes there is no classifier (low_probability is
     null) and the countable rules decide alone.  Repeated rows and extra columns stay as they are."""
-    found, low = training_rows(training_texts(docs, labels, rows))
-    return score(docs, fit(found, low), threshold, keep=keep)
+    model = fit(training_rows(training_texts(docs, labels, rows, most_bytes)))
+    return score(docs, model, threshold, keep=keep)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from contactgrid.llm import quality
 
 
@@ -63,9 +65,47 @@ def test_labels_that_contradict_or_repeat(spark):
         texts = quality.training_texts(docs, labels, 99)
         assert sorted((r.text, r.low) for r in texts.collect()) == want
         made.append(quality.training_rows(texts))
-    assert made[0][1] == made[1][1]
-    for (a, x), (b, y) in zip(made[0][0], made[1][0], strict=True):
-        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+    for name in ("ends", "at", "val", "used", "low"):
+        assert getattr(made[0], name).tolist() == getattr(made[1], name).tolist()
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * (100 + k)) for k in range(50)] + [(50, "y" * 4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(51)], "doc_id long, quality int")
+    whole = [len(r.text) for r in quality.training_texts(docs, labels, 99, 64 * 200).orderBy("k").collect()]
+    assert len(whole) == 50
+    some = [len(r.text) for r in quality.training_texts(docs, labels, 99, 64 * 149).orderBy("k").collect()]
+    assert some == whole
+    few = [len(r.text) for r in quality.training_texts(docs, labels, 7, 64 * 200).orderBy("k").collect()]
+    assert few == whole[: len(few)] and 6 <= len(few) <= 7
+    cut = [len(r.text) for r in quality.training_texts(docs, labels, 99, 64 * 90).orderBy("k").collect()]
+    assert cut == []  # every text is over a 64th
+    many = spark.createDataFrame([(k, "x" * 10) for k in range(500)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(500)], "doc_id long, quality int")
+    assert quality.training_texts(many, known, 999, 1000).count() == 100
+
+
+def test_blocks_are_the_whole_fit():
+    """The fit in blocks is plain gradient descent over a dense matrix."""
+    rng = random.Random(7)
+    s = quality.gathered([(sample(rng, k % 3 == 0).encode(), int(k % 3 == 0)) for k in range(300)], 8)
+    x = np.zeros((300, len(s.used)))
+    begins = [0, *s.ends[:-1]]
+    for k, (a, b) in enumerate(zip(begins, s.ends, strict=True)):
+        x[k, s.at[a:b]] = s.val[a:b]
+    part = np.arange(300) % 4 != 3
+    w, bias = quality._descend(s, part, 3e-4, 30)
+    share = np.where(s.low == 1, 0.5 / (part & (s.low == 1)).sum(), 0.5 / (part & (s.low == 0)).sum()) * part
+    u = v = np.zeros(len(s.used))
+    c = d = 0.0
+    for k in range(1, 31):
+        m = (k - 1) / (k + 2)
+        a, e = u + m * v, c + m * d
+        g = share * (1 / (1 + np.exp(-(x @ a + e))) - s.low)
+        new, last = a - (x.T @ g + 3e-4 * a) / 1.0003, e - g.sum() / 1.0003
+        v, d, u, c = new - u, last - c, new, last
+    assert np.allclose(w, u, atol=1e-6) and abs(bias - c) < 1e-6
+    assert np.allclose(quality._margins(s, w, bias), x @ w + bias, atol=1e-6)
 
 
 def test_grams_are_of_characters():

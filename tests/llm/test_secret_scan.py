@@ -69,7 +69,7 @@ def found(text):
         ('if password == "hunter22x": pass', set()),
         ('password_hint = "hunter22x"\nkey = "en_US_long_name"\nprimary_key: user_id', set()),
         ('password_file = "/etc/secret99"\nsecret = "/etc/secret99"\ntoken = "https://a.b/c9"', set()),
-        ('x = "hunter22x: " +\n  "open\ntoken = x', {"hunter22x: "}),
+        ('x = "hunter22x:" +\n  "open\ntoken = x', {"hunter22x:"}),
         ("it's token isn't 'x1y2z3w4'", set()),
     ],
 )
