@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..matrix import finite
+from ..matrix import bin1_offset, finite
 
 
 def _issue(rows: DataFrame, check: str, detail: Column) -> DataFrame:
@@ -50,6 +50,16 @@ def issues(chroms: DataFrame, bins: DataFrame, pixels: DataFrame, attributes: di
     return out
 
 
+def index_issues(stored: DataFrame, bins: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(check, detail): bins whose entry in a stored row index (bin_id, first_row) is missing, repeated, wrong or
+    of no bin.  The index has one entry more than there are bins."""
+    right = bin1_offset(bins, pixels).withColumnRenamed("first_row", "_right")
+    held = stored.groupBy("bin_id").agg(F.min("first_row").alias("_low"), F.max("first_row").alias("_high"), F.count("*").alias("_n"))
+    same = (F.col("_low") == F.col("_right")) & (F.col("_high") == F.col("_right")) & (F.col("_n") == 1)
+    both = right.join(held, "bin_id", "full_outer").where(~F.coalesce(same, F.lit(False)))
+    return _issue(both, "bin1_offset", F.col("bin_id").cast("string"))
+
+
 def at_most(found: DataFrame, limit: int = 20) -> DataFrame:
     """The first issues of every check: the first of 64 parts of each, then of those."""
     part = F.pmod(F.xxhash64("detail"), F.lit(64))
