@@ -1,20 +1,23 @@
 """Balancing: iterative correction and coverage weights.
 
-Every round is one pass over the pixels with the biases joined to both bins, one sum by bin and one
-row of statistics.  Biases are as many as the genome has bins; they are written to the shared folder
-each round, so plans don't grow and a lost executor costs a round at most.
+Pixels are dealt once to tiles of bins by bins.  A round sends segments of the biases to the tiles, which
+stay where they are, and sums what each tile adds to its bins.  Biases are as many as the genome has bins; they
+are written to the shared folder each round, so plans don't grow and a lost executor costs a round at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import ContactMatrix, finite
-from ..plans.scratch import Rolling, materialize
-from ..schema import MatrixError
+from ..plans.scratch import Rolling, materialize, shared_dir
+from ..schema import MatrixError, floor_div
 from .marginals import full_marginal, marginal, nonzero_mean_var, select_pixels
 
 
@@ -86,12 +89,75 @@ def start_biases(matrix: ContactMatrix, p: BalanceParams, x0: DataFrame | None =
     return bias
 
 
-def weighted_marginal(pixels: DataFrame, weights: DataFrame) -> DataFrame:
-    """Marginals of count * w1 * w2; pixels of a zero weight add nothing."""
-    w = weights.where("w <> 0").select("bin_id", "w")
-    for k in (1, 2):
-        pixels = pixels.join(w.withColumnsRenamed({"bin_id": f"bin{k}_id", "w": f"w{k}"}), f"bin{k}_id")
-    return marginal(pixels, value=F.col("count") * F.col("w1") * F.col("w2"))
+@dataclass(frozen=True)
+class Tiles:
+    """Pixels dealt once to tiles of `width` x `width` bins: cells has a row for each part of a tile, (tile, part,
+    down, across, cells), partitioned by tile and part; index has the same without the cells."""
+
+    cells: DataFrame
+    index: DataFrame
+    width: int
+
+
+def tile(pixels: DataFrame, n_bins: int, blocks: int = 64, most: int = 1 << 18) -> Tiles:
+    """At most `blocks` squared tiles, in parts of some `most` cells by a hash of the cell, so that no tile near the
+    diagonal is one row.  This is the only exchange of the pixels: what the rounds join stays where it lies, as
+    checkpoint() keeps the partitioning."""
+    spark = pixels.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    width = max(1, -(-n_bins // blocks))
+    down, across = (floor_div(F.col(f"bin{k}_id"), width) for k in (1, 2))
+    rows = pixels.select((down * blocks + across).cast("int").alias("tile"), down.cast("int").alias("down"), across.cast("int").alias("across"), (F.col("bin1_id") - down * width).cast("int").alias("x"), (F.col("bin2_id") - across * width).cast("int").alias("y"), F.col("count").cast("double").alias("v"))
+    sizes = materialize(rows.groupBy("tile", "down", "across").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")), "tile-sizes")
+    part = F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int")
+    dealt = rows.join(F.broadcast(sizes.select("tile", "parts")), "tile").withColumn("part", part)  # bounded by `blocks`
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = dealt.repartition(n, "tile", "part").groupBy("tile", "part").agg(F.first("down").alias("down"), F.first("across").alias("across"), F.collect_list(F.struct("x", "y", "v")).alias("cells"))
+    index = sizes.select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "down", "across")
+    # a plan that adapts doesn't tell its partitioning, which is what the rounds live on
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cells = packed.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return Tiles(cells, index, width)
+
+
+def weighted_marginal(tiles: Tiles, weights: DataFrame) -> DataFrame:
+    """(bin_id, marg) of count * w1 * w2, both bins of a pixel getting it, on the diagonal twice.
+
+    Weights go to the tiles in segments of a tile's width, two for each part of a tile, and sums by bin come
+    back; cells of a zero weight add nothing."""
+    width = tiles.width
+    block = floor_div(F.col("bin_id"), width).cast("int")
+    some = weights.where("w <> 0").select(block.alias("block"), F.struct((F.col("bin_id") - block * width).cast("int").alias("k"), F.col("w").cast("double").alias("w")).alias("s"))
+    segments = some.groupBy("block").agg(F.collect_list("s").alias("s"))
+    sent = tiles.index.select("tile", "part", F.col("down").alias("_d"), F.col("across").alias("_a"))
+    for side, key in (("left", "_d"), ("right", "_a")):
+        sent = sent.join(segments.select(F.col("block").alias(key), F.col("s").alias(side)), key)  # none: all weights there are zero
+    met = tiles.cells.join(sent.drop("_d", "_a"), ["tile", "part"]).select("down", "across", "cells", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k in range(b.num_rows):
+                down, across = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                x, y, v = (f.to_numpy(zero_copy_only=False) for f in b.column(2)[k].values.flatten())
+                ends = []
+                for column in (3, 4):
+                    at, w = (f.to_numpy(zero_copy_only=False) for f in b.column(column)[k].values.flatten())
+                    ends.append(np.zeros(width))
+                    ends[-1][at] = w
+                v = v * (ends[0][x] * ends[1][y])
+                for place, at in ((down, x), (across, y)):
+                    sums[place] = sums.get(place, 0.0) + np.bincount(at, weights=v, minlength=width)
+        for place, own in sums.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(at + place * width), pa.array(own[at])], names=["bin_id", "v"])
+
+    return met.mapInArrow(run, "bin_id long, v double").groupBy("bin_id").agg(F.sum("v").alias("marg"))
 
 
 def balance(matrix: ContactMatrix, p: BalanceParams = BalanceParams(), x0: DataFrame | None = None, blacklist: DataFrame | None = None) -> tuple[DataFrame, BalanceStats]:
@@ -99,7 +165,7 @@ def balance(matrix: ContactMatrix, p: BalanceParams = BalanceParams(), x0: DataF
     if p.cis_only and p.trans_only:
         raise MatrixError("cis_only and trans_only exclude each other")
     matrix = matrix.with_pixels(materialize(matrix.pixels, "pixels"))
-    pixels = materialize(select_pixels(matrix, p.ignore_diags, cis=not p.trans_only, trans=not p.cis_only), "pixels")
+    tiles = tile(select_pixels(matrix, p.ignore_diags, cis=not p.trans_only, trans=not p.cis_only), matrix.bins.agg(F.max("bin_id") + 1).first()[0] or 1)
     written = Rolling()
     bias = written(start_biases(matrix, p, x0, blacklist), "bias")
     share = None
@@ -111,7 +177,7 @@ def balance(matrix: ContactMatrix, p: BalanceParams = BalanceParams(), x0: DataF
     state = {k: {"scale": 1.0, "var": 0.0, "done": False} for k in keys}
     for _ in range(p.max_iters):
         weights = bias.join(F.broadcast(share), "chrom_id").withColumn("w", F.col("bias") * F.col("share")) if share is not None else bias.withColumn("w", F.col("bias"))
-        marg = full_marginal(bias, weighted_marginal(pixels, weights))
+        marg = full_marginal(bias, weighted_marginal(tiles, weights))
         marg = written(marg, "marginal")
         table = {(r.chrom_id if by else None): (r.mean, r.var) for r in nonzero_mean_var(marg, *by).collect()}
         active = []
