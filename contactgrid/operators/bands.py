@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +31,38 @@ def expected_by_distance(cells: DataFrame, bins: DataFrame) -> DataFrame:
     return out.select("chrom_id", "d", "total", "pairs", (F.col("total") / F.col("pairs")).alias("expected"))
 
 
+def valid_pairs(valid: DataFrame, block: int = 1 << 14) -> DataFrame:
+    """(d, pairs): over all chromosomes, the pairs of bins of valid(chrom_id, pos) at each distance that any has.
+
+    A chromosome's positions are cut into blocks; two blocks are set against each other by a fast transform of
+    their masks, however many gaps these have.  A task sums by the distance of the blocks before it hands on."""
+    own = floor_div(F.col("pos"), block).cast("int")
+    masks = valid.select("chrom_id", own.alias("k"), (F.col("pos") - own * block).cast("int").alias("x")).groupBy("chrom_id", "k").agg(F.collect_set("x").alias("x"))
+    one, two = (masks.select("chrom_id", F.col("k").alias(f"k{j}"), F.col("x").alias(f"x{j}")) for j in (1, 2))
+    met = one.join(two, "chrom_id").where("k2 >= k1").select((F.col("k2") - F.col("k1")).alias("apart"), "x1", "x2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k in range(b.num_rows):
+                ends = []
+                for column in (1, 2):
+                    mask = np.zeros(2 * block)
+                    mask[b.column(column)[k].values.to_numpy(zero_copy_only=False)] = 1
+                    ends.append(np.fft.rfft(mask))
+                # at place m the pairs whose second is m behind the first in their blocks, counted round the end
+                found = np.rint(np.fft.irfft(np.conj(ends[0]) * ends[1], 2 * block)).astype(np.int64)
+                apart = b.column(0)[k].as_py()
+                sums[apart] = sums.get(apart, 0) + found
+        for apart, found in sums.items():
+            m = np.arange(2 * block)
+            d = apart * block + np.where(m < block, m, m - 2 * block)
+            some = (found > 0) & (d >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(d[some]), pa.array(found[some])], names=["d", "pairs"])
+
+    return met.mapInArrow(run, "d long, pairs long").groupBy("d").agg(F.sum("pairs").alias("pairs"))
+
+
 def dynamic_expected(cells: DataFrame, valid: DataFrame, most: int = 10, least_count: float = 400.0) -> DataFrame:
     """(d, expected) over all chromosomes: the sum over the smallest window d-w..d+w, w up to `most`, that
     holds over `least_count` contacts, by the valid pairs in it; null if none does.
@@ -34,20 +70,9 @@ def dynamic_expected(cells: DataFrame, valid: DataFrame, most: int = 10, least_c
     valid: (chrom_id, pos) of bins that count.  The table of distances is as long as a chromosome."""
     ok = lambda k: valid.select("chrom_id", F.col("pos").alias(k), F.lit(True).alias(f"ok{k}"))
     sums = cells.join(ok("i"), ["chrom_id", "i"]).join(ok("j"), ["chrom_id", "j"]).groupBy("d").agg(F.sum("v").alias("total"))
-    # pairs at distance d: the valid bins' self-join, one row a pair and bounded by bins times distances;
-    # by runs of valid bins instead: each pair of runs adds a trapezoid, which is summed by two differences
-    runs = valid.withColumn("g", F.col("pos") - F.row_number().over(Window.partitionBy("chrom_id").orderBy("pos"))).groupBy("chrom_id", "g").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b"))
-    x, y = (runs.select("chrom_id", F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}")) for k in (1, 2))
-    p = x.join(y, "chrom_id").where("a2 >= a1")
-    bend = lambda at, s: F.struct(at.alias("d"), F.lit(s).alias("s"))
-    steps = F.array(bend(F.col("a2") - F.col("b1"), 1), bend(F.col("a2") - F.col("a1"), -1), bend(F.col("b2") - F.col("b1"), -1), bend(F.col("b2") - F.col("a1"), 1))
-    bends = p.select(F.explode(steps).alias("e")).select((F.col("e.d")).alias("d"), "e.s").groupBy("d").agg(F.sum("s").alias("s"))
     top = sums.agg(F.max("d").alias("top"))
-    order = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    low = bends.agg(F.min("d").alias("lo"))
-    line = low.crossJoin(F.broadcast(top)).select(F.explode(F.sequence(F.col("lo"), F.col("top"))).alias("d")).join(bends, "d", "left").fillna(0, ["s"])
-    slope = line.withColumn("slope", F.coalesce(F.sum("s").over(order), F.lit(0)) + F.col("s"))
-    pairs = slope.withColumn("pairs", F.coalesce(F.sum("slope").over(order), F.lit(0))).where("d >= 0").select("d", "pairs")
+    line = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("d"))
+    pairs = line.join(valid_pairs(valid), "d", "left").fillna(0, ["pairs"])
     both = pairs.join(sums, "d", "left").fillna(0.0, ["total"])
     for w in range(most + 1):
         around = Window.orderBy("d").rowsBetween(-w, w)

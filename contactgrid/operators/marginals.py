@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..matrix import ContactMatrix, finite, with_chroms
+from ..plans.scratch import materialize
 
 
 def select_pixels(matrix: ContactMatrix, ignore_diags: int = 0, cis: bool = True, trans: bool = True, binarize: bool = False) -> DataFrame:
@@ -47,28 +54,39 @@ def median_and_mad(rows: DataFrame, value: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(med)).groupBy("median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
 
 
-def magnitude(value: Column) -> Column:
-    """A whole number that never falls as `value` rises: its sign and sixteen steps an octave.  A range of
-    values takes few of them, so sums over them are small tables, whatever the rows."""
-    v = value.cast("double")
-    step = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * 16).cast("long") + 20_000
-    return F.when(F.isnan(v) | (v == float("inf")), 1_000_000).when(v == -float("inf"), -1_000_000).otherwise(F.signum(v).cast("long") * step)
+def in_value_order(counts: DataFrame, value: str, *by: str) -> DataFrame:
+    """counts with _part and _inner, written to the shared folder: rows are dealt to ranges of (by, value) by
+    splitters that Spark samples, whatever the values' distribution, and _inner is the sum of _n over what is
+    before a row in its range.  Written, since a range is only known once it is dealt."""
+    ranged = counts.repartitionByRange(*by, value).sortWithinPartitions(*by, value)
+    at = ranged.columns.index("_n")
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_inner", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = total + np.cumsum(n)
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(upto - n)], names=[*b.schema.names, "_part", "_inner"])
+
+    return materialize(ranged.mapInArrow(run, schema), "value-order")
 
 
 def rows_before(counts: DataFrame, value: str, *by: str) -> DataFrame:
-    """counts(value, _n) with _before, the sum of _n over all smaller values, in each group of `by`: within
-    a magnitude, and over the magnitudes below, so no task orders all values."""
-    upto = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = counts.withColumn("_m", magnitude(F.col(value)))
-    tops = rows.groupBy(*by, "_m").agg(F.sum("_n").alias("_t"))
-    base = tops.withColumn("_base", upto("_t", Window.partitionBy(*by).orderBy("_m"))).drop("_t")
-    inner = rows.withColumn("_inner", upto("_n", Window.partitionBy(*by, "_m").orderBy(value)))
-    return inner.join(base, [*by, "_m"]).withColumn("_before", F.col("_inner") + F.col("_base")).drop("_m", "_inner", "_base")
+    """counts(value, _n) with _before, the sum of _n over all smaller values, in each group of `by`: within a
+    range of values, and over the ranges before by a table of one row for each range and group."""
+    placed = in_value_order(counts, value, *by)
+    # a range may hold parts of many groups: where a group begins in it is taken off again
+    sums = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_t"), F.min("_inner").alias("_from"))
+    upto = F.sum("_t").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = sums.withColumn("_base", F.coalesce(upto, F.lit(0)) - F.col("_from")).drop("_t", "_from")
+    return placed.join(base, [*by, "_part"]).withColumn("_before", F.col("_inner") + F.col("_base")).drop("_part", "_inner", "_base")
 
 
 def average_rank(rows: DataFrame, value: str, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
     """Ranks from 1, ties share their mean, in each group of `by`.  Distinct values are counted first, and
-    ordered within their magnitudes.  The join back has a row a value on one side, so a value that most
+    ordered in ranges of sampled bounds.  The join back has a row a value on one side, so a value that most
     rows hold can be split by Spark on the other."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
     rank = (F.col("_before") + (F.col("_n") + 1) / 2.0).cast("double")
