@@ -1,9 +1,9 @@
 """The .hic container: a reader of versions 6 to 9 as a Spark data source, and a writer of version 9.
 
-The reader plans one partition for each pair of chromosomes; within it blocks are read and decoded one
-by one.  Files are opened through pyarrow's file systems, so a path may be local or in a store those
-reach.  The writer makes compressed blocks in parallel, groups bounded by the block grid, and the
-driver strings them together."""
+The reader plans its partitions from the index of blocks, by their bytes, so one pair of chromosomes may be
+many tasks; of a region only the blocks are read that can hold any of its cells.  A block is an Arrow batch.
+Files are opened through pyarrow's file systems, so a path may be local or in a store those reach.  The writer
+makes compressed blocks in parallel, groups bounded by the block grid, and the driver strings them together."""
 
 from __future__ import annotations
 
@@ -15,15 +15,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..matrix import ContactMatrix, chrom_offsets, fixed_bins, with_chroms
-from ..schema import MatrixError, floor_div
+from ..schema import MatrixError, Region, floor_div
 
 #: Fixed values of the format: the marker, the short that means no value, and the block grid's width.
 MAGIC, NO_SHORT, BLOCK_BINS = b"HIC\0", -32768, 1000
+#: At most so many bins has the matrix of all chromosomes in a row, whose unit is so many bases.
+ALL_BINS, ALL_UNIT = 500, 1000
 
 
 def _open(path: str):
@@ -167,49 +170,102 @@ def decode_block(data: bytes, version: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(p) if p else np.zeros(0, kind) for p, kind in ((xs, np.int64), (ys, np.int64), (vs, float)))
 
 
-def matrix_blocks(path: str, h: Header, record: int, resolution: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    with _open(path) as f:
-        c = _Cursor(f, record)
-        c.value("i"), c.value("i")
-        for _ in range(c.value("i")):
-            unit, _, _, _, _, _ = c.text(), *(c.value(k) for k in "iffff")
-            size, _, _, n = (c.value("i") for _ in range(4))
-            blocks = [(c.value("i"), c.value("q"), c.value("i")) for _ in range(n)]
-            if unit == "BP" and size == resolution:
-                for _, at, length in blocks:
-                    if length:
-                        f.seek(at)
-                        yield decode_block(f.read(length), h.version)
-                return
+@dataclass(frozen=True)
+class Blocks:
+    """The blocks (number, place, bytes) of a pair of chromosomes at a resolution, and their grid."""
+
+    width: int
+    columns: int
+    banded: bool
+    entries: tuple[tuple[int, int, int], ...]
+
+    def near(self, rows: tuple[int, int], cols: tuple[int, int]) -> tuple[tuple[int, int, int], ...]:
+        """The blocks that can hold cells (x, y) of rows x cols, both half-open."""
+        (x0, x1), (y0, y1) = rows, cols
+        if x0 >= x1 or y0 >= y1:
+            return ()
+        if not self.banded:
+            touches = lambda k, lo, hi: k * self.width < hi and (k + 1) * self.width > lo
+            return tuple(e for e in self.entries if touches(e[0] % self.columns, x0, x1) and touches(e[0] // self.columns, y0, y1))
+        along = [(a + b) // (2 * self.width) for a, b in ((x0, y0), (x1 - 1, y1 - 1))]
+        gaps = max(0, y0 - x1 + 1, x0 - y1 + 1), max(abs(x1 - 1 - y0), abs(y1 - 1 - x0))
+        deep = [int(math.log2(1 + d / math.sqrt(2) / self.width)) for d in gaps]
+        return tuple(e for e in self.entries if along[0] <= e[0] % self.columns <= along[1] and deep[0] <= e[0] // self.columns <= deep[1])
+
+
+def block_index(f, h: Header, record: int, resolution: int) -> Blocks:
+    c = _Cursor(f, record)
+    a, b = c.value("i"), c.value("i")
+    for _ in range(c.value("i")):
+        unit, _, _, _, _, _ = c.text(), *(c.value(k) for k in "iffff")
+        size, width, columns, n = (c.value("i") for _ in range(4))
+        entries = tuple((c.value("i"), c.value("q"), c.value("i")) for _ in range(n))
+        if unit == "BP" and size == resolution:
+            return Blocks(width, columns, h.version > 8 and a == b, tuple(e for e in entries if e[2]))
+    return Blocks(1, 1, False, ())
 
 
 @dataclass
-class _Pair(InputPartition):
+class _Part(InputPartition):
     a: int
     b: int
-    record: int
+    blocks: tuple[tuple[int, int, int], ...]
+
+
+def _pair(text: str) -> tuple[int, int]:
+    lo, hi = text.split(":")
+    return int(lo), int(hi)
 
 
 class _HicReader(DataSourceReader):
-    def __init__(self, path: str, resolution: int):
-        self.path, self.resolution, self.header = path, resolution, read_header(path)
-        if resolution not in self.header.resolutions:
-            raise MatrixError(f"{resolution} is none of {self.header.resolutions}")
+    def __init__(self, options: dict[str, str]):
+        self.path, self.resolution = options["path"], int(options["resolution"])
+        self.part_bytes = int(options.get("part_bytes", 16 << 20))
+        self.header = read_header(self.path)
+        if self.resolution not in self.header.resolutions:
+            raise MatrixError(f"{self.resolution} is none of {self.header.resolutions}")
+        self.only = _pair(options["pair"]) if "pair" in options else None
+        whole = (0, 1 << 62)
+        self.rows, self.cols = (_pair(options[k]) if k in options else whole for k in ("rows", "cols"))
+        self.all_cells = self.rows == self.cols == whole
 
     def partitions(self):
         real = lambda k: self.header.chroms[k][0].lower() != "all"
-        return [_Pair(a, b, at) for (a, b), at in sorted(self.header.records.items()) if real(a) and real(b)] or [_Pair(-1, -1, 0)]
-
-    def read(self, partition):
-        if partition.a < 0:
-            return
-        for x, y, v in matrix_blocks(self.path, self.header, partition.record, self.resolution):
-            for row in zip([partition.a] * len(x), x.tolist(), [partition.b] * len(x), y.tolist(), v.tolist(), strict=True):
-                yield row
+        out = []
+        with _open(self.path) as f:
+            for (a, b), at in sorted(self.header.records.items()):
+                if self.only != (a, b) if self.only else not (real(a) and real(b)):
+                    continue
+                index = block_index(f, self.header, at, self.resolution)
+                blocks = sorted(index.entries if self.all_cells else index.near(self.rows, self.cols), key=lambda e: e[1])
+                run, size = [], 0
+                for e in blocks:
+                    if run and size + e[2] > self.part_bytes:
+                        out.append(_Part(a, b, tuple(run)))
+                        run, size = [], 0
+                    run.append(e)
+                    size += e[2]
+                if run:
+                    out.append(_Part(a, b, tuple(run)))
+        return out or [_Part(-1, -1, ())]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        with _open(self.path) as f:
+            for _, at, size in partition.blocks:
+                f.seek(at)
+                x, y, v = decode_block(f.read(size), self.header.version)
+                if not self.all_cells:
+                    ok = (x >= self.rows[0]) & (x < self.rows[1]) & (y >= self.cols[0]) & (y < self.cols[1])
+                    x, y, v = x[ok], y[ok], v[ok]
+                ends = (pa.array(np.full(len(x), k, np.int32)) for k in (partition.a, partition.b))
+                yield pa.RecordBatch.from_arrays([next(ends), pa.array(x), next(ends), pa.array(y), pa.array(v)], names=["chrom1", "i", "chrom2", "j", "count"])
 
 
 class HicSource(DataSource):
-    """spark.read.format("hic").option("resolution", n).load(path): (chrom1, i, chrom2, j, count)."""
+    """spark.read.format("hic").option("resolution", n).load(path): (chrom1, i, chrom2, j, count).
+
+    Options: resolution; pair ("a:b", numbers of chromosomes in the file), rows and cols ("lo:hi", bins of the
+    first and the second of these), part_bytes (of a task's blocks)."""
 
     @classmethod
     def name(cls):
@@ -219,11 +275,12 @@ class HicSource(DataSource):
         return "chrom1 int, i long, chrom2 int, j long, count double"
 
     def reader(self, schema):
-        return _HicReader(self.options["path"], int(self.options["resolution"]))
+        return _HicReader(self.options)
 
 
-def open_hic(spark: SparkSession, path: str, resolution: int, norm: str | None = None) -> ContactMatrix:
-    """The matrix of a resolution; `norm` adds the file's vectors as a column of the bins."""
+def open_hic(spark: SparkSession, path: str, resolution: int, norm: str | None = None, region: Region | None = None) -> ContactMatrix:
+    """The matrix of a resolution; `norm` adds the file's vectors as a column of the bins.  region: pixels with
+    both bins in it alone, read from the blocks that can hold them."""
     h = read_header(path)
     if resolution not in h.resolutions:
         raise MatrixError(f"{resolution} is none of {h.resolutions}")
@@ -233,7 +290,14 @@ def open_hic(spark: SparkSession, path: str, resolution: int, norm: str | None =
     bins = fixed_bins(chroms, resolution)
     number = spark.createDataFrame([(k, i) for i, (k, _, _) in enumerate(named)], "k int, chrom_id int")
     off = number.join(chrom_offsets(chroms, resolution).select("chrom_id", "first_bin"), "chrom_id")
-    px = spark.read.format("hic").option("resolution", resolution).load(path)
+    read = spark.read.format("hic").option("resolution", resolution)
+    if region is not None:
+        m = ContactMatrix(chroms, bins, bins.limit(0), resolution)
+        chrom, lo, hi = m.extent(region)
+        first = off.where(F.col("chrom_id") == chrom).first()
+        span = f"{lo - first.first_bin}:{hi - first.first_bin}"
+        read = read.option("pair", f"{first.k}:{first.k}").option("rows", span).option("cols", span)
+    px = read.load(path)
     for k in (1, 2):
         px = px.join(F.broadcast(off.select(F.col("k").alias(f"chrom{k}"), F.col("first_bin").alias(f"o{k}"))), f"chrom{k}")
     b1, b2 = F.col("o1") + F.col("i"), F.col("o2") + F.col("j")
@@ -288,33 +352,54 @@ def _blocks(m: ContactMatrix) -> DataFrame:
     return px.groupBy("a", "b", "block").applyInPandas(run, "a int, b int, columns long, block long, n long, total double, data binary")
 
 
+def all_block(m: ContactMatrix) -> tuple[int, int, Row | None]:
+    """Length and bin size, in units of ALL_UNIT, of all chromosomes in a row, and its one block (n, total, data):
+    bins of the matrix in equal groups, at most ALL_BINS of them."""
+    genome, n_bins = m.chroms.agg(F.sum("length")).first()[0], m.bins.count()
+    factor = max(1, math.ceil(genome / ALL_BINS / m.bin_size))
+    cell = lambda k: floor_div(F.col(f"bin{k}_id"), factor)
+    px = m.pixels.groupBy(cell(1).alias("x"), cell(2).alias("y")).agg(F.sum("count").alias("count"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        v = f["count"].to_numpy(float)
+        return pd.DataFrame([(len(f), v.sum(), encode_block(f["x"].to_numpy(int), f["y"].to_numpy(int), v))], columns=["n", "total", "data"])
+
+    found = px.groupBy().applyInPandas(run, "n long, total double, data binary").first()  # a bounded grid
+    return n_bins * m.bin_size // ALL_UNIT, max(1, factor * m.bin_size // ALL_UNIT), found
+
+
 def write_hic(levels: dict[int, ContactMatrix], path: str, genome: str = "unknown", attributes: dict[str, str] | None = None, norms: dict[str, dict[int, list[np.ndarray]]] | None = None) -> None:
     """A version 9 file on the driver's file system of matrices that share their chromosomes.
 
-    norms: name -> resolution -> one vector of divisive weights a chromosome.  Blocks come to the driver
+    The finest gives the matrix of all chromosomes in a row.  norms: name -> resolution -> one vector of divisive
+    weights a chromosome.  Blocks come to the driver
     one partition at a time; it keeps their places alone."""
     sizes = sorted(levels, reverse=True)
     any_ = levels[sizes[0]]
     chroms = [(r.name, r.length) for r in any_.chroms.orderBy("chrom_id").collect()]
     text = lambda s: s.encode() + b"\0"
     places: dict[tuple[int, int], dict[int, list]] = {}
+    all_length, all_size, whole = all_block(levels[sizes[-1]])
     with open(path, "wb") as f:
         f.write(MAGIC + struct.pack("<i", 9))
         footer_at = f.tell()
         f.write(struct.pack("<q", 0) + text(genome) + struct.pack("<qq", 0, 0))
         f.write(struct.pack("<i", len(attributes or {})) + b"".join(text(k) + text(v) for k, v in (attributes or {}).items()))
-        f.write(struct.pack("<i", len(chroms) + 1) + text("All") + struct.pack("<q", sum(n for _, n in chroms) // 1000))
+        f.write(struct.pack("<i", len(chroms) + 1) + text("All") + struct.pack("<q", all_length))
         f.write(b"".join(text(n) + struct.pack("<q", length) for n, length in chroms))
         f.write(struct.pack("<i", len(sizes)) + struct.pack(f"<{len(sizes)}i", *sizes) + struct.pack("<i", 0))
         for size in sizes:
             for r in _blocks(levels[size]).repartitionByRange("a", "b").sortWithinPartitions("a", "b", "block").toLocalIterator():
                 places.setdefault((r.a, r.b), {}).setdefault(size, []).append((r.block, f.tell(), len(r.data), r.n, r.total, r.columns))
                 f.write(r.data)
+        if whole is not None:
+            places[0, 0] = {all_size: [(0, f.tell(), len(whole.data), whole.n, whole.total, 1)]}
+            f.write(whole.data)
         index = []
-        for (a, b), by_size in sorted(places.items()):
+        for (a, b), by_size in sorted(places.items(), key=lambda p: (p[0] == (0, 0), p[0])):
             at = f.tell()
             body = struct.pack("<iii", a, b, len(by_size))
-            for z, size in enumerate(sizes):
+            for z, size in enumerate(sizes if a else [all_size]):
                 if size in by_size:
                     blocks = sorted(by_size[size])
                     body += text("BP") + struct.pack("<iffffiiii", z, sum(x[4] for x in blocks), sum(x[3] for x in blocks), 0, 0, size, BLOCK_BINS, blocks[0][5], len(blocks))

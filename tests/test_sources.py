@@ -75,6 +75,50 @@ def test_hic_round_trip(spark, toy, tmp_path):
         hic.norm_vector(path, h, "VC", 1, 100)
 
 
+def test_hic_parts_and_regions(spark, tmp_path):
+    """A hot pair of chromosomes is many tasks; a region is read from the blocks that can hold it alone."""
+    from contactgrid.matrix import ContactMatrix, fixed_bins
+    from contactgrid.schema import Region
+
+    rng = np.random.default_rng(3)
+    chroms = spark.createDataFrame([(0, "a", 90_000), (1, "b", 30_000)], "chrom_id int, name string, length int")
+    at = np.sort(np.concatenate([rng.integers(0, 9000, (6000, 2)), rng.integers(0, 12_000, (2000, 2))]), axis=1)
+    rows = sorted({(int(x), int(y)): float(k % 9 + 1) for k, (x, y) in enumerate(at)}.items())
+    px = spark.createDataFrame([(*p, v) for p, v in rows], "bin1_id long, bin2_id long, count double")
+    m = ContactMatrix(chroms, fixed_bins(chroms, 10), px, 10)
+    path = str(tmp_path / "y.hic")
+    hic.write_hic({10: m}, path)
+    assert cells(hic.open_hic(spark, path, 10)) == cells(m)
+    reader = hic._HicReader({"path": path, "resolution": "10", "part_bytes": "3000"})
+    parts = reader.partitions()
+    assert sum((p.a, p.b) == (1, 1) for p in parts) > 5 and len(parts) > len({(p.a, p.b) for p in parts})
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == len(rows)
+    assert all(len(p.blocks) == 1 or sum(e[2] for e in p.blocks) <= 3000 for p in parts)
+    opened = []
+    for text, lo, hi in (("a:5000-9000", 500, 900), ("a:0-90000", 0, 9000), ("b:1000-1010", 9100, 9101), ("a:40000-40000", 4000, 4000), ("a:20000-60000", 2000, 6000)):
+        region = Region.parse(text)
+        assert cells(hic.open_hic(spark, path, 10, region=region)) == cells(m.with_pixels(m.block(region)))
+        first, k = (0, 1) if text[0] == "a" else (9000, 2)
+        some = {"path": path, "resolution": "10", "pair": f"{k}:{k}", "rows": f"{lo - first}:{hi - first}", "cols": f"{lo - first}:{hi - first}"}
+        opened.append(sum(len(p.blocks) for p in hic._HicReader(some).partitions()))
+    every = sum(len(p.blocks) for p in hic._HicReader({"path": path, "resolution": "10", "pair": "1:1"}).partitions())
+    assert opened[0] < every / 4 and opened[1] == every and opened[3] == 0
+
+
+def test_all_chromosomes_in_a_row(spark, toy, tmp_path):
+    path = str(tmp_path / "z.hic")
+    hic.write_hic({100: toy, 200: coarsen(toy, 2)}, path)
+    h = hic.read_header(path)
+    assert h.chroms[0] == ("All", 8) and (0, 0) in h.records
+    reader = hic._HicReader({"path": path, "resolution": "100", "pair": "0:0"})
+    reader.resolution = 1  # its own, in thousands of bases
+    got = sorted((x, y, v) for p in reader.partitions() for b in reader.read(p) for x, y, v in zip(*(b.column(k).to_pylist() for k in (1, 3, 4)), strict=True))
+    assert got == cells(toy)  # few bins: groups of one
+    big = toy.with_pixels(toy.pixels)
+    length, size, block = hic.all_block(hic.ContactMatrix(spark.createDataFrame([(0, "c", 10_000_000)], "chrom_id int, name string, length int"), big.bins, big.pixels, 100))
+    assert size == 20 and length == 8 and block.total == sum(c[2] for c in cells(toy))  # groups of 200 bins
+
+
 def test_block_shapes():
     dense = struct.pack("<iiibb", 4, 10, 20, 0, 2) + struct.pack("<ih4h", 4, 2, 1, -32768, 3, 4)
     assert [a.tolist() for a in hic.decode_block(zlib.compress(dense), 8)] == [[10, 10, 11], [20, 21, 21], [1, 3, 4]]
