@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,32 +25,50 @@ class Normal:
     mean: float
     std: float
     min_std: float = 0.0
+    n_statistics = 3
 
     def log_probability(self, x: np.ndarray) -> np.ndarray:
         return -math.log(self.std * ROOT_2PI) - (np.asarray(x) - self.mean) ** 2 / (2 * self.std**2)
 
-    def fit(self, x: np.ndarray, w: np.ndarray) -> None:
-        total = w.sum()
-        if total > 0:
-            self.mean = float((w * x).sum() / total)
-            var = max(0.0, float((w * x * x).sum() / total - self.mean**2))
+    def statistics(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What a fit needs to know of values; sums over parts of the data are those of the whole."""
+        return np.array([w.sum(), (w * x).sum(), (w * x * x).sum()])
+
+    def update(self, sums: np.ndarray) -> None:
+        if sums[0] > 0:
+            self.mean = float(sums[1] / sums[0])
+            var = max(0.0, float(sums[2] / sums[0] - self.mean**2))
             self.std = max(math.sqrt(var), self.min_std) or self.std
 
+    def fit(self, x: np.ndarray, w: np.ndarray) -> None:
+        self.update(self.statistics(np.asarray(x, float), w))
+
 
 @dataclass
 class Discrete:
     probability: dict
 
+    @property
+    def n_statistics(self) -> int:
+        return len(self.probability)
+
     def log_probability(self, x: Sequence) -> np.ndarray:
         return np.array([math.log(p) if (p := self.probability.get(k, 0.0)) > 0 else -math.inf for k in x])
 
+    def statistics(self, x: Sequence, w: np.ndarray) -> np.ndarray:
+        """A sum for each symbol with a probability; others can't be."""
+        sums = dict.fromkeys(self.probability, 0.0)
+        for k, v in zip(x, w, strict=True):
+            if k in sums:
+                sums[k] += float(v)
+        return np.array(list(sums.values()))
+
+    def update(self, sums: np.ndarray) -> None:
+        if sums.sum() > 0:
+            self.probability = dict(zip(self.probability, (sums / sums.sum()).tolist(), strict=True))
+
     def fit(self, x: Sequence, w: np.ndarray) -> None:
-        total = float(np.sum(w))
-        if total > 0:
-            sums = dict.fromkeys(self.probability, 0.0)
-            for k, v in zip(x, w, strict=True):
-                sums[k] = sums.get(k, 0.0) + float(v)
-            self.probability = {k: v / total for k, v in sums.items()}
+        self.update(self.statistics(x, w))
 
 
 @dataclass
@@ -61,6 +79,10 @@ class Mixture:
     def __post_init__(self):
         self.weights = np.full(len(self.parts), 1 / len(self.parts)) if self.weights is None else np.asarray(self.weights, float)
 
+    @property
+    def n_statistics(self) -> int:
+        return sum(p.n_statistics for p in self.parts)
+
     def _joint(self, x: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
             return np.log(self.weights)[:, None] + np.stack([p.log_probability(x) for p in self.parts])
@@ -68,15 +90,22 @@ class Mixture:
     def log_probability(self, x: np.ndarray) -> np.ndarray:
         return log_sum(self._joint(np.asarray(x, float)), axis=0)
 
-    def fit(self, x: np.ndarray, w: np.ndarray) -> None:
-        """One step of expectation and maximisation with the given weights."""
+    def statistics(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
         x = np.asarray(x, float)
         joint = self._joint(x)
         share = np.exp(joint - log_sum(joint, axis=0)[None, :]) * w[None, :]
-        for p, s in zip(self.parts, share, strict=True):
-            p.fit(x, s)
-        if share.sum() > 0:
-            self.weights = share.sum(axis=1) / share.sum()
+        return np.concatenate([p.statistics(x, s) for p, s in zip(self.parts, share, strict=True)])
+
+    def update(self, sums: np.ndarray) -> None:
+        parts = sums.reshape(len(self.parts), -1)
+        for p, own in zip(self.parts, parts, strict=True):
+            p.update(own)
+        if parts[:, 0].sum() > 0:
+            self.weights = parts[:, 0] / parts[:, 0].sum()
+
+    def fit(self, x: np.ndarray, w: np.ndarray) -> None:
+        """One step of expectation and maximisation with the given weights."""
+        self.update(self.statistics(x, w))
 
     def fit_until(self, x: np.ndarray, w: np.ndarray | None = None, stop: float = 0.1, rounds: int = 1000) -> float:
         w = np.ones(len(x)) if w is None else w
@@ -171,29 +200,40 @@ class HMM:
         share = np.exp(f + b - total)
         return total, moves, share[0], share[-1], share
 
+    def statistics(self, x) -> np.ndarray:
+        """What a round of fitting needs to know of a sequence, one behind another: its log probability, expected
+        transitions, starts and ends, and each emission's; zeros if the model rules it out."""
+        total, moves, starts, ends, share = self.expectations(x)
+        own = [e.statistics(x, share[:, k]) for k, e in enumerate(self.emissions)]
+        out = np.concatenate([[total], moves.ravel(), starts, ends, *own])
+        return out if math.isfinite(total) else np.zeros(len(out))
+
+    def update(self, sums: np.ndarray) -> None:
+        """A round of Baum-Welch from the sum of all sequences' statistics."""
+        n = len(self.start)
+        moves, starts, ends, own = np.split(sums[1:], np.cumsum([n * n, n, n]))
+        moves = moves.reshape(n, n)
+        ends_at = np.cumsum([e.n_statistics for e in self.emissions])
+        for emission, part in zip(self.emissions, np.split(own, ends_at[:-1]), strict=True):
+            emission.update(part)
+        ends = ends if self.end.any() else np.zeros_like(ends)
+        row = moves.sum(axis=1) + ends
+        ok = row > 0
+        self.transitions[ok], self.end[ok] = moves[ok] / row[ok, None], ends[ok] / row[ok]
+        if starts.sum() > 0:
+            self.start = starts / starts.sum()
+
     def fit(self, sequences: list, stop: float = 1e-9, rounds: int = 10_000) -> float:
-        """Baum-Welch; sequences that the model rules out are passed over."""
+        """Baum-Welch; sequences that the model rules out are passed over.  The log probability at the end."""
+        return self.fit_by(lambda: sum(map(self.statistics, sequences), np.zeros(1)), stop, rounds)
+
+    def fit_by(self, statistics: Callable[[], np.ndarray], stop: float, rounds: int) -> float:
+        """statistics: gives the sum over all sequences under the model as it stands."""
         last = -math.inf
         for _ in range(rounds):
-            moves, starts, ends = np.zeros_like(self.transitions), np.zeros(len(self.start)), np.zeros(len(self.start))
-            total, xs, shares = 0.0, [], []
-            for x in sequences:
-                p, m, s, t, share = self.expectations(x)
-                if not math.isfinite(p):
-                    continue
-                total, moves, starts, ends = total + p, moves + m, starts + s, ends + t
-                xs.append(np.asarray(x))
-                shares.append(share)
-            if not xs or total - last < stop:
-                return total
-            last = total
-            x, w = np.concatenate(xs), np.concatenate(shares)
-            for k, emission in enumerate(self.emissions):
-                emission.fit(x, w[:, k])
-            ends = ends if self.end.any() else np.zeros_like(ends)
-            row = moves.sum(axis=1) + ends
-            ok = row > 0
-            self.transitions[ok], self.end[ok] = moves[ok] / row[ok, None], ends[ok] / row[ok]
-            if starts.sum() > 0:
-                self.start = starts / starts.sum()
+            sums = statistics()
+            if not sums[1:].any() or sums[0] - last < stop:
+                return float(sums[0])
+            last = float(sums[0])
+            self.update(sums)
         return last

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ...functions.baum_welch import fit_frame
 from ...functions.models import HMM, Mixture, Normal
 from ...matrix import ContactMatrix
 from .alignment import groups
@@ -187,20 +188,18 @@ def noise(track: Track, a: int, b: int) -> float:
 def call_domains(matrix: ContactMatrix, weight: str | None = None, max_noise: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(domains, track).  domains(chrom_id, start, end, noise), track(chrom_id, start, end, di).
 
-    Directionality is computed by chromosome; the driver fits one model to the sequences of all of them
-    (as many numbers as the genome has bins); chromosomes then decode with it."""
+    Directionality is computed by chromosome; one model is fitted to the sequences of all of them; chromosomes
+    then decode with it."""
     size = matrix.bin_size
     depth = max(3, WINDOW // size)
     cells = chromosome_cells(matrix, depth, weight)
 
     def first(chrom: int, n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pd.DataFrame:
         t = Track(banded(i, j, v, n, min(depth, max(3, n))), size)
-        di = t.directionality(t.windows())
-        return pd.DataFrame({"k": np.arange(n), "di": di})
+        return pd.DataFrame({"x": [s.tolist() for s in training_sequences(t.directionality(t.windows()), size)]})
 
-    rows = per_chromosome(cells, first, "k long, di double").toPandas().sort_values(["chrom_id", "k"])
     model = start_model()
-    model.fit([s for _, g in rows.groupby("chrom_id") for s in training_sequences(g["di"].to_numpy(), size)], stop=1e-5)
+    fit_frame(model, per_chromosome(cells, first, "x array<double>"), stop=1e-5)
 
     def second(chrom: int, n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pd.DataFrame:
         t = Track(banded(i, j, v, n, min(depth, max(3, n))), size)

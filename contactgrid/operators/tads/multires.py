@@ -3,7 +3,6 @@ that are denser than the average of their size, and a consensus of the domains t
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -13,87 +12,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...matrix import ContactMatrix
-from .band import chromosome_cells, symmetric
+from .band import banded, chromosome_cells, per_chromosome
 
 
 @dataclass(frozen=True)
 class MultiresParams:
+    """max_bins: the longest domain looked at; None: any.  Memory goes with a chromosome's bins times it."""
+
     gamma_max: float = 0.5
     step: float = 0.05
     top_k: int = 1
     min_mean_samples: int = 100
     just_gamma_max: bool = False
     log: bool = False
+    max_bins: int | None = None
 
 
-def block_sums(m: np.ndarray) -> np.ndarray:
-    """s[a, b]: the sum over a <= i <= j <= b."""
-    upper = np.triu(m)
-    c = np.zeros((len(m) + 1, len(m) + 1))
-    c[1:, 1:] = upper.cumsum(axis=0).cumsum(axis=1)
-    k = np.arange(len(m))
-    a, b = k[:, None], k[None, :] + 1
-    return np.where(b > a, c[b, b] - c[a, b], 0.0)
+def block_sums(band: np.ndarray) -> np.ndarray:
+    """s[d, a] of a band: the sum over a <= i <= j <= a + d, from those of the two sizes below."""
+    depth, n = band.shape
+    s = band.copy()
+    for d in range(1, depth):
+        k = n - d
+        s[d, :k] += s[d - 1, :k] + s[d - 1, 1 : k + 1]
+        if d > 1:
+            s[d, :k] -= s[d - 2, 1 : k + 1]
+        s[d, k:] = 0.0
+    return s
 
 
-def qualities(m: np.ndarray, gamma: float, min_samples: int) -> np.ndarray:
-    """q[a, b] of the domain from bin a to bin b: its sum by size ** gamma, less the mean of its size;
+def qualities(sums: np.ndarray, gamma: float, min_samples: int) -> np.ndarray:
+    """q[d, a] of the domain from bin a to bin a + d: its sum by size ** gamma, less the mean of its size;
     -inf unless positive, and for sizes with under `min_samples` places."""
-    n = len(m)
-    a, b = np.indices((n, n))
-    size = b - a + 1
-    ok = size > 1
-    s = np.where(size > 0, block_sums(m) / np.maximum(size, 1).astype(float) ** gamma, 0.0)
-    count = np.bincount(size[ok], minlength=n + 1)
-    mean = np.bincount(size[ok], weights=s[ok], minlength=n + 1)
-    mu = np.where(count >= max(1, min_samples), mean / np.maximum(count, 1), np.finfo(float).max)
-    q = s - mu[np.clip(size, 0, n)]
-    return np.where(ok & (q > 0), q, -np.inf)
+    depth, n = sums.shape
+    out = np.full(sums.shape, -np.inf)
+    for d in range(1, depth):
+        if n - d >= max(1, min_samples):
+            s = sums[d, : n - d] / float(d + 1) ** gamma
+            q = s - s.mean()
+            out[d, : n - d] = np.where(q > 0, q, -np.inf)
+    return out
 
 
 def best_cuts(q: np.ndarray, top_k: int) -> list[tuple[float, list[tuple[int, int]]]]:
-    """The `top_k` best (score, domains).  A solution of the first l bins ends in a domain or in a
-    stretch without one, and what lies before a stretch ends in a domain."""
-    n = len(q)
-    dead = (-np.inf, 1, 0)
-    ends = [[(0.0, 1, 0)] + [dead] * (top_k - 1) for _ in range(2)]  # last stretch is a domain
-    best = [[(0.0, 1, 0)] + [dead] * (top_k - 1) for _ in range(2)]
+    """The `top_k` best (score, domains) of a band of qualities.  A solution of the first l bins ends in a domain or
+    in a stretch without one, and what lies before a stretch ends in a domain.  Of equal ones that counts whose last
+    part is longest.  What is carried on from bin to bin are the scores alone."""
+    depth, n = q.shape
+    score = np.full((n + 1, top_k), -np.inf)  # of the best of the first l bins, by rank
+    score[:2, 0] = 0.0
+    part = np.ones((n + 1, top_k), dtype=np.int64)  # where their last part begins, counted from 1
+    rank = np.zeros((n + 1, top_k), dtype=np.int64)  # of what lies before it
+    free: list[tuple[float, int, int]] = []  # the best that end in a stretch behind a domain
+    older = newer = [(0.0, 1, 0)]  # those that end in a domain, of the first l - 2 and l - 1 bins
     for length in range(2, n + 1):
-        gains = q[: length - 1, length - 1]
-
-        def merge(sources, gain):
-            heap = [(-(sources[k - 1][0][0] + gain[k - 1]), k, 0) for k in range(1, length)]  # noqa: B023
-            heapq.heapify(heap)
-            while heap:
-                score, k, rank = heapq.heappop(heap)
-                yield -score, k, rank
-                if rank + 1 < top_k:
-                    heapq.heappush(heap, (-(sources[k - 1][rank + 1][0] + gain[k - 1]), k, rank + 1))
-
-        with_domain = []
-        gen = merge(best, gains)
-        for _ in range(top_k):
-            with_domain.append(next(gen, dead))
-        ends.append(with_domain)
-        free = merge(ends, np.zeros(length - 1))
-        top, d, other = [], 0, next(free, dead)
-        while len(top) < top_k:
-            if other[0] > with_domain[d][0]:
-                top.append((*other, False))
-                other = next(free, dead)
+        more = [(v, length - 1, r) for r, (v, _, _) in enumerate(older)]
+        free = sorted([*free, *more], key=lambda x: -x[0])[:top_k]
+        first = np.arange(max(0, length - depth), length - 1)
+        gains = score[first] + q[length - 1 - first, first][:, None]
+        flat = gains.ravel()
+        order = [int(flat.argmax())] if top_k == 1 and len(flat) else np.argsort(-flat, kind="stable")[:top_k].tolist()
+        ends = [(float(flat[k]), int(first[k // top_k]) + 1, k % top_k) for k in order]
+        ends += [(-np.inf, 1, 0)] * (top_k - len(ends))
+        i = j = 0
+        for at in range(top_k):
+            if j < len(free) and free[j][0] > ends[i][0]:
+                score[length, at], part[length, at], rank[length, at] = free[j]
+                j += 1
             else:
-                top.append((*with_domain[d], True))
-                d += 1
-        best.append([t[:3] for t in top])
+                score[length, at], part[length, at], rank[length, at] = ends[i]
+                i += 1
+        older, newer = newer, ends
     out = []
-    for rank in range(top_k):
-        length, r, domains = n, rank, []
+    for start in range(top_k):
+        length, r, domains = n, start, []
         while length > 1:
-            _, k, nxt = best[length][r]
-            if q[k - 1, length - 1] > 0:
+            k, before = int(part[length, r]), int(rank[length, r])
+            size = length - k
+            if size < depth and q[size, k - 1] > 0:
                 domains.append((k - 1, length - 1))
-            length, r = k - 1, 0 if rank == 0 else min(nxt, top_k - 1)
-        out.append((best[n][rank][0], domains))
+            length, r = k - 1, 0 if start == 0 else min(before, top_k - 1)
+        out.append((float(score[n, start]), domains))
     return out
 
 
@@ -128,27 +127,24 @@ def gammas(p: MultiresParams) -> list[float]:
 
 
 def call_multires(matrix: ContactMatrix, p: MultiresParams = MultiresParams()) -> tuple[DataFrame, DataFrame]:
-    """(ensemble, domains).  ensemble(chrom_id, gamma, rank, weight, start_bin, end_bin) comes from one task
-    for each chromosome and gamma; domains(chrom_id, start_bin, end_bin, start, end) is their consensus."""
-    cells = chromosome_cells(matrix).withColumn("gamma", F.explode(F.array(*map(F.lit, gammas(p)))))
-
-    def call(f: pd.DataFrame) -> pd.DataFrame:
-        chrom, n, gamma = int(f["chrom_id"].iloc[0]), int(f["n"].iloc[0]), float(f["gamma"].iloc[0])
-        f = f[f["i"].notna()]
-        m = symmetric(f["i"].to_numpy(int), f["j"].to_numpy(int), f["v"].to_numpy(float), n)
-        if p.log:
-            m = np.where(m > 0, np.log(np.where(m > 0, m, 1)), m)
+    """(ensemble, domains).  ensemble(chrom_id, gamma, rank, weight, start_bin, end_bin) comes from one task for each
+    chromosome, whose sums serve all gammas; domains(chrom_id, start_bin, end_bin, start, end) is their consensus."""
+    cells = chromosome_cells(matrix, p.max_bins)
+
+    def call(chrom: int, n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pd.DataFrame:
         rows = []
         if n > 1:
-            found = best_cuts(qualities(m, gamma, p.min_mean_samples), p.top_k)
-            top = found[0][0]
-            for rank, (score, domains) in enumerate(found):
-                weight = score / top if top else float("nan")
-                rows += [(chrom, gamma, rank, weight, a, b) for a, b in domains]
-        return pd.DataFrame(rows, columns=["chrom_id", "gamma", "rank", "weight", "start_bin", "end_bin"])
-
-    schema = "chrom_id int, gamma double, rank int, weight double, start_bin long, end_bin long"
-    ensemble = cells.groupBy("chrom_id", "gamma").applyInPandas(call, schema)
+            band = banded(i, j, v, n, min(n, p.max_bins or n))
+            sums = block_sums(np.where(band > 0, np.log(np.where(band > 0, band, 1)), band) if p.log else band)
+            for gamma in gammas(p):
+                found = best_cuts(qualities(sums, gamma, p.min_mean_samples), p.top_k)
+                top = found[0][0]
+                for rank, (score, domains) in enumerate(found):
+                    weight = score / top if top else float("nan")
+                    rows += [(gamma, rank, weight, a, b) for a, b in domains]
+        return pd.DataFrame(rows, columns=["gamma", "rank", "weight", "start_bin", "end_bin"])
+
+    ensemble = per_chromosome(cells, call, "gamma double, rank int, weight double, start_bin long, end_bin long")
     size = matrix.bin_size
 
     def settle(f: pd.DataFrame) -> pd.DataFrame:

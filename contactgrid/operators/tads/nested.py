@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ...functions.baum_welch import fit_frame
 from ...functions.models import HMM
 from ...matrix import ContactMatrix
 from ...schema import MatrixError
@@ -199,11 +200,10 @@ def call_nested(matrices: dict[int, ContactMatrix], p: NestedParams = NestedPara
 
     def first(chrom: int, n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pd.DataFrame:
         t = Track(banded(i, j, v, n, clip(n)), size)
-        return pd.DataFrame({"k": np.arange(n), "di": t.directionality(t.windows())})
+        return pd.DataFrame({"x": [s.tolist() for s in training_sequences(t.directionality(t.windows()), size)]})
 
-    rows = per_chromosome(cells, first, "k long, di double").toPandas().sort_values(["chrom_id", "k"])
     model = start_model()
-    model.fit([s for _, g in rows.groupby("chrom_id") for s in training_sequences(g["di"].to_numpy(), size)], stop=1e-5)
+    fit_frame(model, per_chromosome(cells, first, "x array<double>"), stop=1e-5)
 
     def second(f: pd.DataFrame) -> pd.DataFrame:
         cache: dict[Span, float] = {}

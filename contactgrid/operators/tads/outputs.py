@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,8 +27,39 @@ def score_bedgraph(scores: DataFrame) -> DataFrame:
     return rows.where(F.col("to") > F.col("from")).select("chrom_id", "from", "to", "score")
 
 
-def boundary_gff(boundaries: pd.DataFrame, names: dict[int, str]) -> list[str]:
-    return [f"{names[b.chrom_id]}\tcontactgrid\tboundary\t{b.start + 1}\t{b.end}\t{b.score:.12f}\t.\t.\tID=B{b.row:05d};delta={b.delta:.12f};pvalue={b.p:.12f};tad_sep={b.score:.12f}" for b in boundaries.itertuples()]
+def score_table(scores: DataFrame, chroms: DataFrame) -> DataFrame:
+    """(chrom_id, bin, value): lines of the mean z of every window, for each scored bin."""
+    named = scores.join(F.broadcast(chroms.select("chrom_id", "name")), "chrom_id")
+    values = F.array_join(F.transform("values", lambda v: F.format_string("%.6f", v)), "\t")
+    return named.select("chrom_id", "bin", F.concat_ws("\t", "name", F.col("start").cast("string"), F.col("end").cast("string"), values).alias("value"))
+
+
+def score_header(bin_size: int, min_depth: int, max_depth: int, step: int) -> str:
+    """The line that comes before a score table's."""
+    return f'#{{"step":{step},"minDepth":{min_depth},"maxDepth":{max_depth},"binsize":{bin_size}}}'
+
+
+def boundary_lines(scores: DataFrame, boundaries: DataFrame, chroms: DataFrame) -> DataFrame:
+    """(row, bed, gff): two kinds of lines of boundaries, to be written in the order of their rows.  A boundary
+    reaches from the middle of the scored bin before to that of its own."""
+    w = Window.partitionBy("chrom_id").orderBy("bin")
+    middle = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
+    places = scores.select("chrom_id", "start", middle.alias("right"), F.lag(middle).over(w).alias("left")).where("left is not null")
+    found = boundaries.join(places, ["chrom_id", "start"]).join(F.broadcast(chroms.select("chrom_id", "name")), "chrom_id")
+    number = lambda c: F.format_string("%.12f", F.coalesce(F.col(c), F.lit(float("nan"))))
+    ends = (F.col("left").cast("string"), F.col("right").cast("string"))
+    name = F.format_string("B%05d", "row")
+    notes = F.concat_ws(";", F.concat(F.lit("ID="), name), F.concat(F.lit("delta="), number("delta")), F.concat(F.lit("pvalue="), number("p")), F.concat(F.lit("tad_sep="), number("score")))
+    bed = F.concat_ws("\t", "name", *ends, name, number("score"), F.lit("."))
+    gff = F.concat_ws("\t", "name", F.lit("contactgrid"), F.lit("boundary"), *ends, number("score"), F.lit("."), F.lit("."), notes)
+    return found.select("row", bed.alias("bed"), gff.alias("gff"))
+
+
+def multiscale_lines(ensemble: DataFrame, chroms: DataFrame, bin_size: int) -> DataFrame:
+    """(chrom, gamma, rank, start_bin, value): lines of each way to cut a chromosome, by gamma and rank: a file each."""
+    named = ensemble.join(F.broadcast(chroms.select("chrom_id", F.col("name").alias("chrom"))), "chrom_id")
+    ends = (F.col("start_bin") * bin_size, (F.col("end_bin") + 1) * bin_size - 1)
+    return named.select("chrom", "gamma", "rank", "start_bin", F.concat_ws("\t", "chrom", *(e.cast("string") for e in ends)).alias("value"))
 
 
 def bedpe_lines(blocks: DataFrame, chroms: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from contactgrid.functions.models import HMM, Discrete, Mixture, Normal
-from contactgrid.operators.tads import alignment, blocks, directionality, hierarchy, multires, nested, separation
+from contactgrid.operators.tads import alignment, blocks, directionality, hierarchy, multires, nested, outputs, separation
 from contactgrid.schema import MatrixError
 from contactgrid.sources.contacts import toy_matrix
 
@@ -13,9 +13,84 @@ def toy(spark):
 
 
 def test_separation(toy):
-    _, found = separation.call_boundaries(toy)
-    assert found["start"].tolist() == [k * 400_000 for k in range(1, 6)]
-    assert len(separation.domains_between(found)) == 4
+    scores, found = separation.call_boundaries(toy)
+    assert [r.start for r in found.orderBy("row").collect()] == [k * 400_000 for k in range(1, 6)]
+    spans = separation.domains_between(found).orderBy("start").collect()
+    assert [(r.start, r.end) for r in spans] == [(k * 400_000, (k + 1) * 400_000) for k in range(1, 5)] and len({r.rgb for r in spans}) == 2
+    assert [r.name for r in spans] == [f"ID_0.01_{k}" for k in range(1, 5)]
+    lines = outputs.boundary_lines(scores, found, toy.chroms).orderBy("row").collect()
+    for k, r in enumerate(lines, 1):
+        bed, gff = r.bed.split("\t"), r.gff.split("\t")
+        assert bed[:4] == ["toy1", str(k * 400_000 - 10_000), str(k * 400_000 + 10_000), f"B{20 * k:05d}"] and gff[3:5] == bed[1:3]
+        assert gff[8].startswith(f"ID=B{20 * k:05d};delta=") and gff[8].endswith(f"tad_sep={bed[4]}")
+    table = outputs.score_table(scores, toy.chroms).orderBy("bin").collect()
+    d = separation.depths(20_000)
+    assert len(table) == 120 and all(len(r.value.split("\t")) == 3 + len(d.windows) for r in table)
+    assert table[20].value.split("\t")[:3] == ["toy1", "400000", "420000"]
+    assert outputs.score_header(20_000, d.min_depth, d.max_depth, d.step) == '#{"step":40000,"minDepth":100000,"maxDepth":200000,"binsize":20000}'
+
+
+def test_zscore_matrix(toy):
+    """Each cell by the cells of its distance; the band that windows read."""
+    d = separation.depths(20_000)
+    z = separation.zscore_matrix(toy, d)
+    got = {(r.bin1_id, r.bin2_id): r["count"] for r in z.pixels.collect()}
+    assert z.bins.count() == 120 and max(b - a for a, b in got) < d.band
+    v = lambda a, b: 50.0 if a // 20 == b // 20 else 2.0
+    for k in (1, 7, 15):
+        pool = np.array([v(a, a + k) for a in range(120 - k)])
+        for a in range(120 - k):
+            want = (pool[a] - pool.mean()) / pool.std()
+            assert got[a, a + k] == pytest.approx(want, abs=1e-9)
+
+
+def test_multiscale_lines(toy):
+    ensemble, _ = multires.call_multires(toy, multires.MultiresParams(gamma_max=0.5, step=0.5, top_k=2, min_mean_samples=1))
+    rows = outputs.multiscale_lines(ensemble, toy.chroms, 20_000).collect()
+    assert {(r.gamma, r["rank"]) for r in rows} == {(0.0, 0), (0.0, 1), (0.5, 0), (0.5, 1)}
+    best = sorted((r.start_bin, r.value) for r in rows if (r.gamma, r["rank"]) == (0.5, 0))
+    assert best == [(20 * k, f"toy1\t{400_000 * k}\t{400_000 * (k + 1) - 1}") for k in range(6)]
+
+
+def settled(y, lookahead, chrom):
+    """Turning points by the definition: from each settled place on, every later place is tried in turn."""
+    out, starts = [], [k for k in range(len(y)) if k == 0 or chrom[k] != chrom[k - 1]] + [len(y)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        at, sides = a, (-1, 1)
+        while True:
+            hit = None
+            for t in range(at + 1, min(b, len(y) - lookahead)):
+                for side in sides:  # peaks first
+                    past, ahead = [side * y[k] for k in range(at, t)], [side * y[k] for k in range(t, t + lookahead)]
+                    if hit is None and min(past) < min(ahead):
+                        hit = (t, side, at + past.index(min(past)))
+                if hit:
+                    break
+            if not hit:
+                break
+            at, sides = hit[0], (-hit[1],)
+            out.append((hit[1] == 1, hit[2]))
+    return [k for valley, k in out[1:] if valley]
+
+
+def test_minima_by_definition(spark):
+    rng = np.random.default_rng(4)
+    for lookahead in (1, 3, 5):
+        sizes = [0, 40, 2, 1, 90, 4, 30, 3]
+        chrom = [c for c, n in enumerate(sizes) for _ in range(n)]
+        y = np.round(np.cumsum(rng.normal(size=len(chrom))), 1)
+        where = [k - chrom.index(c) for k, c in enumerate(chrom)]
+        rows = [(c, int(k), int(k) * 10, int(k) * 10 + 10, float(v), None) for c, k, v in zip(chrom, where, y, strict=True)]
+        scores = spark.createDataFrame(rows, "chrom_id int, bin long, start long, end long, score double, p double")
+        got = separation.minima(scores, lookahead).orderBy("row").collect()
+        assert [r.row for r in got] == settled(y.tolist(), lookahead, chrom) and len(got) > 5
+        for r in got:
+            own, k = [v for c, v in zip(chrom, y, strict=True) if c == r.chrom_id], where[r.row]
+            last = len(own) - (r.chrom_id == 7)
+            want = np.mean(own[k - 10 : k + 3] + own[k + 4 : k + 10]) - own[k] if 10 <= k and k + 10 < last else None
+            assert (r.delta is None) == (want is None) and (want is None or abs(r.delta - want) < 1e-9)
+    long = np.tile([0.0, 5.0], 20_000)
+    assert len(separation.turns(long, np.zeros(0), 1)) > 39_000
 
 
 def test_separation_leaves_masked_bins_out(spark, toy):
@@ -47,9 +122,9 @@ def test_separation_leaves_masked_bins_out(spark, toy):
         for w, got in zip(d.windows, rows[cut]["values"], strict=True):
             lo, hi = separation.window_edges(start, end, cut, w)
             assert got == pytest.approx(z[lo:cut, cut:hi].mean(), abs=1e-9)
-    _, found = separation.call_boundaries(m, weight="w")
+    found = [r.start for r in separation.call_boundaries(m, weight="w")[1].orderBy("row").collect()]
     near = [k * 400_000 for k in range(1, 6)]
-    assert len(found) == 5 and all(abs(a - b) <= 40_000 for a, b in zip(found["start"], near, strict=True))
+    assert len(found) == 5 and all(abs(a - b) <= 40_000 for a, b in zip(found, near, strict=True))
 
 
 def test_depths():
@@ -81,7 +156,39 @@ def test_best_cuts_are_the_best():
                     out = max(out, *(q[a, b] + best(b + 1, False) for b in range(a + 1, n)))
             return out
 
-        assert abs(multires.best_cuts(q, 1)[0][0] - best(0, True)) < 1e-9
+        band = np.full((n, n), -np.inf)
+        for d in range(n):
+            band[d, : n - d] = np.diagonal(q, d)
+        for top_k in (1, 3):
+            score, domains = multires.best_cuts(band, top_k)[0]
+            assert abs(score - best(0, True)) < 1e-9 and abs(sum(q[a, b] for a, b in domains) - score) < 1e-9
+
+
+def test_bands_are_the_square():
+    """Sums and qualities of bands against those of a whole square, and cuts where longer domains don't count."""
+    rng = np.random.default_rng(2)
+    n = 40
+    x = np.triu(rng.integers(0, 9, (n, n))).astype(float)
+    band = np.zeros((n, n))
+    for d in range(n):
+        band[d, : n - d] = np.diagonal(x, d)
+    sums = multires.block_sums(band)
+    for a, b in ((0, 0), (0, 39), (3, 9), (20, 39), (7, 8)):
+        assert sums[b - a, a] == x[a : b + 1, a : b + 1].sum()
+    for gamma, least in ((0.0, 1), (0.7, 1), (1.0, 12)):
+        q = multires.qualities(sums, gamma, least)
+        for d in range(1, n):
+            s = np.array([x[a : a + d + 1, a : a + d + 1].sum() for a in range(n - d)]) / (d + 1) ** gamma
+            want = s - s.mean() if n - d >= least else np.full(n - d, -1.0)
+            assert np.allclose(q[d, : n - d], np.where(want > 0, want, -np.inf))
+        short = multires.qualities(multires.block_sums(band[:8]), gamma, least)
+        assert np.allclose(short, q[:8])
+        cut = q.copy()
+        cut[8:] = -np.inf
+        for top_k in (1, 2, 4):
+            assert multires.best_cuts(short, top_k) == multires.best_cuts(cut, top_k)
+            found = multires.best_cuts(q, top_k)
+            assert [v for v, _ in found] == sorted((v for v, _ in found), reverse=True)
 
 
 def test_consensus():
@@ -165,3 +272,22 @@ def test_model_sums_over_paths():
     mix = Mixture([Normal(-1.0, 1.0), Normal(1.0, 1.0)])
     mix.fit_until(np.concatenate([rng.normal(-3, 0.5, 300), rng.normal(4, 1, 300)]))
     assert sorted(round(p.mean) for p in mix.parts) == [-3, 4]
+
+
+def test_fit_by_rounds_of_tasks(spark):
+    """A fit whose rounds sum up in tasks has the parameters of the fit at the driver."""
+    from contactgrid.functions.baum_welch import fit_frame
+
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal([-4, -1, 2, 5][k % 4], 1.5, rng.integers(5, 60)).tolist()) for k in range(30)] + [(99, [])]
+    frame = spark.createDataFrame(rows, "k int, x array<double>").repartition(5)
+    models, scores = [directionality.start_model() for _ in range(3)], []
+    scores.append(models[0].fit([np.array(x) for _, x in rows if x], stop=1e-3, rounds=12))
+    scores += [fit_frame(m, frame, stop=1e-3, rounds=12, local_values=n) for m, n in zip(models[1:], (10**6, 10), strict=True)]
+    for m, score in zip(models[1:], scores[1:], strict=True):
+        assert abs(score - scores[0]) < 1e-6
+        assert np.allclose(m.transitions, models[0].transitions, atol=1e-9) and np.allclose(m.end, models[0].end, atol=1e-9)
+        for e, f in zip(m.emissions, models[0].emissions, strict=True):
+            assert np.allclose(e.weights, f.weights, atol=1e-9)
+            assert np.allclose([(p.mean, p.std) for p in e.parts], [(p.mean, p.std) for p in f.parts], atol=1e-9)
+    assert fit_frame(directionality.start_model(), frame.limit(0)) == 0.0
