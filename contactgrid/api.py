@@ -12,7 +12,7 @@ from .operators import balance as B
 from .operators import coarsen, compare, intervals, objective, validate
 from .operators.tads import blocks, directionality, hierarchy, multires, nested, separation
 from .schema import MatrixError, Region, weight_is_divisive
-from .sources import contacts, hic, layout
+from .sources import contacts, cool, hic, layout
 
 CALLERS = {
     "separation": separation.call_boundaries,
@@ -24,7 +24,9 @@ CALLERS = {
 
 
 def open_matrix(spark: SparkSession, path: str, resolution: int | None = None, norm: str | None = None) -> ContactMatrix:
-    """A .hic file or a folder of one or many resolutions."""
+    """A .hic, .cool or .mcool file, or a folder of one or many resolutions."""
+    if path.endswith((".cool", ".mcool")):
+        return cool.open_cool(spark, path, resolution)
     if path.endswith(".hic"):
         have = hic.read_header(path).resolutions
         if resolution is None and len(have) > 1:
@@ -126,6 +128,8 @@ def check(spark: SparkSession, path: str, max_issues: int = 20) -> DataFrame:
     for name, place in targets.items():
         m, meta = layout.read_matrix(spark, place), layout.attributes(spark, place)
         found = validate.at_most(validate.issues(m.chroms, m.bins, m.pixels, {k: meta[k] for k in ("nchroms", "nbins", "nnz")}), max_issues)
+        if layout._exists(spark, f"{place}/indexes"):
+            found = found.unionByName(validate.at_most(layout.index_issues(spark, place), max_issues))
         found = found.select(F.lit(name).alias("target"), "check", "detail")
         out = found if out is None else out.unionByName(found)
     return out

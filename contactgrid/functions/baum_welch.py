@@ -17,7 +17,7 @@ def fit_frame(model: HMM, sequences: DataFrame, column: str = "x", stop: float =
     """Fits `model` to the arrays of a column; the log probability at the end.
 
     Up to `local_values` numbers in all are fitted to at the driver.  Beyond, every round sends the model to the
-    tasks, which hold a sequence at a time, and sums what they make of them: as many numbers as the model has
+    tasks, which take 64 sequences at a time, and sums what they make of them: as many numbers as the model has
     come back, whatever the data."""
     rows = materialize(sequences.select(F.col(column).alias("x")).where(F.size("x") > 0), "sequences")
     n = rows.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
@@ -29,8 +29,8 @@ def fit_frame(model: HMM, sequences: DataFrame, column: str = "x", stop: float =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
-                for x in b.column(0):
-                    own = model.statistics(x.values.to_numpy(zero_copy_only=False))
+                for lo in range(0, b.num_rows, 64):
+                    own = model.statistics([x.values.to_numpy(zero_copy_only=False) for x in b.column(0).slice(lo, 64)])
                     total = own if total is None else total + own
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "v"])

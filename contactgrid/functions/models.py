@@ -188,25 +188,68 @@ class HMM:
             path.append(int(b[path[-1]]))
         return float(v[best]), path[::-1]
 
-    def expectations(self, x) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(log probability, expected transitions, starts, ends, state shares) of one sequence."""
-        a, _, _ = self._logs()
-        f, total = self.forward(x)
-        b = self.backward(x)
-        e = self._emit(x)
-        moves = np.zeros_like(self.transitions)
-        for k in range(1, len(e)):
-            moves += np.exp(f[k - 1][:, None] + a + (e[k] + b[k])[None, :] - total)
-        share = np.exp(f + b - total)
-        return total, moves, share[0], share[-1], share
-
-    def statistics(self, x) -> np.ndarray:
-        """What a round of fitting needs to know of a sequence, one behind another: its log probability, expected
-        transitions, starts and ends, and each emission's; zeros if the model rules it out."""
-        total, moves, starts, ends, share = self.expectations(x)
+    def expectations(self, sequences: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log probabilities, expected transitions, starts, ends, state shares) of sequences: the first by sequence,
+        the next three summed up, shares for all their places one behind another.  Those that the model rules out
+        have -inf and add nothing.
+
+        All go side by side, the longest first, so a step takes those that reach as far.  Probabilities from either
+        side are kept at a sum of one from place to place; what was taken off adds up in logs."""
+        sizes = np.array([len(x) for x in sequences])
+        by_size = np.argsort(-sizes, kind="stable")
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])[by_size]
+        active = np.searchsorted(-sizes[by_size], -np.arange(1, sizes.max() + 1), side="right")  # at each place
+        logs = self._emit(np.concatenate([np.asarray(x) for x in sequences]))
+        top = logs.max(axis=1)
+        top = np.where(np.isfinite(top), top, 0.0)
+        e, a = np.exp(logs - top[:, None]), self.transitions
+        end = self.end if self.end.any() else np.ones(len(self.end))
+        # by place, then by sequence: a step reads and writes the head of one plane
+        plane = np.arange(sizes.max())[:, None] < sizes[by_size][None, :]
+        at = (first[None, :] + np.arange(len(plane))[:, None])[plane]
+        emitted = np.zeros((*plane.shape, len(end)))
+        emitted[plane] = e[at]
+        forth, sums = np.zeros_like(emitted), np.ones(plane.shape)
+        now = np.tile(self.start, (len(sizes), 1))
+        for k, n in enumerate(active.tolist()):
+            now = (now[:n] @ a if k else now) * emitted[k, :n]
+            total = now.sum(axis=1)
+            sums[k, :n] = total
+            now = now / np.maximum(total, 1e-300)[:, None]
+            forth[k, :n] = now
+        last = forth[sizes[by_size] - 1, np.arange(len(sizes))] @ end
+        lean = emitted / np.maximum(sums, 1e-300)[:, :, None]
+        backs, turned = np.empty_like(emitted), np.ascontiguousarray(a.T)
+        more = 0
+        for k in range(len(plane) - 1, -1, -1):
+            n = int(active[k])
+            backs[k, more:n] = end
+            if more:
+                backs[k, :more] = (lean[k + 1, :more] * backs[k + 1, :more]) @ turned
+            more = n
+        ahead, back, weighed, scale = np.empty_like(e), np.empty_like(e), np.empty_like(e), np.empty(len(e))
+        ahead[at], back[at], weighed[at], scale[at] = forth[plane], backs[plane], lean[plane], sums[plane]
+        who = np.empty(len(e), dtype=np.int64)
+        for k, n in enumerate(sizes[by_size].tolist()):
+            who[first[k] : first[k] + n] = k
+        fine = last > 0
+        factor = np.where(fine, 1.0 / np.where(fine, last, 1.0), 0.0)
+        share = ahead * back * factor[who][:, None]
+        inner = np.setdiff1d(np.arange(len(e)), first, assume_unique=True)  # all but the first places
+        moves = a * ((ahead[inner - 1] * factor[who[inner]][:, None]).T @ (weighed[inner] * back[inner]))
+        with np.errstate(divide="ignore"):
+            found = np.bincount(who, weights=np.log(scale) + top, minlength=len(sizes)) + np.log(np.where(fine, last, 0.0))
+        out = np.empty(len(sizes))
+        out[by_size] = np.where(fine, found, -np.inf)
+        return out, moves, share[first].sum(axis=0), share[first + sizes[by_size] - 1].sum(axis=0), share
+
+    def statistics(self, sequences: list) -> np.ndarray:
+        """What a round of fitting needs to know of sequences, one behind another: their log probability, expected
+        transitions, starts and ends, and each emission's.  Those that the model rules out add nothing."""
+        totals, moves, starts, ends, share = self.expectations(sequences)
+        x = np.concatenate([np.asarray(x) for x in sequences])
         own = [e.statistics(x, share[:, k]) for k, e in enumerate(self.emissions)]
-        out = np.concatenate([[total], moves.ravel(), starts, ends, *own])
-        return out if math.isfinite(total) else np.zeros(len(out))
+        return np.concatenate([[totals[np.isfinite(totals)].sum()], moves.ravel(), starts, ends, *own])
 
     def update(self, sums: np.ndarray) -> None:
         """A round of Baum-Welch from the sum of all sequences' statistics."""
@@ -225,7 +268,8 @@ class HMM:
 
     def fit(self, sequences: list, stop: float = 1e-9, rounds: int = 10_000) -> float:
         """Baum-Welch; sequences that the model rules out are passed over.  The log probability at the end."""
-        return self.fit_by(lambda: sum(map(self.statistics, sequences), np.zeros(1)), stop, rounds)
+        some = [x for x in sequences if len(x)]
+        return self.fit_by(lambda: self.statistics(some), stop, rounds) if some else 0.0
 
     def fit_by(self, statistics: Callable[[], np.ndarray], stop: float, rounds: int) -> float:
         """statistics: gives the sum over all sequences under the model as it stands."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import ContactMatrix
 from ..schema import MatrixError, ceil_div, floor_div
+from .marginals import rows_before
 
 
 def overlapping_bins(matrix: ContactMatrix, intervals: DataFrame) -> DataFrame:
@@ -60,6 +61,21 @@ def overlapping_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], ["chrom", "cell"]).where(meet).select("chrom", "s1", "e1", "s2", "e2")
 
 
+def overlap_counts(intervals: DataFrame) -> DataFrame:
+    """intervals(chrom, start, end), not empty, with n, how many others each has a stretch in common with: those
+    that start before its end, less those that end by its start, itself not counted.  Both come from running
+    counts over positions, so nothing grows with the pairs."""
+    d = intervals.select("chrom", "start", "end").where("end > start")
+    before = {}
+    for kind in ("start", "end"):
+        mark = lambda c: F.struct(F.col(c).alias("pos"), F.lit(int(c == kind)).alias("own"))  # noqa: B023, E731
+        marks = d.select("chrom", F.explode(F.array(mark("start"), mark("end"))).alias("m"))
+        before[kind] = rows_before(marks.groupBy("chrom", F.col("m.pos").alias("pos")).agg(F.sum("m.own").alias("_n")), "pos", "chrom")
+    started = before["start"].select("chrom", F.col("pos").alias("end"), F.col("_before").alias("started"))
+    ended = before["end"].select("chrom", F.col("pos").alias("start"), (F.col("_before") + F.col("_n")).alias("ended"))
+    return d.join(started, ["chrom", "end"]).join(ended, ["chrom", "start"]).select("chrom", "start", "end", (F.col("started") - F.col("ended") - 1).alias("n"))
+
+
 def nesting_levels(domains: DataFrame) -> DataFrame:
     """domains(chrom, start, end) with level, the number of other domains that hold them.
 

@@ -69,3 +69,15 @@ mask as materialized (select bin_id, case when nnz < 10 or marg < c then 0.0 els
 s{k} as materialized (select *, avg(marg) filter (where marg <> 0) over (partition by {by}) as mean from m{k}),
 bias{k + 1} as materialized (select bin_id, chrom_id, share, bias / case when marg = 0 then 1 else marg / mean end as bias from s{k})""")
     return ",\n".join(parts) + f"\nselect b.bin_id, round(nullif(b.bias, 0) / sqrt(s.mean), 6) as weight from bias{rounds} b join s{rounds - 1} s using (bin_id)"
+
+
+def with_domains(rest: str, where: str = "true", bin_size: int = 20_000) -> str:
+    """The matrix of the tables that has domains: dchroms, doffs and dpixels; a domain has w bases."""
+    at = lambda n: f"(case when mode < 4 then dom * w + side * (w // 2) + {n} % (w // 2) when mode < 8 then dom * w + {n} % w else {n} % (w * 8) end)"
+    return f"""with dchroms as materialized (select r_regionkey::int as chrom_id, r_name as name, ((20 + 2 * r_regionkey) * 20000)::bigint as w, ((20 + 2 * r_regionkey) * 160000)::int as length from region),
+doffs as materialized (select *, (sum(n_bins) over (order by chrom_id) - n_bins)::bigint as first_bin from (select *, (length // {bin_size})::bigint as n_bins from dchroms)),
+dpixels as materialized (select first_bin + least(x, y) as bin1_id, first_bin + greatest(x, y) as bin2_id, count(*)::double as count from (
+  select first_bin, {at("n1")} // {bin_size} as x, {at("n2")} // {bin_size} as y from (
+    select *, b % 10 as mode, a % 8 as dom, a // 8 % 2 as side, a // 16 as n1, b // 10 as n2 from (
+      select (l_partkey % 5)::int as chrom_id, l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 15485863 as a, l_suppkey * 32452843 + l_orderkey * 49979687 + l_linenumber * 611953 as b from lineitem where {where})
+    join doffs using (chrom_id))) group by 1, 2){rest}"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from .. import matrix as M
 from ..operators import balance as B
 from ..operators import bands, coarsen, compare, intervals, marginals, validate
 from ..schema import Region, weight_type
-from ..sources import contacts
-from .oracle import CIS, KEPT, PAIR, RETURNED, ice, pixels, rho, with_base
+from ..sources import contacts, layout
+from .oracle import CIS, KEPT, PAIR, RETURNED, ice, pixels, rho, with_base, with_domains
+from .scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,21 +141,62 @@ def bin_column(spark, sf_dir):
     return m.drop_bin_column("spare").bins
 
 
-@query("""select k as bin_id, (k // 100)::int as chrom_id, (k % 100 * 100)::int as start, (k % 100 * 100 + 100)::int as "end" from unnest(generate_series(0::bigint, 199)) t(k)""")
+def _domains(spark: SparkSession, sf_dir: str, bin_size: int = 20_000, flag: str | None = None) -> M.ContactMatrix:
+    return contacts.domain_matrix(spark, sf_dir, bin_size, flag)
+
+
+@query(with_domains(""" select first_bin + k as bin_id, chrom_id, (k * 20000)::int as start, (k * 20000 + 20000)::int as "end" from doffs, unnest(generate_series(0::bigint, n_bins - 1)) t(k)"""))
 def tiled_bins(spark, sf_dir):
-    return contacts.toy_matrix(spark).bins
+    """Bins of the matrix of the tables that has domains."""
+    return _domains(spark, sf_dir).bins
 
 
-@query("""select a.k as bin1_id, b.k as bin2_id, case when a.k // 10 = b.k // 10 then 50.0 else 2.0 end::double as count
-from unnest(generate_series(0::bigint, 199)) a(k), unnest(generate_series(0::bigint, 199)) b(k) where b.k > a.k and a.k // 100 = b.k // 100""")
+@query(with_domains(" select * from dpixels"))
 def toy_blocks(spark, sf_dir):
-    return contacts.toy_matrix(spark).pixels
+    """The pixels of the matrix of the tables that has domains along its diagonal."""
+    return _domains(spark, sf_dir).pixels
 
 
-@query("select bin1_id::bigint as bin1_id, bin2_id::bigint as bin2_id, count::double as count from (values (0, 0, 1.0), (0, 2, 2.0), (1, 1, 4.0), (1, 2, 5.0), (2, 2, 7.0)) t(bin1_id, bin2_id, count)")
+@query(with_base("select bin1_id, bin2_id, count from pixels where bin1_id < 200 and bin2_id < 200"))
 def dense_text(spark, sf_dir):
-    lines = spark.createDataFrame([(0, "1 0 2"), (1, ""), (2, "3 4 5"), (3, "6 0 7")], "line_no long, value string")
-    return contacts.dense_text_pixels(lines)
+    """The matrix of the first chromosome, written as dense text and read from it."""
+    lines = layout.dense_text(_m(spark, sf_dir), 0)
+    return contacts.dense_text_pixels(lines, "i")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The tables' matrix written to the shared folder, with its indexes."""
+    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    layout.write_matrix(_m(spark, sf_dir), path)
+    return path
+
+
+@query(with_base("select row, bin1_id, bin2_id, count from (select *, row_number() over (order by bin1_id, bin2_id) - 1 as row from pixels) where row >= 1000 and row < 2500"))
+def stored_rows_slice(spark, sf_dir):
+    """A slice by stored row, from the files that hold it."""
+    return layout.stored_rows(spark, _stored(spark, sf_dir), 1000, 2500)
+
+
+@query(with_base("select * from pixels where bin1_id >= 300 and bin1_id < 420"))
+def stored_index_rows(spark, sf_dir):
+    """Rows of the matrix by the stored row index."""
+    return layout.indexed_rows(spark, _stored(spark, sf_dir), 300, 420)
+
+
+@query(with_base("select 'x' as \"check\", 'y' as detail from bins where false"))
+def stored_index_clean(spark, sf_dir):
+    return layout.index_issues(spark, _stored(spark, sf_dir))
+
+
+@query(with_base("select 'bin1_offset' as \"check\", bin_id::varchar as detail from (select bin_id from bins union all select max(bin_id) + 1 from bins) where bin_id % 97 = 5 or bin_id % 101 = 7 or bin_id = 50 union all select 'bin1_offset', '-3'"))
+def stored_index_corrupt(spark, sf_dir):
+    """An index with wrong, missing and repeated entries, and one of no bin."""
+    m = _m(spark, sf_dir)
+    path = _stored(spark, sf_dir)
+    held = spark.read.parquet(f"{path}/indexes/bin1_offset").where("bin_id % 101 <> 7")
+    held = held.withColumn("first_row", F.when(F.col("bin_id") % 97 == 5, F.col("first_row") + 1).otherwise(F.col("first_row")))
+    held = held.unionByName(held.where("bin_id = 50")).unionByName(held.where("bin_id = 51").withColumn("bin_id", F.lit(-3).cast("long")))
+    return validate.index_issues(held, m.bins, spark.read.parquet(f"{path}/pixels"))
 
 
 # ---- filters and joins ----
@@ -221,8 +264,7 @@ join chroms c on c.name = x.chrom join bins b on b.chrom_id = c.chrom_id and b.s
     low_minus_high: """ select * from iv where start < 12000 except select * from iv where start > 6000""",
 }
 for _f, _sql in _INTERVALS.items():
-    for _name in (_f.__name__, f"{_f.__name__}_all"):
-        query(with_base(_IV + _sql), _name)(_f)
+    query(with_base(_IV + _sql))(_f)
 
 
 @query(with_base(_IV + _TILES + """ select a.chrom, a.start as s1, a."end" as e1, b.start as s2, round((least(a."end", b."end") - greatest(a.start, b.start))::double / (greatest(a."end", b."end") - least(a.start, b.start)), 6) as ratio
@@ -236,12 +278,10 @@ def interval_overlap_ratio(spark, sf_dir):
     return intervals.overlapping_pairs(_iv(spark, sf_dir), tiles).select("chrom", "s1", "e1", "s2", F.round(r, 6).alias("ratio"))
 
 
-@query()
-def interval_overlap_ratio_all(spark, sf_dir):
-    """Pairs of intervals that overlap."""
-    iv = _iv(spark, sf_dir)
-    r = intervals.overlap_ratio(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
-    return intervals.overlapping_pairs(iv, iv).select("chrom", "s1", "e1", "s2", "e2", F.round(r, 6).alias("ratio"))
+@query(with_base(_IV + """ select a.chrom, a.start, a."end", count(b.chrom)::bigint as n from iv a left join iv b on a.chrom = b.chrom and a.start < b."end" and b.start < a."end" and (a.start, a."end") <> (b.start, b."end") group by 1, 2, 3"""))
+def interval_overlap_counts(spark, sf_dir):
+    """How many other intervals each overlaps."""
+    return intervals.overlap_counts(_iv(spark, sf_dir))
 
 
 @query(with_base(""", e as (select distinct bin1_id % 50 as a, bin2_id % 50 as b from pixels where count > 2) select a, b from e intersect select b, a from e"""))
@@ -280,9 +320,13 @@ def log_transforms(spark, sf_dir):
 _NAMES = ("KR", "VC_SQRT", "weight", "ICE", "SCALE", "mine")
 
 
-@query("select * from (values ('KR', 'divisive'), ('VC_SQRT', 'divisive'), ('weight', 'multiplicative'), ('ICE', 'multiplicative'), ('SCALE', 'divisive'), ('mine', null)) t(name, kind)")
+@query("""select name, case when name in ('KR', 'VC_SQRT', 'SCALE') then 'divisive' when name in ('weight', 'ICE') then 'multiplicative' end as kind, count(*)::bigint as n
+from (select ['KR', 'VC_SQRT', 'weight', 'ICE', 'SCALE', 'mine'][(l_partkey + l_linenumber) % 6 + 1] as name from lineitem) group by 1, 2""")
 def weight_types(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", weight_type(F.col("name")).alias("kind"))
+    """How columns apply that line items are given a name for."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    name = F.get(F.array(*map(F.lit, _NAMES)), ((F.col("l_partkey") + F.col("l_linenumber")) % 6).cast("int"))
+    return li.select(name.alias("name")).select("name", weight_type(F.col("name")).alias("kind")).groupBy("name", "kind").agg(F.count("*").alias("n"))
 
 
 # ---- sums, coarser levels ----
@@ -352,14 +396,21 @@ def zoom_levels(spark, sf_dir):
     return out
 
 
-@query("select * from (values (100), (200), (500), (1000), (2000), (5000)) t(resolution)")
+def _progressions(spark, sf_dir, made):
+    """For each chromosome the resolutions from 100 up to its length."""
+    rows = contacts.table_chroms(spark, sf_dir).select("chrom_id", "length").collect()
+    found = [(r.chrom_id, x) for r in rows for x in made(100, r.length)]
+    return spark.createDataFrame(found, "chrom_id int, resolution int")
+
+
+@query(with_base(" select chrom_id, (100 * s * d)::int as resolution from chroms, unnest([1, 2, 5]) a(s), unnest([1, 10, 100, 1000]) b(d) where 100 * s * d <= length"))
 def nice_resolutions(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r in coarsen.nice_resolutions(100, 5000)], "resolution int")
+    return _progressions(spark, sf_dir, coarsen.nice_resolutions)
 
 
-@query("select * from (values (100), (200), (400), (800), (1600), (3200)) t(resolution)")
+@query(with_base(" select chrom_id, (100 * 2 ** k)::int as resolution from chroms, unnest(generate_series(0, 20)) t(k) where 100 * 2 ** k <= length"))
 def pow2_resolutions(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r in coarsen.pow2_resolutions(100, 5000)], "resolution int")
+    return _progressions(spark, sf_dir, coarsen.pow2_resolutions)
 
 
 @query(with_base(""", g as (select *, sum(length) over (order by chrom_id) - length as bp0, (select sum(length) from chroms) as genome from chroms),
@@ -640,47 +691,44 @@ def validate_corrupt(spark, sf_dir):
 
 
 
-# ---- callers, on the matrix of the tables; where SQL knows the domains, on block matrices as well ----
-
-
-def _toy(spark):
-    return contacts.toy_matrix(spark, domains=10, width=20, bin_size=20_000)
+# ---- callers, on the matrix of the tables that has domains ----
 
 
 @query()
 def tads_separation(spark, sf_dir):
     from ..operators.tads import separation
 
-    _, found = separation.call_boundaries(_m(spark, sf_dir))
-    return spark.createDataFrame(found[["chrom_id", "start", "end", "score", "delta", "p"]], "chrom_id int, start long, end long, score double, delta double, p double")
+    _, found = separation.call_boundaries(_domains(spark, sf_dir))
+    return found.select("chrom_id", "start", "end", "score", "delta", "p")
 
 
 @query()
 def tads_hierarchy(spark, sf_dir):
     from ..operators.tads import hierarchy
 
-    return hierarchy.call_hierarchy(_m(spark, sf_dir))
+    return hierarchy.call_hierarchy(_domains(spark, sf_dir))
 
 
-@query("""select c::int as chrom_id, k * 20 as start_bin, k * 20 + 19 as end_bin, k * 400000 as start, (k + 1) * 400000 - 1 as "end" from unnest(generate_series(0::bigint, 1)) a(c), unnest(generate_series(0::bigint, 9)) b(k)""")
+@query()
 def tads_multires(spark, sf_dir):
     from ..operators.tads import multires
 
-    return multires.call_multires(_toy(spark), multires.MultiresParams(gamma_max=0.5, step=0.25, min_mean_samples=1))[1]
+    return multires.call_multires(_domains(spark, sf_dir))[1]
 
 
 @query()
 def tads_blocks(spark, sf_dir):
     from ..operators.tads import blocks
 
-    return blocks.call_blocks(_m(spark, sf_dir))
+    # a domain has 20 bins or more, the default asks for blocks of 60
+    return blocks.call_blocks(_domains(spark, sf_dir), blocks.BlockParams(min_block=10))
 
 
 @query()
 def tads_directionality(spark, sf_dir):
     from ..operators.tads import directionality
 
-    return directionality.call_domains(_m(spark, sf_dir))[0]
+    return directionality.call_domains(_domains(spark, sf_dir))[0]
 
 
 @query()
@@ -694,33 +742,25 @@ def objective_weights(spark, sf_dir):
 def tads_nested(spark, sf_dir):
     from ..operators.tads import nested
 
-    return nested.call_nested({100: _m(spark, sf_dir)})
-
-
-@query("""select c::int as chrom_id, k * 400000 as start1, (k + 1) * 400000 as end1, 1::int as n1, k * 400000 as start2, (k + 1) * 400000 as end2, 1::int as n2, 'conserved' as kind
-from unnest(generate_series(0::bigint, 1)) a(c), unnest(generate_series(0::bigint, 9)) b(k)""")
-def tads_aligned(spark, sf_dir):
-    from ..operators.tads import alignment
-
-    d = spark.range(20).select((F.col("id") % 2).cast("int").alias("chrom_id"), (F.floor(F.col("id") / 2) * 400_000).alias("start"), F.lit(0).alias("level"))
-    d = d.withColumn("end", F.col("start") + 400_000)
-    return alignment.align(d, d, 20_000)
+    return nested.call_nested({20_000: _domains(spark, sf_dir)})
 
 
 @query()
-def tads_multires_all(spark, sf_dir):
-    from ..operators.tads import multires
+def tads_aligned(spark, sf_dir):
+    """Domains of the items returned against those of the others."""
+    from ..operators.tads import alignment, nested
 
-    return multires.call_multires(_m(spark, sf_dir))[1]
+    a, b = (nested.call_nested({20_000: _domains(spark, sf_dir, flag=f)}) for f in ("R", "-"))
+    return alignment.align(a, b, 20_000)
 
 
 @query()
-def tads_aligned_all(spark, sf_dir):
-    """Domains of the items returned against those of the others."""
+def tads_aligned_levels(spark, sf_dir):
+    """The same, matches by level within pairs of top domains."""
     from ..operators.tads import alignment, nested
 
-    a, b = (nested.call_nested({100: m}) for m in _pair(spark, sf_dir))
-    return alignment.align(a, b, 100)
+    a, b = (nested.call_nested({20_000: _domains(spark, sf_dir, flag=f)}) for f in ("R", "-"))
+    return alignment.align_levels(a, b, 20_000)
 
 
 # ---- text outputs and smaller functions ----
@@ -749,16 +789,12 @@ def validate_limit(spark, sf_dir):
 @query(with_base("""select c1.name || chr(9) || b1.start || chr(9) || b1."end" || chr(9) || c2.name || chr(9) || b2.start || chr(9) || b2."end" || chr(9) || count::bigint as value
 from pixels join bins b1 on b1.bin_id = bin1_id join bins b2 on b2.bin_id = bin2_id join chroms c1 on c1.chrom_id = b1.chrom_id join chroms c2 on c2.chrom_id = b2.chrom_id"""))
 def pixel_lines(spark, sf_dir):
-    from ..sources import layout
-
     return layout.pixel_text(_m(spark, sf_dir), coordinates=True).select("value")
 
 
 @query(with_base("""select i, string_agg(v::bigint::varchar, chr(9) order by j) as value from (select a.i, b.j, coalesce(count, 0) as v
 from unnest(generate_series(0::bigint, 199)) a(i), unnest(generate_series(0::bigint, 199)) b(j) left join pixels on bin1_id = least(i, j) and bin2_id = greatest(i, j)) group by 1"""))
 def dense_lines(spark, sf_dir):
-    from ..sources import layout
-
     return layout.dense_text(_m(spark, sf_dir), 0)
 
 
@@ -779,12 +815,10 @@ def hic_block_number(spark, sf_dir):
     return px.groupBy((F.col("chrom_id1") + 1).alias("a"), (F.col("chrom_id2") + 1).alias("b"), block.alias("block")).agg(F.count("*").alias("n"))
 
 
+@query(with_base(f", {CIS} select chrom_id, arg_min(i, i % 3 * 1000000 + i) as pos from cis where d = 0 group by 1"))
 def finest_resolution(spark, sf_dir):
     """The row of the finest resolution in each chromosome, the first of equals."""
     cells, _ = _cis(spark, sf_dir)
     rows = cells.where("d = 0").select("chrom_id", F.struct((100 + F.col("i") % 3 * 100).alias("res"), F.col("i").alias("pos")).alias("x"))
     return rows.groupBy("chrom_id").agg(F.min("x").alias("x")).select("chrom_id", "x.pos")
 
-
-for _name in ("finest_resolution", "finest_resolution_all"):
-    query(with_base(f", {CIS} select chrom_id, arg_min(i, i % 3 * 1000000 + i) as pos from cis where d = 0 group by 1"), _name)(finest_resolution)

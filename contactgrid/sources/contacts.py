@@ -51,6 +51,33 @@ def table_matrix(spark: SparkSession, sf_dir: str, bin_size: int = 100, flag: st
     return ContactMatrix(chroms, fixed_bins(chroms, bin_size), bin_contacts(contacts, chroms, bin_size), bin_size)
 
 
+#: Of domain_matrix: domains a chromosome, and bins a domain of the first chromosome and more for each next one.
+DOMAINS, DOMAIN_BINS, MORE_BINS = 8, 20, 2
+
+
+def domain_matrix(spark: SparkSession, sf_dir: str, bin_size: int = 20_000, flag: str | None = None) -> ContactMatrix:
+    """A contact of each line item, on chromosomes with domains: a chromosome for each region, eight domains of one
+    size side by side, each halved.  Of ten contacts four lie in a half, four in a domain, two anywhere.
+
+    bin_size divides 20,000; flag as for table_matrix."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet")
+    width = ((DOMAIN_BINS + MORE_BINS * F.col("r_regionkey")) * 20_000).cast("int")
+    chroms = r.select(F.col("r_regionkey").cast("int").alias("chrom_id"), F.col("r_name").alias("name"), (width * DOMAINS).alias("length"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if flag is not None:
+        li = li.where(F.col("l_returnflag") == "R" if flag == "R" else F.col("l_returnflag") != "R")
+    key = F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104_729 + F.col("l_linenumber") * 15_485_863
+    rows = li.select((F.col("l_partkey") % 5).cast("int").alias("chrom_id"), key.alias("a"), (F.col("l_suppkey") * 32_452_843 + F.col("l_orderkey") * 49_979_687 + F.col("l_linenumber") * 611_953).alias("b"))
+    rows = rows.join(F.broadcast(chroms.select("chrom_id", (F.col("length") / DOMAINS).cast("long").alias("w"))), "chrom_id")
+    mode, domain = F.col("b") % 10, F.col("a") % DOMAINS
+    half = F.floor(F.col("w") / 2).cast("long")
+    side = F.floor(F.col("a") / DOMAINS).cast("long") % 2
+    one, two = F.floor(F.col("a") / 16).cast("long"), F.floor(F.col("b") / 10).cast("long")
+    start = lambda n: F.when(mode < 4, domain * F.col("w") + side * half + n % half).when(mode < 8, domain * F.col("w") + n % F.col("w")).otherwise(n % (F.col("w") * DOMAINS))
+    contacts = rows.select(F.col("chrom_id").alias("chrom1"), start(one).alias("pos1"), F.col("chrom_id").alias("chrom2"), start(two).alias("pos2"))
+    return ContactMatrix(chroms, fixed_bins(chroms, bin_size), bin_contacts(contacts, chroms, bin_size), bin_size)
+
+
 def toy_matrix(spark: SparkSession, domains: int = 10, width: int = 10, bin_size: int = 100, inside: float = 50.0, outside: float = 2.0, n_chroms: int = 2) -> ContactMatrix:
     """Chromosomes of block domains: `inside` within a block, `outside` elsewhere, nothing on the
     diagonal or between chromosomes."""

@@ -1,17 +1,20 @@
 """Matrices on disk: Parquet folders for one or many resolutions, and text tables.
 
-A matrix is a folder with chroms/, bins/, pixels/ and meta/ (one row: format, version, bin type and
-size, counts).  Pixels are range-partitioned and sorted by their first bin, so row-group statistics
-prune region queries as a row index would.  A folder of many resolutions holds resolution=<size>/.
+A matrix is a folder with chroms/, bins/, pixels/, indexes/ and meta/ (one row: format, version, bin type
+and size, counts).  Pixels are range-partitioned and sorted by their first bin, so row-group statistics prune
+region queries.  indexes/files has a row for each file of pixels, with its first stored row, its number of rows
+and its first bins; indexes/bin1_offset the stored rows before each bin's.  By them a slice of stored rows opens
+only the files that hold it, and both can be checked against the pixels.  A folder of many resolutions holds resolution=<size>/.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.formats import format_count
-from ..matrix import ContactMatrix, annotate, canonical, chrom_offsets
+from ..matrix import ContactMatrix, annotate, bin1_offset, canonical, chrom_offsets
 from ..schema import MatrixError, weight_is_divisive
 
 FORMAT, VERSION = "contact-matrix", 1
@@ -45,12 +48,56 @@ def write_matrix(matrix: ContactMatrix, path: str, merge: bool = True, mode: str
     matrix.bins.write.mode(mode).parquet(f"{path}/bins")
     _delete(spark, *(f"{path}/bins.v{v}" for v in _bin_versions(spark, path)))
     px.repartitionByRange("bin1_id").sortWithinPartitions("bin1_id", "bin2_id").write.mode(mode).parquet(f"{path}/pixels")
-    nnz = spark.read.parquet(f"{path}/pixels").count()
+    stored = spark.read.parquet(f"{path}/pixels")
+    file_index(stored).coalesce(1).write.mode(mode).parquet(f"{path}/indexes/files")
+    bin1_offset(matrix.bins, stored).repartitionByRange("bin_id").sortWithinPartitions("bin_id").write.mode(mode).parquet(f"{path}/indexes/bin1_offset")
+    nnz = stored.count()
     meta = [(FORMAT, VERSION, "fixed" if matrix.bin_size else "variable", matrix.bin_size, "symmetric-upper", matrix.chroms.count(), n, nnz)]
     schema = "format string, version int, bin_type string, bin_size long, storage string, nchroms long, nbins long, nnz long"
     spark.createDataFrame(meta, schema).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
 
 
+def file_index(stored: DataFrame) -> DataFrame:
+    """(file, first_row, n_rows, first_bin, last_bin) of stored pixels, whose files follow each other by their
+    first bins: a row for each file."""
+    files = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"), F.min("bin1_id").alias("first_bin"), F.max("bin1_id").alias("last_bin"))
+    before = F.coalesce(F.sum("n_rows").over(Window.orderBy("first_bin", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.select("file", before.cast("long").alias("first_row"), "n_rows", "first_bin", "last_bin")
+
+
+def stored_rows(spark: SparkSession, path: str, lo: int, hi: int) -> DataFrame:
+    """(row, bin1_id, bin2_id, count): the stored rows [lo, hi) of the pixels, numbered in the order of the bins.
+    Only the files that hold some of them are opened."""
+    index = spark.read.parquet(f"{path}/indexes/files").where((F.col("first_row") < hi) & (F.col("first_row") + F.col("n_rows") > lo) & (F.lit(lo) < hi))
+    files = {r.file: r.first_row for r in index.collect()}
+    if not files:
+        return spark.read.parquet(f"{path}/pixels").select(F.lit(0).cast("long").alias("row"), "bin1_id", "bin2_id", "count").limit(0)
+    some = spark.read.parquet(*(f"{path}/pixels/{name}" for name in files))
+    first = spark.createDataFrame(list(files.items()), "file string, first_row long")
+    rows = some.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("k")).join(F.broadcast(first), "file")
+    row = F.col("first_row") + F.col("k")
+    return rows.where((row >= lo) & (row < hi)).select(row.alias("row"), "bin1_id", "bin2_id", "count")
+
+
+def indexed_rows(spark: SparkSession, path: str, first_bin: int, last_bin: int) -> DataFrame:
+    """Pixels whose first bin is in [first_bin, last_bin), found by the stored row index."""
+    ends = {r.bin_id: r.first_row for r in spark.read.parquet(f"{path}/indexes/bin1_offset").where(F.col("bin_id").isin(first_bin, last_bin)).collect()}
+    if first_bin not in ends or last_bin not in ends:
+        raise MatrixError(f"bins {first_bin} to {last_bin} are not in the index of {path}")
+    return stored_rows(spark, path, ends[first_bin], ends[last_bin]).drop("row")
+
+
+def index_issues(spark: SparkSession, path: str) -> DataFrame:
+    """(check, detail): entries of the stored indexes that don't agree with the stored pixels."""
+    from ..operators.validate import index_issues
+
+    stored = spark.read.parquet(f"{path}/pixels")
+    out = index_issues(spark.read.parquet(f"{path}/indexes/bin1_offset"), spark.read.parquet(_bins_path(spark, path)), stored)
+    right, held = file_index(stored), spark.read.parquet(f"{path}/indexes/files")
+    wrong = right.exceptAll(held).unionByName(held.exceptAll(right)).select("file").distinct()
+    return out.unionByName(wrong.select(F.lit("files").alias("check"), F.col("file").alias("detail")))
+
+
 def read_matrix(spark: SparkSession, path: str) -> ContactMatrix:
     if not _exists(spark, f"{path}/meta"):
         raise MatrixError(f"no matrix at {path}")

@@ -266,6 +266,14 @@ def test_model_sums_over_paths():
     score, path = model.viterbi(x)
     assert tuple(path) == max(logs)[1] and abs(score - np.log(max(logs)[0])) < 1e-9
     assert np.allclose(model.predict_proba(x).sum(axis=1), 1)
+    totals, moves, first, last, share = model.expectations([list("a"), x, list("abc"), x])
+    weight = np.array([p for p, _ in logs]) / sum(p for p, _ in logs)
+    assert np.allclose(totals, [model.log_probability(list("a")), model.log_probability(x), -np.inf, model.log_probability(x)])
+    assert np.allclose(share[1:6], model.predict_proba(x)) and np.allclose(share[9:], share[1:6]) and not share[6:9].any()
+    for a in range(2):
+        for b in range(2):
+            assert abs(moves[a, b] - 2 * sum(w * sum(u == a and v == b for u, v in zip(path, path[1:], strict=False)) for w, (_, path) in zip(weight, logs, strict=True))) < 1e-12
+    assert np.allclose(first, share[0] + 2 * share[1]) and np.allclose(last, share[0] + 2 * share[5])
     before = model.log_probability(x)
     model.fit([x, x], stop=1e-6, rounds=20)
     assert model.log_probability(x) >= before

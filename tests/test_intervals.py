@@ -2,6 +2,7 @@ import random
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from contactgrid.operators import intervals
 from contactgrid.plans.queries import QUERIES
@@ -30,23 +31,34 @@ def test_pairs_as_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(brute(iv))
 
 
+def test_ratios_as_brute_force(spark):
+    rng = random.Random(5)
+    iv = {(rng.choice("ab"), s, s + rng.choice((1, 3, 40, 400))) for s in (rng.randint(-50, 500) for _ in range(100))}
+    pairs = intervals.overlapping_pairs(*[spark.createDataFrame(sorted(iv), "chrom string, start long, end long")] * 2)
+    ratio = intervals.overlap_ratio(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
+    got = {tuple(r)[:5]: r.ratio for r in pairs.withColumn("ratio", ratio).collect()}
+    assert got == pytest.approx(brute(iv), abs=1.1e-6)
+
+
 def test_all_orders(spark, sf):
     iv = orders(sf)
     rows = lambda name: [tuple(r) for r in QUERIES[name](spark, sf).collect()]
     want = brute(iv)
-    got = rows("interval_overlap_ratio_all")
-    assert len(got) == len(want) and {r[:5]: r[5] for r in got} == pytest.approx(want, abs=1.1e-6)  # halves round otherwise in Python
-    assert sorted(rows("included_bins_all")) == sorted({(c, k) for c, s, e in iv for k in range(s // 100, (e + 99) // 100)})
-    assert sorted(rows("low_minus_high_all")) == [x for x in iv if x[1] <= 6000]
+    others = {x: -1 for x in iv}
+    for c, s, e, _, _ in want:
+        others[c, s, e] += 1
+    assert {r[:3]: r[3] for r in rows("interval_overlap_counts")} == others
+    assert sorted(rows("included_bins")) == sorted({(c, k) for c, s, e in iv for k in range(s // 100, (e + 99) // 100)})
+    assert sorted(rows("low_minus_high")) == [x for x in iv if x[1] <= 6000]
     level = {x: 0 for x in iv}
     for c, s, e, s2, e2 in want:
         level[c, s, e] += s2 <= s and e <= e2 and (s2, e2) != (s, e)
-    assert {r[:3]: r[3] for r in rows("nesting_level_all")} == level
+    assert {r[:3]: r[3] for r in rows("nesting_level")} == level
     names = {r.name: r.chrom_id for r in QUERIES["chroms_table"](spark, sf).collect()}
     at = {(r.chrom_id, r.start // 100): r.bin_id for r in QUERIES["bins_table"](spark, sf).collect()}
     inner = {(names[c], k) for c, s, e in iv for k in range(s // 100, (e + 99) // 100)}
-    assert sorted(x for x, in rows("blacklist_overlap_all")) == sorted(at[x] for x in inner if x in at)
+    assert sorted(x for x, in rows("blacklist_overlap")) == sorted(at[x] for x in inner if x in at)
     ids = {v: k for k, v in at.items()}
     diagonal = [ids[r.bin1_id] for r in QUERIES["pixels_table"](spark, sf).where("bin1_id = bin2_id").collect()]
     finest = {c: min((i % 3, i) for c2, i in diagonal if c2 == c)[1] for c, _ in diagonal}
-    assert dict(rows("finest_resolution_all")) == finest
+    assert dict(rows("finest_resolution")) == finest
