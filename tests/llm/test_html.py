@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -93,6 +94,57 @@ def test_weights_decide():
     assert main_text(page, html_text.Weights(odds | {"own:p": -1.0, "words:20+": -0.5})) == "Title"
 
 
+WHOLE = {
+    "<article><p>Where <math><mi>x</mi><mo>+</mo><msup><mi>y</mi><mn>2</mn></msup></math> is big.</p></article>": "Where x+y2 is big.",
+    "<article><p>Seen in <svg><g><title>no</title><text>figure <tspan>one</tspan></text></g></svg> here.</p></article>": "Seen in figure one here.",
+    "<article><p>a <object>fallback</object> and <canvas>drawn</canvas> and <noscript>plain</noscript> text</p></article>": "a fallback and drawn and plain text",
+    f"<form id=aspnetForm><nav>menu</nav><article>{MAIN}</article><form><p>name</p></form></form>": TEXT,
+    f"<form><fieldset><div><p>{BODY}</p></div></fieldset><div class=footer>end</div></form>": BODY,
+    f"<article>{MAIN}<div class=market-share><p>Half of all.</p></div><div class=no-comments><p>None yet.</p></div><div class=social-share>Tell</div></article>": f"{TEXT}\n\nHalf of all.\n\nNone yet.",
+}
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_nothing_else_is_dropped(page):
+    assert main_text(page) == WHOLE[page]
+
+
+@pytest.mark.parametrize("wrap", ["<body><form id='aspnetForm' action='.'>{}</form></body>", "<fieldset>{}</fieldset>", "<div class=wrap>{}</div>"])
+def test_frames_of_given_pages(spark, sf, wrap):
+    """A form around a whole page changes nothing."""
+    some = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = html_text.fitted(some, 1000, "page_id", "html")
+    for r in some.collect():
+        bare = re.sub(r"(?i)</?(?:html|body)[^>]*>", "", r.html)
+        assert main_text(wrap.format(bare), weights) == main_text(bare, weights)
+
+
+def test_weights_decide_given_pages(spark, sf):
+    """Turned or random weights give other texts, the fitted ones those of the marked articles."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    weights = html_text.fitted(spark.read.parquet(f"{sf}/pages.parquet"), 1000, "page_id", "html")
+    fine = [main_text(p, weights) for p in pages]
+    turned = html_text.Weights({k: -v for k, v in weights.odds.items()})
+    rng = random.Random(1)
+    chance = html_text.Weights({k: rng.uniform(-2, 2) for k in weights.odds})
+    marks = html_text.Weights(weights.odds | {"mark:in": -2.0, "mark:out": 2.0})
+    for other in (turned, chance, marks):
+        assert sum(a != main_text(p, other) for a, p in zip(fine, pages, strict=True)) > len(pages) / 2
+    unmarked = html_text.Weights(weights.odds | {"mark:in": 0.0, "mark:out": 0.0})
+    same = sum(a == main_text(p, unmarked) for a, p in zip(fine, pages, strict=True))
+    print(f"{same} of {len(pages)} pages have the same text without their mark")
+    assert same > 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>x ", "<div class=a>x</div>", '<span class="ad">', '<span class="ad">x</span>', '<span class="ad">x ', "<article>", "<article>x", "<p class=share>x", "<b>", "</div>", "<math>", "<script>", "<!--", "<a href='", "<ul><li>x"])
+def test_work_is_linear(piece):
+    page = piece * 40_000
+    began = time.process_time()
+    main_text(page)
+    html_text.counts(page)
+    assert time.process_time() - began < 8
+
+
 def test_table(spark):
     rows = [(k, "u", p, 0) for k, p in enumerate(PAGES)] + [(99, None, None, 0), (0, "u", next(iter(PAGES)), 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
