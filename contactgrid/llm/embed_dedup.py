@@ -29,10 +29,15 @@ from .common import connected_components, materialize
 _SEED = 20_011
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, of any finite rows but zero: powers of two bring the largest component near 1 first, so
+    that no square vanishes or overflows and nothing is rounded twice."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
-    x = np.array(column.to_list(), dtype=np.float64)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    return x / norm[:, None]
+    return _units(np.array(column.to_list(), dtype=np.float64))
 
 
 class _Forest:
@@ -73,7 +78,7 @@ def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray
     for dim in np.unique(dims).tolist():
         part = b.filter(pa.array(dims == dim))
         x = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        yield dim, part, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        yield dim, part, _units(x)
 
 
 def middles(distinct: DataFrame) -> dict[int, np.ndarray]:
@@ -100,7 +105,17 @@ def _keys(x: np.ndarray, middle: np.ndarray, dim: int, p: int, hash_bits: int) -
     return np.packbits((x - middle) @ planes > 0, axis=1)
 
 
-def near_passes(distinct: DataFrame, middle: dict[int, np.ndarray], threshold: float, passes: int, window: int, hash_bits: int) -> DataFrame:
+def with_passes(distinct: DataFrame, passes: int, rows: int) -> DataFrame:
+    """Adds `most_passes` of a label and length: `passes` up to `rows` vectors, and beyond in proportion to the cube
+    root of their number, as neighbours in a pass grow further apart the more lie between them; 62 at most."""
+    size = F.size("vec")
+    n = distinct.groupBy("label", size.alias("_dim")).agg(F.count("*").alias("_n"))
+    more = F.least(F.lit(62), F.greatest(F.lit(passes), F.ceil(passes * F.pow(F.col("_n") / rows, F.lit(1 / 3))))).cast("int")
+    n = n.select(F.col("label").alias("_label"), "_dim", more.alias("most_passes"))
+    return distinct.join(n, (F.col("label") == F.col("_label")) & (size == F.col("_dim"))).drop("_label", "_dim")
+
+
+def near_passes(distinct: DataFrame, middle: dict[int, np.ndarray], threshold: float, window: int, hash_bits: int) -> DataFrame:
     """(node, passes): the passes, as bits, in which a vector has a neighbour in its window that may link.
 
     Only hashes are sorted, not vectors: of two vectors that link, as many bits differ as their angle
@@ -114,9 +129,12 @@ def near_passes(distinct: DataFrame, middle: dict[int, np.ndarray], threshold: f
                 far = ((x - middle[dim]) ** 2).sum(axis=1)
                 share = np.arccos(np.clip(1 - reach / (2 * np.maximum(far, 1e-30)), -1, 1)) / np.pi
                 most = np.minimum(hash_bits, hash_bits * share + 4 * np.sqrt(hash_bits * share * (1 - share))).astype(np.int16)
-                for p in range(passes):
-                    keys = pa.array([k.tobytes() for k in _keys(x, middle[dim], dim, p, hash_bits)], type=pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, dtype=np.int8)), part.column("label"), pa.array(np.full(len(x), dim, dtype=np.int32)), keys, part.column("node"), pa.array(most)], names=["pass", "label", "dim", "key", "node", "most"])
+                passes = part.column("most_passes").to_numpy()
+                for p in range(passes.max()):
+                    at = np.flatnonzero(passes > p)
+                    own = part.take(pa.array(at)) if len(at) < len(x) else part
+                    keys = pa.array([k.tobytes() for k in _keys(x[at], middle[dim], dim, p, hash_bits)], type=pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, dtype=np.int8)), own.column("label"), pa.array(np.full(len(at), dim, dtype=np.int32)), keys, own.column("node"), pa.array(most[at])], names=["pass", "label", "dim", "key", "node", "most"])
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None  # the last rows of the batch before, so that a window runs on over batches
@@ -137,22 +155,22 @@ def near_passes(distinct: DataFrame, middle: dict[int, np.ndarray], threshold: f
             yield pd.DataFrame({"node": got["node"].astype("int64"), "passes": np.left_shift(1, got["pass"].astype("int64"))})
 
     label = distinct.schema["label"].dataType.simpleString()
-    keys = distinct.select("label", "node", "vec").mapInArrow(keyed, f"pass byte, label {label}, dim int, key binary, node long, most short")
+    keys = distinct.select("label", "node", "vec", "most_passes").mapInArrow(keyed, f"pass byte, label {label}, dim int, key binary, node long, most short")
     ordered = keys.repartitionByRange("pass", "label", "dim", "key").sortWithinPartitions("pass", "label", "dim", "key", "node")
     return ordered.mapInPandas(windows, "node long, passes long").groupBy("node").agg(F.bit_or("passes").alias("passes"))
 
 
-def pass_edges(distinct: DataFrame, threshold: float, passes: int, window: int, hash_bits: int) -> DataFrame:
+def pass_edges(distinct: DataFrame, threshold: float, passes: int, window: int, hash_bits: int, rows: int = 50_000) -> DataFrame:
     """(a, b) of node ids: spanning forests of the pairs that the windows of all passes verify.  A pass
     orders and compares the vectors that near_passes leaves in it."""
     middle = middles(distinct)
-    near = near_passes(distinct, middle, threshold, passes, window, hash_bits)
+    near = near_passes(with_passes(distinct, passes, rows), middle, threshold, window, hash_bits)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim, part, x in _by_dim(b):
                 which = part.column("passes").to_numpy()
-                for p in range(passes):
+                for p in range(int(which.max()).bit_length()):
                     at = np.flatnonzero(which >> p & 1)
                     if len(at):
                         keys = pa.array([k.tobytes() for k in _keys(x[at], middle[dim], dim, p, hash_bits)], type=pa.binary())
@@ -215,11 +233,12 @@ def count_links(members: DataFrame, threshold: float, block: int = 1024) -> Data
     return rows.groupBy("component", "i", "j").applyInPandas(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, passes: int = 16, window: int = 64, hash_bits: int = 128) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, passes: int = 16, window: int = 64, hash_bits: int = 128, pass_rows: int = 50_000) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of `vectors`.
 
     Vectors with equal, non-null labels link at a cosine of `threshold` or more, computed in double
-    precision.  component_id is the smallest id reachable, the row's own included; kept says that it
+    precision, of components of any size.  Labels of over `pass_rows` vectors take more passes than `passes`.
+    component_id is the smallest id reachable, the row's own included; kept says that it
     is the row's own.  Null, empty and zero vectors, null or non-finite components and null labels
     link with nothing: n_links 0, a component of their own.  Vectors of different lengths never link.
     Rows that repeat a vector (and label) link with each other.  A null id counts as a vector, has a

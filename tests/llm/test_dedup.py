@@ -154,3 +154,27 @@ def test_recall_of_planted_pairs(spark, common):
     assert (got <= want).all() and want.sum() >= 2000
     print("recall", got.sum() / want.sum())
     assert got.sum() >= 0.995 * want.sum()
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Components whose squares vanish or overflow are vectors like others, and disturb none."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 16))
+    near = base + rng.normal(0, 0.02, base.shape)
+    rows = [v * s for k in range(60) for v, s in ((base[k], 1.0), (near[k], (1.0, 1e-170, 1e170, 1e-300)[k % 4]))]
+    rows += [np.full(16, 5e-324), np.full(16, 1e308)]
+    frame = spark.createDataFrame([(k, r.tolist(), 1) for k, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    out = {r.id: r for r in embed_dedup.near_duplicates(frame).collect()}
+    u = np.array([np.array(r) / np.abs(r).max() for r in rows])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    assert want[:120].min() >= 1 and want[120:].tolist() == [1, 1]
+    assert [out[k].n_links for k in range(len(rows))] == want.tolist()
+    assert all(out[k].component_id == k - k % 2 for k in range(len(rows)))
+
+
+def test_passes_grow_with_a_label(spark):
+    frame = spark.createDataFrame([(k, [1.0, float(k)], "big" if k < 900 else "small") for k in range(1000)], "node long, vec array<float>, label string")
+    got = {(r.label, r.most_passes) for r in embed_dedup.with_passes(frame, 16, 100).select("label", "most_passes").distinct().collect()}
+    assert got == {("big", 34), ("small", 16)}
+    assert {r.most_passes for r in embed_dedup.with_passes(frame, 16, 1).collect()} == {62}
