@@ -55,6 +55,16 @@ _HOST = ("ip", "host", "server", "address", "adresse", "dirección", "login")
 _CARD = ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta", "payment")
 _BANK = ("iban", "account", "konto", "compte", "cuenta", "bank")
 _SSN = ("ssn", "social security", "tax id", "taxpayer")
+#: Lengths of account numbers by country, fixed values of the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+#: A number ends where its country says, whatever word follows; of other countries it is as long as can be.
+_IBAN = "|".join([*(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()), f"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}"])
 #: Found by form alone (with its checks), whatever the context: their own score passes the bar.
 #: Possessive runs match what greedy ones do here, since nothing after them could take their characters.
 BASE = (
@@ -64,7 +74,7 @@ BASE = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.6, 0.3, _CALL, "+"),
 )
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban, 0.7, 0.3, _BANK),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", _iban, 0.7, 0.3, _BANK),
     Kind("ssn", r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])", None, 0.3, 0.5, _SSN, "-"),
     Kind("tel", r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])", None, 0.3, 0.5, _CALL),
 )

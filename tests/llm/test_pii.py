@@ -47,6 +47,22 @@ def test_added_kinds(spark):
     assert kinds == {0: {"iban"}, 1: set(), 2: {"ssn"}, 3: set(), 4: {"tel"}, 5: set()}
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = {
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": "iban:5:32",
+        "DE89370400440532013000 BIC COBADEFFXXX": "iban:0:22",
+        "NO93 8601 1117 947 AND MORE": "iban:0:18",
+        "DE89 3704 0044 0532 0130 00": "iban:0:27",
+        "DE89 3704 0044 0532 0130 00X": "",
+        "DE88370400440532013000 BIC": "",
+        "DE8937040044053201300": "",
+        "ZZ33 1234 5678 9012 345": "iban:0:23",  # a country the registry lacks
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = pii.written(F.filter("pii_spans", lambda s: s["kind"] == "iban"))
+    assert {r.text: r.s for r in pii.with_spans(docs).select("text", spans.alias("s")).collect()} == texts
+
+
 def test_context_of_lists_and_behind(spark):
     many = "call " + ", ".join(["202-555-0123"] * 6)
     texts = {
