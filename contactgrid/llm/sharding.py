@@ -6,6 +6,9 @@ number of ranges.  What makes a range overfull is a text with very many copies:
 range and is subdivided by record, all others stay whole.  Ranges and pieces then go to the shards by
 exact sizes, the largest first to the shard that is emptiest.
 
+Within a range slots are counted in parts, to which records are dealt by a hash of id and text; only copies that
+share their id as well stay in one part.
+
 The driver sees the sample and the ranges, whose numbers are parameters whatever the input.  Slots are
 counted in parts of bounded bytes and rows, of which a large input has more, so no task holds a range.
 """
@@ -33,7 +36,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, size, text_crc32, key, salt), without the texts.  A null text has the key and checksum of
     an empty one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), record_size(F.col(text_col)).alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(17), F.col(id_col)).alias("salt"))
+    return docs.select(F.col(id_col).alias("id"), record_size(F.col(text_col)).alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(17), F.col(id_col), text).alias("salt"))
 
 
 def sampled_keys(records: DataFrame, draws: int, total: int, rows: int) -> list[tuple[int, float, float]]:
@@ -110,8 +113,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     same = lambda a, b: (a["range_id"] == b["range_id"]) & a["hot"].eqNullSafe(b["hot"])
     plans = F.broadcast(spark.createDataFrame(plan, "range_id int, hot long, split boolean, pieces int, parts int"))
     cut = placed.join(plans, same(placed, plans)).drop(plans["range_id"]).drop(plans["hot"])
-    by = F.xxhash64(F.when(F.col("split"), F.col("salt")).otherwise(F.col("key")), F.lit(5))
-    cut = cut.withColumns({"piece": F.pmod("salt", F.col("pieces")).cast("int"), "part": F.pmod(by, F.col("parts")).cast("int")}).drop("split", "pieces", "parts")
+    # parts go by the record, so that a text that is no hot one is cut as well where it has many copies
+    cut = cut.withColumns({"piece": F.pmod("salt", F.col("pieces")).cast("int"), "part": F.pmod(F.xxhash64("salt", F.lit(5)), F.col("parts")).cast("int")}).drop("split", "pieces", "parts")
     sums = cut.groupBy(*own).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     name = lambda r: (r.range_id, r.hot is not None, r.hot or 0, r.piece)
     shard_of = dealt([(name(r), r.bytes) for r in sums], shards)
