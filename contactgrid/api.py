@@ -11,7 +11,7 @@ from .matrix import ContactMatrix, fixed_bins
 from .operators import balance as B
 from .operators import coarsen, compare, intervals, objective, validate
 from .operators.tads import blocks, directionality, hierarchy, multires, nested, separation
-from .schema import MatrixError, Region, weight_is_divisive
+from .schema import MatrixError, Region
 from .sources import contacts, cool, hic, layout
 
 CALLERS = {
@@ -55,17 +55,21 @@ def dump(matrix: ContactMatrix, out: str, region: str | None = None, weight: str
 
 
 def normalize(matrix: ContactMatrix, method: str = "ice", name: str = "weight", policy: str = "store_final", ignore_dist: int | None = None, blacklist: DataFrame | None = None, **params) -> ContactMatrix:
-    """The matrix with a new column of multiplicative weights.  method: ice, kr, vc, vc_sqrt or objective.
+    """The matrix with a new column of multiplicative weights, with its options and outcome as attributes.
+    method: ice, kr, vc, vc_sqrt or objective.
 
     policy, if balancing doesn't settle: store_final, store_nan, discard or error.  blacklist: (chrom, start,
     end).  ignore_dist: base pairs next to the diagonal left out."""
+    known: dict = {"divisive_weights": 0}
     if ignore_dist is not None:
         params["ignore_diags"] = max(params.get("ignore_diags", 0), -(-ignore_dist // matrix.bin_size))
     if method in ("ice", "kr"):
         if method == "kr":
             params = {"ignore_diags": 0, "mad_max": 0, "min_nnz": 0} | params
         black = intervals.overlapping_bins(matrix, blacklist) if blacklist is not None else None
-        out, stats = B.balance(matrix, B.BalanceParams(**params), blacklist=black)
+        options = B.BalanceParams(**params)
+        out, stats = B.balance(matrix, options, blacklist=black)
+        known = B.attributes(options, stats)
         if not all(stats.converged):
             if policy == "error":
                 raise MatrixError("balancing did not settle")
@@ -79,7 +83,20 @@ def normalize(matrix: ContactMatrix, method: str = "ice", name: str = "weight",
         out = objective.normalize(matrix, objective.ObjectiveParams(**params))
     else:
         raise MatrixError(f"no method {method}")
-    return matrix.set_bin_column(name, out.withColumnRenamed("weight", "value"))
+    return matrix.set_bin_column(name, out.withColumnRenamed("weight", "value"), known)
+
+
+def normalized(matrix: ContactMatrix, name: str = "weight") -> bool:
+    """Whether the bins have that column."""
+    return name in matrix.bin_columns()
+
+
+def weight_lines(matrix: ContactMatrix, name: str = "weight") -> DataFrame:
+    """(bin_id, value): a column as text, a line for each bin, empty where it is masked."""
+    if not normalized(matrix, name):
+        raise MatrixError(f"no column {name}")
+    w = F.col(name)
+    return matrix.bins.select("bin_id", F.when(w.isNotNull() & ~F.isnan(w), w.cast("string")).otherwise("").alias("value"))
 
 
 def similarity(matrices: dict[str, ContactMatrix], metric: str = "scc", **options) -> DataFrame:
@@ -104,7 +121,7 @@ def to_hic(levels: dict[int, ContactMatrix], out: str, genome: str = "unknown",
         for r, m in wanted.items():
             rows = m.bins.orderBy("bin_id").select("chrom_id", F.col(w).alias("w")).toPandas()
             v = rows["w"].astype(float)
-            v = v if weight_is_divisive(w) else 1 / v
+            v = v if m.divisive(w) else 1 / v
             norms.setdefault(w, {})[r] = [np.asarray(v[rows["chrom_id"] == k]) for k in sorted(rows["chrom_id"].unique())]
     hic.write_hic(wanted, out, genome, None, norms)
 

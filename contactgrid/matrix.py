@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .schema import CORE_BIN_COLUMNS, MatrixError, Region, ceil_div, floor_div
+from .schema import CORE_BIN_COLUMNS, MatrixError, Region, ceil_div, floor_div, weight_is_divisive
 
 
 @dataclass(frozen=True)
@@ -57,16 +57,32 @@ class ContactMatrix:
         _, lo, hi = self.extent(region)
         return cis_block(self.pixels, lo, hi)
 
+    def rows_on_chromosome(self, region: Region) -> DataFrame:
+        """Pixels whose first bin lies in the region and whose second on the region's chromosome."""
+        _, lo, hi = self.extent(region)
+        _, first, last = self.extent(Region(region.chrom))
+        return row_band(self.pixels, lo, hi).where((F.col("bin2_id") >= first) & (F.col("bin2_id") < last))
+
     def bin_columns(self) -> list[str]:
         return [c for c in self.bins.columns if c not in CORE_BIN_COLUMNS]
 
-    def set_bin_column(self, name: str, values: DataFrame) -> ContactMatrix:
-        """Adds or replaces a weight column from values(bin_id, value); bins without one get null."""
+    def set_bin_column(self, name: str, values: DataFrame, attributes: dict | None = None) -> ContactMatrix:
+        """Adds or replaces a weight column from values(bin_id, value); bins without one get null.
+
+        attributes: numbers, texts or lists of them that are kept with the column, on disk as well."""
         if name in CORE_BIN_COLUMNS:
             raise MatrixError(f"{name} is a core column")
-        new = values.select("bin_id", F.col("value").cast("double").alias(name))
+        new = values.select("bin_id", F.col("value").cast("double").alias(name, metadata=attributes or {}))
         return replace(self, bins=self.bins.drop(name).join(new, "bin_id", "left"))
 
+    def column_attributes(self, name: str) -> dict:
+        """What is known of a column of the bins; nothing of one that isn't there."""
+        return dict(self.bins.schema[name].metadata) if name in self.bins.columns else {}
+
+    def divisive(self, name: str) -> bool | None:
+        """Whether counts are divided by a weight: its attribute says, or its name; None: neither does."""
+        return weight_is_divisive(name, self.column_attributes(name).get("divisive_weights"))
+
     def drop_bin_column(self, name: str) -> ContactMatrix:
         if name in CORE_BIN_COLUMNS:
             raise MatrixError(f"{name} is a core column")

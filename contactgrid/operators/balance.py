@@ -47,6 +47,16 @@ class BalanceStats:
     converged: list = field(default_factory=list)
 
 
+def attributes(p: BalanceParams, stats: BalanceStats) -> dict:
+    """What a balanced column is to be kept with: its options and how it went, one value for the genome or, by
+    chromosome, a list."""
+    one_or_all = lambda v: v[0] if len(v) == 1 else v
+    converged = [int(c) for c in stats.converged]
+    out = {"tol": p.tol, "min_nnz": p.min_nnz, "min_count": p.min_count, "mad_max": p.mad_max, "cis_only": int(p.cis_only), "ignore_diags": p.ignore_diags, "divisive_weights": 0}
+    went = {"scale": one_or_all(stats.scale), "var": one_or_all(stats.var), "converged": converged[0] if len(converged) == 1 else [float(c) for c in converged]}
+    return out | {k: v for k, v in went.items() if v != [] and v == v}
+
+
 def mad_mask(marg: DataFrame, mad_max: int, on_normalized: bool = False) -> DataFrame:
     """(bin_id, low): bins far under the median of the log marginals, each chromosome's by its median."""
     med = marg.where("marg > 0").groupBy("chrom_id").agg(F.median("marg").alias("med"))

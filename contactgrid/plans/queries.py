@@ -105,6 +105,13 @@ def region_rows(spark, sf_dir):
     return _m(spark, sf_dir).rows_in(Region.parse("EUROPE:2000-9050"))
 
 
+@query(with_base("""select p.* from pixels p join bins b on b.bin_id = bin2_id join chroms using (chrom_id)
+where name = 'EUROPE' and bin1_id >= (select first_bin + 20 from offs where name = 'EUROPE') and bin1_id < (select first_bin + 91 from offs where name = 'EUROPE')"""))
+def region_on_chromosome(spark, sf_dir):
+    """Pixels of a region's rows within its chromosome."""
+    return _m(spark, sf_dir).rows_on_chromosome(Region.parse("EUROPE:2000-9050"))
+
+
 @query(with_base("""select bins.* from bins join chroms using (chrom_id) where name = 'EUROPE' and start < 9050 and "end" > 2000"""))
 def bins_in_region(spark, sf_dir):
     return _m(spark, sf_dir).bins_in(Region.parse("EUROPE:2000-9050"))

@@ -217,15 +217,16 @@ def stored_index(spark: SparkSession, path: str, resolution: int | None = None)
 
 
 def open_cool(spark: SparkSession, path: str, resolution: int | None = None) -> ContactMatrix:
-    """The matrix of a file, or of a resolution of a file of many.  Further columns of the bins are its weights;
-    what is no number there is null."""
+    """The matrix of a file, or of a resolution of a file of many.  Further columns of the bins are its weights,
+    with their attributes; what is no number there is null."""
     with hdf5.open_file(path) as f:
         node = _group(f, resolution)
         names, lengths = _whole(f, node, "chroms/name"), _whole(f, node, "chroms/length")
         size = node.attributes().get("bin-size")
+        kept = {c: node.child(f"bins/{c}").attributes() for c in node.child("bins").members()}
     rows = [(k, str(n), int(length)) for k, (n, length) in enumerate(zip(names, lengths, strict=True))]
     chroms = spark.createDataFrame(rows, "chrom_id int, name string, length int")
     bins = read_table(spark, path, "bins", resolution).withColumnRenamed("row", "bin_id")
     weights = [c for c in bins.columns if c not in CORE_BIN_COLUMNS]
-    bins = bins.select(*CORE_BIN_COLUMNS, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in weights))
+    bins = bins.select(*CORE_BIN_COLUMNS, *(F.when(~F.isnan(c), F.col(c)).alias(c, metadata=kept.get(c, {})) for c in weights))
     return ContactMatrix(chroms, bins, stored_pixels(spark, path, resolution), int(size) if size is not None else None)

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.formats import format_count
 from ..matrix import ContactMatrix, annotate, bin1_offset, canonical, chrom_offsets
-from ..schema import MatrixError, weight_is_divisive
+from ..schema import MatrixError
 
 FORMAT, VERSION = "contact-matrix", 1
 
@@ -51,6 +51,7 @@ def write_matrix(matrix: ContactMatrix, path: str, merge: bool = True, mode: str
     stored = spark.read.parquet(f"{path}/pixels")
     file_index(stored).coalesce(1).write.mode(mode).parquet(f"{path}/indexes/files")
     bin1_offset(matrix.bins, stored).repartitionByRange("bin_id").sortWithinPartitions("bin_id").write.mode(mode).parquet(f"{path}/indexes/bin1_offset")
+    matrix.bins.groupBy("chrom_id").agg(F.min("bin_id").alias("first_bin"), F.count("*").alias("n_bins")).coalesce(1).write.mode(mode).parquet(f"{path}/indexes/chrom_offset")
     nnz = stored.count()
     meta = [(FORMAT, VERSION, "fixed" if matrix.bin_size else "variable", matrix.bin_size, "symmetric-upper", matrix.chroms.count(), n, nnz)]
     schema = "format string, version int, bin_type string, bin_size long, storage string, nchroms long, nbins long, nnz long"
@@ -93,9 +94,13 @@ def index_issues(spark: SparkSession, path: str) -> DataFrame:
 
     stored = spark.read.parquet(f"{path}/pixels")
     out = index_issues(spark.read.parquet(f"{path}/indexes/bin1_offset"), spark.read.parquet(_bins_path(spark, path)), stored)
-    right, held = file_index(stored), spark.read.parquet(f"{path}/indexes/files")
-    wrong = right.exceptAll(held).unionByName(held.exceptAll(right)).select("file").distinct()
-    return out.unionByName(wrong.select(F.lit("files").alias("check"), F.col("file").alias("detail")))
+    bins = spark.read.parquet(_bins_path(spark, path))
+    chroms = bins.groupBy("chrom_id").agg(F.min("bin_id").alias("first_bin"), F.count("*").alias("n_bins"))
+    for name, right, key in (("files", file_index(stored), "file"), ("chrom_offset", chroms, "chrom_id")):
+        held = spark.read.parquet(f"{path}/indexes/{name}")
+        wrong = right.exceptAll(held).unionByName(held.exceptAll(right)).select(F.col(key).cast("string").alias("detail")).distinct()
+        out = out.unionByName(wrong.select(F.lit(name).alias("check"), "detail"))
+    return out
 
 
 def read_matrix(spark: SparkSession, path: str) -> ContactMatrix:
@@ -173,7 +178,7 @@ def pixel_text(matrix: ContactMatrix, pixels: DataFrame | None = None, coordinat
             raise MatrixError(f"no column {weight}")
         from ..operators.balance import apply_weights
 
-        px = apply_weights(ContactMatrix(matrix.chroms, matrix.bins, px, matrix.bin_size), weight, bool(weight_is_divisive(weight)))
+        px = apply_weights(ContactMatrix(matrix.chroms, matrix.bins, px, matrix.bin_size), weight, bool(matrix.divisive(weight)))
         px = px.select("bin1_id", "bin2_id", F.coalesce("balanced", F.lit(float("nan"))).alias("count"))
     left = ["bin1_id", "bin2_id"]
     if coordinates:

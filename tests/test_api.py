@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from contactgrid import api
@@ -41,6 +43,43 @@ def test_normalize_and_dump(spark, stored, tmp_path):
     assert len(rows) == 3 and all(len(r) == 7 for r in rows)
 
 
+def test_columns_keep_their_attributes(spark, stored, tmp_path):
+    m = api.open_matrix(spark, stored)
+    assert not api.normalized(m) and m.column_attributes("weight") == {}
+    with pytest.raises(MatrixError):
+        api.weight_lines(m)
+    m = api.normalize(m, "ice", max_iters=2, tol=1e9, mad_max=0, min_nnz=0, cis_only=True)
+    kept = m.column_attributes("weight")
+    assert kept["cis_only"] == 1 and kept["converged"] == [1.0, 1.0] and len(kept["scale"]) == 2 and m.divisive("weight") is False
+    layout.write_matrix(m, str(tmp_path / "m"))
+    back = api.open_matrix(spark, str(tmp_path / "m"))
+    assert back.column_attributes("weight") == kept and api.normalized(back)
+    odd = back.set_bin_column("mine", back.bins.selectExpr("bin_id", "if(bin_id = 3, null, 0.5) as value"), {"divisive_weights": 1})
+    assert odd.divisive("mine") is True and odd.divisive("other") is None and odd.divisive("KR") is True
+    assert [r.value for r in api.weight_lines(odd, "mine").orderBy("bin_id").limit(5).collect()] == ["0.5", "0.5", "0.5", "", "0.5"]
+
+
+def test_stored_indexes_are_checked(spark, tmp_path):
+    path = str(tmp_path / "m")
+    layout.write_matrix(toy_matrix(spark, domains=4, width=10), path)
+    assert layout.stored_rows(spark, path, 5, 5).count() == 0 and layout.stored_rows(spark, path, 0, 10**6).count() == 1560
+    rows = layout.stored_rows(spark, path, 7, 19).orderBy("row").collect()
+    assert [r.row for r in rows] == list(range(7, 19)) and rows == sorted(rows, key=lambda r: (r.bin1_id, r.bin2_id))
+    with pytest.raises(MatrixError):
+        layout.indexed_rows(spark, path, 0, 10**6)
+    assert api.check(spark, path).count() == 0
+    spark.createDataFrame([(0, 0, 40), (1, 41, 40)], "chrom_id int, first_bin long, n_bins long").write.mode("overwrite").parquet(f"{path}/indexes/chrom_offset")
+    assert [(r.check, r.detail) for r in api.check(spark, path).collect()] == [("chrom_offset", "1")]
+
+
+def test_scratch_tables_are_removed(spark):
+    from contactgrid.plans import scratch
+
+    kept = scratch.materialize(spark.range(3), "some")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and scratch.clear(spark) >= 1 and not os.path.exists(path) and scratch.clear(spark) == 0
+
+
 def test_load(spark, tmp_path):
     (tmp_path / "d.txt").write_text("1 2\n0 3\n")
     m = api.load(spark, str(tmp_path / "d.txt"), str(tmp_path / "out"), "c", 20, 10)

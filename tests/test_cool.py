@@ -58,6 +58,7 @@ def test_one_matrix(spark, tmp_path, new, filters, chrom):
     m = cool.open_cool(spark, path)
     assert m.bin_size == SIZE
     check(m)
+    assert m.column_attributes("weight") == {"scale": 2.5, "ignore_diags": 2} and m.divisive("weight") is False
     assert cool.attributes(path)["format-version"] == 3
     assert cool.attributes(path, dataset="bins/weight") == {"scale": 2.5, "ignore_diags": 2} and cool.attributes(path, dataset="bins/none") == {}
 
