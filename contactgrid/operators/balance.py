@@ -187,9 +187,10 @@ def balance(matrix: ContactMatrix, p: BalanceParams = BalanceParams(), x0: DataF
     state = {k: {"scale": 1.0, "var": 0.0, "done": False} for k in keys}
     for _ in range(p.max_iters):
         weights = bias.join(F.broadcast(share), "chrom_id").withColumn("w", F.col("bias") * F.col("share")) if share is not None else bias.withColumn("w", F.col("bias"))
-        marg = full_marginal(bias, weighted_marginal(tiles, weights))
-        marg = written(marg, "marginal")
-        table = {(r.chrom_id if by else None): (r.mean, r.var) for r in nonzero_mean_var(marg, *by).collect()}
+        # one table a round holds biases and marginals, which the next biases follow from without a join
+        step = bias.join(weighted_marginal(tiles, weights), "bin_id", "left").withColumn("marg", F.coalesce("marg", F.lit(0.0)))
+        step = written(step, "marginal")
+        table = {(r.chrom_id if by else None): (r.mean, r.var) for r in nonzero_mean_var(step, *by).collect()}
         active = []
         for k in keys:
             if state[k]["done"]:
@@ -201,14 +202,13 @@ def balance(matrix: ContactMatrix, p: BalanceParams = BalanceParams(), x0: DataF
                 state[k] = {"scale": mean, "var": var, "done": var < p.tol}
                 active.append((k, mean))
         dead = [k for k in keys if state[k]["scale"] != state[k]["scale"]]
-        step = bias.join(marg.select("bin_id", "marg"), "bin_id")
         if by:
             means = F.coalesce(*(F.when(F.col("chrom_id") == k, F.lit(m)) for k, m in active), F.lit(None).cast("double"))
         else:
             means = F.lit(active[0][1] if active else None).cast("double")
         rel = F.when(F.col("marg") == 0, 1.0).otherwise(F.col("marg") / F.col("mean"))
         step = step.withColumn("mean", means).withColumn("bias", F.when(F.col("mean").isNotNull(), F.col("bias") / rel).otherwise(F.col("bias")))
-        bias = written(step.select("bin_id", "chrom_id", "bias"), "bias")
+        bias = step.select("bin_id", "chrom_id", "bias")
         if dead and (not by or len(dead) == len(keys)) or all(s["done"] for s in state.values()):
             break
     scale: Column = F.lit(1.0)
