@@ -29,64 +29,77 @@ from .tokens import library_encoder
 
 MAGIC = b"RPG1"
 _HASH = np.uint32(0x9E3779B1)
-_BUCKETS = 20
+_BUCKETS = 18
+#: So many symbols are looked up at a time: what is made of them stays in the processor's cache.
+_STEP = 1 << 15
+#: Stands for any two symbols of different documents.
+_CROSS = np.uint32(0xFFFFFFFF)
+#: Documents are expanded together in runs of about so many symbols.
+_RUN = 1 << 16
 
 
 def grammar(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 6, least: int = 8, top: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, symbol_ends) of u16 ids below `first`; ends: of each document in ids.  A pair is
-    replaced if it stands `least` times; symbols stay below `top`."""
-    s = ids.astype(np.uint16)
-    last = np.zeros(len(s), dtype=bool)
-    last[ends[np.diff(np.concatenate([[0], ends])) > 0] - 1] = True
+    replaced if it stands `least` times, two or more; symbols stay below `top`."""
+    s, ends = ids.astype(np.uint16), ends.astype(np.int64)
     rules: list[np.ndarray] = []
     made = 0
     for turn in range(rounds):
         room = top - first - made
         if len(s) < 2 * least or room <= 0:
             break
-        pair = s[:-1].astype(np.uint32) << np.uint32(16) | s[1:]
-        # pairs are counted in buckets; a bucket stands for one of its pairs, whose exact count follows.
-        # Another multiplier each round, so that a pair hidden behind another one comes up later.
-        bucket = ((pair * (_HASH + np.uint32(2 * turn))) >> np.uint32(32 - _BUCKETS)).astype(np.intp)
-        inner = ~last[:-1]
-        often = np.bincount(bucket, minlength=1 << _BUCKETS) >= least
-        at = np.flatnonzero(often[bucket] & inner)
-        own, found = bucket[at], pair[at]
-        stands = np.zeros(1 << _BUCKETS, dtype=np.uint32)
-        stands[own] = found
-        same = stands[own] == found
-        n = np.bincount(own[same], minlength=1 << _BUCKETS)
-        good = np.flatnonzero(n >= least)
+        pair = s[:-1].astype(np.uint32)
+        pair <<= np.uint32(16)
+        pair |= s[1:]
+        # what crosses the end of a document counts as one pair, which is never replaced
+        cross = ends[(ends > 0) & (ends < len(s))] - 1
+        pair[cross] = _CROSS
+        # sorted, a pair's places lie side by side: where a pair is the same `least` - 1 places on, it stands often enough
+        runs = np.sort(pair)
+        same = np.zeros(len(runs) - least + 3, dtype=bool)
+        same[1:-1] = runs[least - 1 :] == runs[: len(runs) - least + 1]
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        often, n = runs[edges[::2]], edges[1::2] - edges[::2] + least - 1
+        often, n = often[often != _CROSS], n[often != _CROSS]
         # a round takes the most frequent part of its pairs: their uses change the counts of the others
-        good = good[np.argsort(-n[good], kind="stable")[: min(room, max(64, len(good) // 2))]]
-        if not len(good):
+        chosen = np.sort(often[np.argsort(-n, kind="stable")[: min(room, max(64, len(often) // 2))]])
+        if not len(chosen):
             break
-        good = good[np.argsort(stands[good])]
-        chosen = stands[good]
-        rule = np.full(1 << _BUCKETS, -1, dtype=np.int32)
-        rule[good] = np.arange(len(good))
-        where = rule[own]
-        hit = same & (where >= 0)
-        at, where = at[hit], where[hit]
-        # in a run of overlapping pairs every other one is taken, from the left
-        fresh = np.concatenate([[True], np.diff(at) > 1])
-        step = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        take = step % 2 == 0
-        at, where = at[take], where[take]
-        s[at] = (where + first + made).astype(np.uint16)
-        last[at] = last[at + 1]
-        keep = np.ones(len(s), dtype=bool)
-        keep[at + 1] = False
-        s, last = s[keep], last[keep]
+        # pairs are looked up in buckets; of two pairs of a bucket one waits for the next round, which has another multiplier
+        multiplier = _HASH + np.uint32(2 * turn)
+        bucket = (chosen * multiplier) >> np.uint32(32 - _BUCKETS)
+        rule = np.zeros(1 << _BUCKETS, dtype=np.uint16)
+        rule[bucket] = np.arange(len(chosen))
+        alone = rule[bucket] == np.arange(len(chosen))
+        chosen, bucket = chosen[alone], bucket[alone]
+        rule[:] = 0
+        rule[bucket] = np.arange(1, len(chosen) + 1)
+        keep, gone = np.ones(len(s), dtype=bool), []
+        for lo in range(0, len(pair), _STEP):
+            own = pair[lo : lo + _STEP]
+            found = rule[(own * multiplier) >> np.uint32(32 - _BUCKETS)]
+            at = np.flatnonzero(found)
+            which = found[at] - np.uint16(1)
+            hit = chosen[which] == own[at]
+            hit[: int(len(at) > 0 and at[0] == 0 and not keep[lo])] = False  # its first symbol is used already
+            at, which = at[hit], which[hit]
+            # in a run of overlapping pairs every other one is taken, from the left
+            near = np.flatnonzero(at[1:] - at[:-1] == 1) + 1
+            count = np.arange(len(near))
+            step = count - np.maximum.accumulate(np.where(np.diff(near, prepend=-1) > 1, count, 0))
+            take = np.ones(len(at), dtype=bool)
+            take[near[step % 2 == 0]] = False
+            at = at[take] + lo
+            s[at] = which[take] + np.uint16(first + made)
+            gone.append(at + 1)
+            keep[gone[-1]] = False
+        s = s[keep]
+        ends = ends - np.searchsorted(np.concatenate(gone), ends)
         rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1).astype(np.uint16))
         made += len(chosen)
-        if len(at) < len(s) // 200:
+        if len(keep) - len(s) < len(s) // 200:
             break
-    all_rules = np.concatenate([np.zeros((0, 2), np.uint16), *rules])
-    filled = np.diff(np.concatenate([[0], ends])) > 0
-    symbol_ends = np.zeros(len(ends), dtype=np.int64)
-    symbol_ends[filled] = np.flatnonzero(last) + 1
-    return s, all_rules, np.maximum.accumulate(symbol_ends) if len(ends) else symbol_ends
+    return s, np.concatenate([np.zeros((0, 2), np.uint16), *rules]), ends
 
 
 def pack(docs: list[np.ndarray], first: int) -> bytes:
@@ -94,12 +107,12 @@ def pack(docs: list[np.ndarray], first: int) -> bytes:
     counts = np.array([len(d) for d in docs], dtype=np.uint32)
     ids = np.concatenate([np.zeros(0, np.uint16), *docs])
     symbols, rules, ends = grammar(ids, np.cumsum(counts, dtype=np.int64), first)
-    lengths = np.ones(first + len(rules), dtype=np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[first + k] = lengths[a] + lengths[b]
+    lengths = [1] * first
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
     head = np.array([len(docs), len(rules), len(symbols), first], dtype="<u4")
     starts = np.concatenate([[0], ends]).astype("<u4")
-    return b"".join([MAGIC, head.tobytes(), rules.astype("<u2").tobytes(), lengths[first:].astype("<u4").tobytes(), starts.tobytes(), counts.astype("<u4").tobytes(), symbols.astype("<u2").tobytes()])
+    return b"".join([MAGIC, head.tobytes(), rules.astype("<u2").tobytes(), np.array(lengths[first:], dtype="<u4").tobytes(), starts.tobytes(), counts.astype("<u4").tobytes(), symbols.astype("<u2").tobytes()])
 
 
 class Shard:
@@ -127,12 +140,14 @@ class Shard:
             offsets = np.concatenate([[0], np.cumsum(self.lengths)])
             flat = np.zeros(offsets[-1], dtype=np.uint16)
             flat[: self.first] = np.arange(self.first)
-            at = offsets.tolist()
-            for k, (a, b) in enumerate(self.rules.tolist(), self.first):
-                middle = at[k] + at[a + 1] - at[a]
-                flat[at[k] : middle] = flat[at[a] : at[a + 1]]
-                flat[middle : at[k + 1]] = flat[at[b] : at[b + 1]]
             self._flat = flat, offsets[:-1]
+            # rules that only use symbols from before the first of them are expanded at once
+            top, at = self.rules.max(axis=1, initial=0), 0
+            while at < len(top):
+                late = top[at:] >= self.first + at
+                to = at + int(np.argmax(late)) if late.any() else len(top)
+                flat[offsets[self.first + at] : offsets[self.first + to]] = self.expand(self.rules[at:to].ravel())
+                at = to
         return self._flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -159,7 +174,13 @@ class Shard:
         return symbol
 
     def all(self) -> list[np.ndarray]:
-        return [self.document(k) for k in range(len(self.counts))]
+        docs, lo = [], 0
+        while lo < len(self.counts):
+            hi = max(lo + 1, int(np.searchsorted(self.starts, self.starts[lo] + _RUN, side="right")) - 1)
+            ids = self.expand(self.symbols[self.starts[lo] : self.starts[hi]])
+            docs += np.split(ids, np.cumsum(self.counts[lo:hi])[:-1])
+            lo = hi
+        return docs
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20, added: bool = False) -> None:

@@ -25,6 +25,8 @@ _BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 #: Texts that aren't cut at every space alike: a space after white space, and the mark that is put in for lines.
 _LOOSE = rf"[{_BLANK}] |\x00"
 _LINE, _CUT_LINE = rf"([^{_BLANK}])\n", "\\1 \x00\n"
+#: Common marks after a letter or digit begin a match of their own, so they are cut off too: a word is one unit with and without them.
+_MARK, _CUT_MARK = r"([\pL\pN])([.,;:!?])", "\\1 \x00\\2"
 _UNITS = re.compile(r"\s*\S+|\s+")
 #: Marks that stand alone at the end of a word under the pattern.
 _MARKS = frozenset(".,;:!?")
@@ -122,10 +124,10 @@ class UnitEncoder:
 
     def _words(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Of texts whose units are the words with the one space before them, but for the first, and
-        those that begin with a line's end."""
+        those that begin with a line's end or a mark."""
         if not len(texts):
             return
-        split = pc.split_pattern(pc.replace_substring_regex(texts, _LINE, _CUT_LINE), " ")
+        split = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring_regex(texts, _MARK, _CUT_MARK), _LINE, _CUT_LINE), " ")
         starts = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         first = _strings(split.flatten().take(pa.array(starts[:-1])))

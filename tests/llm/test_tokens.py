@@ -41,6 +41,24 @@ def test_caches_are_bounded():
         assert max(map(len, (encode.known, encode.older, encode.spaced, encode.older_spaced))) < 50 + 4 * 20
 
 
+def test_a_word_is_one_unit_with_and_without_marks():
+    made = []
+    encode = UnitEncoder(lambda piece: made.append(piece) or [len(piece)], P.PATTERN)
+    marked = [f"{w}{m}" for w in ("one", "Ünd", "12") for m in ("", *".,;:!?")]
+    got = encode("x " + " ".join(marked)).tolist()
+    assert got == [len(m) for m in encode.matches("x " + " ".join(marked))]
+    assert sorted(made) == sorted(["x", " x", " one", " Ünd", " 12", *".,;:!?"])
+    assert sorted(encode.spaced) == sorted(["x", "one", "Ünd", "12", *(f"\0{m}" for m in ".,;:!?")])
+
+
+def test_marks_after_every_letter_as_the_library():
+    tok = Tokenizer.from_file(PATH)
+    letters = [c for c in map(chr, range(1, 0x110000)) if c.isalnum() or ord(c) < 0x3000 and not c.isspace()]
+    texts = [" ".join(f"a{c},x {c}. {c};\n{c}9?!" for c in letters[k : k + 512]) for k in range(0, len(letters), 512)]
+    encode = library_encoder(PATH, added=True)
+    assert [x.tolist() for x in encode.batch(pa.array(texts))] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame([(k, t, 0) for k, t in TEXTS.items()], "doc_id long, text string, start int")
@@ -84,6 +102,31 @@ def test_grammar_shortens_repeats():
     assert len(token_files.Shard(token_files.pack(docs, 100)).symbols) < 2000
 
 
+@pytest.mark.parametrize(("step", "buckets", "run"), [(1, 1, 1), (2, 3, 2), (3, 18, 5), (1 << 15, 2, 1 << 16)])
+def test_grammar_in_any_steps(monkeypatch, step, buckets, run):
+    """Runs of one symbol over the ends of steps, pairs that share a bucket, empty documents."""
+    for name, value in (("_STEP", step), ("_BUCKETS", buckets), ("_RUN", run)):
+        monkeypatch.setattr(token_files, name, value)
+    rng = np.random.default_rng(step)
+    for _ in range(40):
+        many = [np.repeat(rng.integers(0, 3, rng.integers(0, 20)), rng.integers(1, 9)).astype(np.uint16) for _ in range(rng.integers(0, 9))]
+        shard = token_files.Shard(token_files.pack(many, 3))
+        assert [d.tolist() for d in shard.all()] == [d.tolist() for d in many]
+        assert all(shard.document(k).tolist() == d.tolist() for k, d in enumerate(many))
+
+
+def test_grammar_takes_pairs_that_stand_often_and_none_over_an_end():
+    docs = [np.array(d, dtype=np.uint16) for d in [[0, 1, 2], [3, 0, 1]] * 8 + [[4, 5]] * 7]
+    ends = np.cumsum([len(d) for d in docs])
+    symbols, rules, symbol_ends = token_files.grammar(np.concatenate(docs), ends, 6, rounds=1)
+    assert rules.tolist() == [[0, 1], [1, 2], [3, 0]]
+    assert symbols.tolist() == [6, 2, 8, 1] * 8 + [4, 5] * 7
+    assert symbol_ends.tolist() == list(range(2, len(symbols) + 1, 2))
+    ids = np.full(4000, 65535, dtype=np.uint16)
+    symbols, rules, _ = token_files.grammar(ids, np.array([4000]), 1 << 16)
+    assert symbols.tolist() == ids.tolist() and not len(rules)
+
+
 @pytest.mark.parametrize("block_ids", [1, 3, 64, 1 << 19])
 def test_counts(spark, docs, ids, tmp_path, block_ids):
     path = str(tmp_path / "flat")
