@@ -20,6 +20,25 @@ def average_ranks(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def smaller_before(ranks: np.ndarray) -> np.ndarray:
+    """How many before each of ranks, 0 to n - 1 in any order, are smaller.
+
+    Bit by bit from the highest, ranks stand in groups that agree in the bits above, each in the order given:
+    a rank with the bit set passes those of its group before it without."""
+    v = ranks = np.asarray(ranks, dtype=np.int64)
+    place, out = np.arange(len(v)), np.zeros(len(v), np.int64)
+    for bit in reversed(range(max(len(v) - 1, 0).bit_length())):
+        high = (v >> bit & 1).astype(bool)
+        group = v >> bit + 1 << bit + 1
+        low = np.cumsum(~high) - ~high
+        low -= low[group]
+        out[v[high]] += low[high]
+        v_next = np.empty_like(v)
+        v_next[np.where(high, place - low + (1 << bit), group + low)] = v
+        v = v_next
+    return out[ranks]
+
+
 def ranksum_p(x: np.ndarray, y: np.ndarray) -> float:
     """Two-sided p of the rank-sum test in normal approximation, without a correction for ties."""
     a, b = len(x), len(y)

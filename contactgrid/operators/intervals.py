@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from ..functions.ranks import smaller_before
 from ..matrix import ContactMatrix
+from ..plans.scratch import materialize
 from ..schema import MatrixError, ceil_div, floor_div
 from .marginals import rows_before
 
@@ -76,23 +85,55 @@ def overlap_counts(intervals: DataFrame) -> DataFrame:
     return d.join(started, ["chrom", "end"]).join(ended, ["chrom", "start"]).select("chrom", "start", "end", (F.col("started") - F.col("ended") - 1).alias("n"))
 
 
-def nesting_levels(domains: DataFrame) -> DataFrame:
-    """domains(chrom, start, end) with level, the number of other domains that hold them.
-
-    A holder lies in the two cells of its own width, rounded up to a power of two, that it can start in or
-    reach; a domain looks in its cell of every width from its own up.  So a long domain is held against
-    what lies within twice its width, and doesn't set the cells of the short ones."""
-    d = domains.select("chrom", "start", "end").distinct()
-    level = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
-    d = d.withColumn("w", level)
-    top = d.groupBy("chrom").agg(F.max("w").alias("top"))
-    cell = lambda w: floor_div(F.col("start"), F.pow(F.lit(2.0), w))
-    holders = d.select("chrom", "w", F.explode(F.array(cell(F.col("w")), cell(F.col("w")) + 1)).alias("cell"), F.col("start").alias("qs"), F.col("end").alias("qe"))
-    own = d.join(F.broadcast(top), "chrom").select("chrom", "start", "end", F.explode(F.sequence("w", "top")).alias("w"))
-    own = own.withColumn("cell", cell(F.col("w")))
-    inside = (F.col("qs") <= F.col("start")) & (F.col("qe") >= F.col("end")) & ((F.col("qs") < F.col("start")) | (F.col("qe") > F.col("end")))
-    hits = own.join(holders, ["chrom", "w", "cell"]).where(inside).groupBy("chrom", "start", "end").agg(F.count("*").alias("level"))
-    return d.select("chrom", "start", "end").join(hits, ["chrom", "start", "end"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+def nesting_levels(domains: DataFrame, rows: int = 1 << 17) -> DataFrame:
+    """domains(chrom, start, end) with level, the number of other domains that hold them; 0 where one of the three
+    is null.
+
+    The holders of a domain are those before it both by (chrom, start, end), ends falling, and by (chrom, end,
+    start), chromosomes and ends falling.  Each order is dealt to ranges of about `rows` domains, which ties can't
+    make larger.  Holders in a domain's range of the first order are counted in its task, those in an earlier range
+    of the first and its own of the second in a task of that, and those in earlier ranges of both by sums over a
+    table of ranges by ranges.  So nothing grows with the pairs."""
+    d = materialize(domains.select("chrom", "start", "end").distinct(), "nesting-domains")
+    null = F.col("chrom").isNull() | F.col("start").isNull() | F.col("end").isNull()
+    known = d.where(~null)
+    parts = max(1, -(-known.count() // rows))
+
+    def same_first(t: pa.Table) -> np.ndarray:
+        chrom, end = t.column("chrom").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("end").to_numpy()
+        return np.lexsort((-np.arange(len(t)), end, chrom))[::-1]
+
+    def same_second(t: pa.Table) -> np.ndarray:
+        return np.lexsort((-np.arange(len(t)), t.column("_first").to_numpy()))
+
+    placed = _counted_in_ranges(known, parts, ["chrom", "start", F.desc("end")], "_first", same_first)
+    placed = _counted_in_ranges(placed, parts, [F.desc("chrom"), F.desc("end"), "start"], "_second", same_second)
+    cells = placed.groupBy("_first", "_second").agg(F.count("*").alias("_n"))
+    grid = cells.select("_first").distinct().crossJoin(cells.select("_second").distinct()).join(cells, ["_first", "_second"], "left")
+    before = lambda x, by, order: F.coalesce(F.sum(x).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grid = grid.withColumn("_along", before("_n", "_first", "_second")).withColumn("_before", before("_along", "_second", "_first"))
+    grid = materialize(grid.where("_n is not null").select("_first", "_second", "_before"), "nesting-ranges")
+    level = (F.col("_in_first") + F.col("_in_second") + F.col("_before")).alias("level")
+    out = placed.join(grid, ["_first", "_second"]).select("chrom", "start", "end", level)
+    return out.unionByName(d.where(null).withColumn("level", F.lit(0).cast("long")))
+
+
+def _counted_in_ranges(d: DataFrame, parts: int, order: list[str | Column], name: str, ranking: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """d in ranges of `order`, written to the shared folder, with the number of its range and, in _in`name`, how many
+    are before a row in its range both by `order` and by `ranking`, which sorts a range's rows."""
+    ranged = d.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = T.StructType([*ranged.schema.fields, T.StructField(name, T.IntegerType()), T.StructField(f"_in{name}", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if got:
+            t = pa.Table.from_batches(got)
+            ranks = np.empty(len(t), np.int64)
+            ranks[ranking(t)] = np.arange(len(t))
+            part = np.full(len(t), TaskContext.get().partitionId(), np.int32)
+            yield from t.append_column(name, pa.array(part)).append_column(f"_in{name}", pa.array(smaller_before(ranks))).to_batches()
+
+    return materialize(ranged.mapInArrow(run, schema), "nesting-order")
 
 
 def reciprocal(edges: DataFrame) -> DataFrame:

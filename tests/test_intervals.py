@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -62,3 +63,29 @@ def test_all_orders(spark, sf):
     diagonal = [ids[r.bin1_id] for r in QUERIES["pixels_table"](spark, sf).where("bin1_id = bin2_id").collect()]
     finest = {c: min((i % 3, i) for c2, i in diagonal if c2 == c)[1] for c, _ in diagonal}
     assert dict(rows("finest_resolution")) == finest
+
+
+@pytest.mark.parametrize("rows", [3, 64, 1 << 17])
+def test_levels_as_brute_force(spark, rows):
+    """Shared starts and ends, ends before starts, repeated rows and nulls, in few and in many ranges."""
+    rng = random.Random(6)
+    iv = {(rng.choice("abc"), s, s + rng.choice((-60, 0, 1, 3, 40, 400))) for s in (rng.randint(-50, 50) for _ in range(200))}
+    holds = lambda b, a: b[0] == a[0] and b != a and b[1] <= a[1] and b[2] >= a[2]
+    want = {a: sum(holds(b, a) for b in iv) for a in iv}
+    odd = {(None, 0, 9), ("a", None, 9), ("a", 0, None), (None, None, None)}
+    frame = spark.createDataFrame([*iv, *sorted(iv)[:50], *odd, *odd], "chrom string, start long, end long")
+    got = [tuple(r) for r in intervals.nesting_levels(frame, rows).collect()]
+    assert len(got) == len(iv) + len(odd) and {r[:3]: r[3] for r in got} == want | dict.fromkeys(odd, 0)
+    assert intervals.nesting_levels(frame.limit(0), rows).collect() == []
+
+
+def test_levels_of_deep_nests(spark):
+    """60,000 domains each in all before it, and 60,000 of one start: 3.6 billion pairs."""
+    n = 60_000
+    nest = spark.range(n).select(F.lit("nest").alias("chrom"), F.col("id").alias("start"), (3 * n - F.col("id")).alias("end"))
+    fan = spark.range(n).select(F.lit("fan").alias("chrom"), F.lit(5).cast("long").alias("start"), (6 + F.col("id")).alias("end"))
+    began = time.time()
+    got = intervals.nesting_levels(nest.unionByName(fan), 1 << 13)
+    right = F.when(F.col("chrom") == "nest", F.col("start")).otherwise(5 + n - F.col("end"))
+    assert got.where(F.col("level") == right).count() == 2 * n == got.count()
+    assert time.time() - began < 60
